@@ -15,6 +15,7 @@ from .mixing import mix_sources
 from .packing import pack
 from .token_output import segment_digests, write_token_rows
 from .topk import top_k
+from .toxicity import learn_toxicity, score_toxicity
 from .url_filter import UrlModel, filter_urls, labelled_urls
 
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
@@ -51,6 +52,15 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = learn_toxicity(docs, table(spark, sf_dir, "labels"), fold("doc_id", 3) != 1)
+    scored = score_toxicity(docs, model)
+    return scored.select(
+        "doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.size("offending").alias("n_offending")
+    )
+
+
 def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -65,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_token_output": op4_token_output,
     "op6_mixing": op6_mixing,
+    "op7_toxicity": op7_toxicity,
     "op8_exact_topk": op8_exact_topk,
     "op10_url_filter": op10_url_filter,
 }
