@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ._runtime import table
 from .exact_dedup import exact_dedup
 from .language_id import identify, learn_languages
+from .lm_score import lm_score
 from .mixing import mix_sources
 from .packing import pack
 from .token_output import segment_digests, write_token_rows
@@ -48,6 +49,11 @@ def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment_digests(write_token_rows(table(spark, sf_dir, "documents"), vocabulary(), end_id=2))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm_score(table(spark, sf_dir, "documents"), fold("doc_id", 10) != 0)
+    return scored.select("doc_id", (fold("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken")
 
@@ -74,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_token_output": op4_token_output,
+    "op5_lm_scoring": op5_lm_scoring,
     "op6_mixing": op6_mixing,
     "op7_toxicity": op7_toxicity,
     "op8_exact_topk": op8_exact_topk,
