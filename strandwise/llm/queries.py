@@ -13,6 +13,7 @@ from .exact_dedup import exact_dedup
 from .language_id import identify, learn_languages
 from .lm_score import lm_score
 from .mixing import mix_sources
+from .near_dedup import near_duplicates
 from .packing import pack
 from .token_output import segment_digests, write_token_rows
 from .topk import top_k
@@ -71,6 +72,10 @@ def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), width=3, threshold=(85, 100))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), RULES, UrlModel.train(labelled_urls()))
 
@@ -84,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_mixing": op6_mixing,
     "op7_toxicity": op7_toxicity,
     "op8_exact_topk": op8_exact_topk,
+    "op9_near_dedup": op9_near_dedup,
     "op10_url_filter": op10_url_filter,
 }
 
