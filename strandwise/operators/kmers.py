@@ -80,3 +80,8 @@ def distinct_kmers(reads: DataFrame, k: int, drop_last: bool = True, approximate
     """kmer of each distinct window; with ``approximate`` one row, n, their estimated number (HyperLogLog++)."""
     found = windows(reads, k, drop_last, seq)
     return found.agg(F.approx_count_distinct("kmer").alias("n")) if approximate else found.select("kmer").distinct()
+
+
+def read_kmer_table(reads: DataFrame, k: int, read_id: str = "rid", drop_last: bool = True) -> DataFrame:
+    """read_id, k, pos, kmer of all reads, each read's last window left out unless asked for."""
+    return windows(reads, k, drop_last, keep=[read_id])
