@@ -99,6 +99,6 @@ def substitutions(rows: DataFrame, keys: Iterable[str], seq: str, against: str)
     """keys, pos, base (of seq), true (of against) at each place where two strings of equal length differ."""
     pairs = F.arrays_zip(F.split(F.col(seq), "").alias("base"), F.split(F.col(against), "").alias("true"))
     spread = rows.where(F.col(seq) != F.col(against)).select(*keys, F.posexplode(pairs).alias("pos", "pair"))
-    return spread.select(*keys, "pos", F.col("pair.base").alias("base"), F.col("pair.true").alias("true")).where("base <> true")
+    return spread.select(*keys, "pos", F.col("pair.base").alias("base"), F.col("pair.true").alias("true")).where(F.col("base") != F.col("true"))
 
 

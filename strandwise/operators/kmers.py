@@ -64,9 +64,10 @@ def inverted_index(reads: DataFrame, k: int, read_id: str = "rid", empty_if_repe
 
 
 def look_up(rows: DataFrame, counts: DataFrame, kmer: Column | str = "kmer") -> DataFrame:
-    """Rows with the count of their k-mer (0 where it doesn't occur) as cnt; both sides have k."""
+    """Rows with the count of their k-mer (0 where it doesn't occur) as cnt and the counts' other columns; both sides have k."""
     key = F.col(kmer) if isinstance(kmer, str) else kmer
-    counts = counts.select(F.col("k").alias("_k"), F.col("kmer").alias("_kmer"), "cnt")
+    others = [c for c in counts.columns if c not in ("k", "kmer")]
+    counts = counts.select(F.col("k").alias("_k"), F.col("kmer").alias("_kmer"), *others)
     joined = rows.withColumn("_canonical", canonical(key)).join(counts, (F.col("k") == F.col("_k")) & (F.col("_canonical") == F.col("_kmer")), "left")
     return joined.withColumn("cnt", F.coalesce("cnt", F.lit(0))).drop("_k", "_kmer", "_canonical")
 

@@ -121,10 +121,11 @@ matched AS (
     FROM truth t FULL JOIN pred p ON t.rid = p.rid AND t.pos = p.pos
 ),
 econf AS (
-    SELECT kind, t::INT AS truth, p::INT AS predicted, (coalesce(n, 0) + CASE WHEN t = p AND t = CASE kind WHEN 'base' THEN 0 ELSE 11 END
-               THEN (SELECT sum(length(seq)) FROM reads) - CASE kind WHEN 'base' THEN (SELECT count(*) FROM matched) ELSE 0 END ELSE 0 END)::BIGINT AS n
-    FROM (SELECT CASE WHEN t < 6 THEN 'base' ELSE 'gap' END AS kind, t, p FROM range(0, 12) a(t), range(0, 12) b(p) WHERE (t < 6) = (p < 6))
-    LEFT JOIN (SELECT kind, truth, predicted, count(*) AS n FROM matched GROUP BY ALL) m ON m.kind = (CASE WHEN t < 6 THEN 'base' ELSE 'gap' END) AND truth = t AND predicted = p
+    SELECT c.kind, t::INT AS truth, p::INT AS predicted,
+           (coalesce(n, 0) + CASE WHEN t = p AND t = 0 THEN (SELECT sum(length(seq)) FROM reads) - (SELECT count(*) FROM matched)
+                                  WHEN t = p AND t = 11 THEN (SELECT sum(length(seq)) FROM reads) ELSE 0 END)::BIGINT AS n
+    FROM (SELECT CASE WHEN t < 6 THEN 'base' ELSE 'gap' END AS kind, t, p FROM range(0, 12) a(t), range(0, 12) b(p) WHERE (t < 6) = (p < 6)) c
+    LEFT JOIN (SELECT kind, truth, predicted, count(*) AS n FROM matched GROUP BY ALL) m ON m.kind = c.kind AND m.truth = t AND m.predicted = p
 )
 """
 
