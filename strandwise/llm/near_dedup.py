@@ -246,7 +246,7 @@ def near_duplicates(
     branch: int = 3,
     levels: int = 3,
     node_limit: int = 4096,
-    block: int = 256,
+    block: int = 512,
     broadcast_limit: int = 500_000,
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row.
