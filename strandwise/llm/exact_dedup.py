@@ -199,7 +199,7 @@ def _digest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sha, pa.string())], names=["doc_id", "text_sha256"])
 
 
-def text_owners(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: str = "min", limit: int = 96 << 20) -> DataFrame:
+def text_owners(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: str = "min", limit: int = 48 << 20) -> DataFrame:
     """One row per distinct text: sha (of the normalised text), keep_id, group_size.
 
     ``keep`` says whether the smallest or the largest id owns a text; ``limit`` bounds the bytes
@@ -210,7 +210,7 @@ def text_owners(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", kee
     return sent.repartition("size", "hash").mapInArrow(lambda it: _own(it, sign, limit), "sha string, keep_id long, group_size long")
 
 
-def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: str = "min", limit: int = 96 << 20) -> DataFrame:
+def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: str = "min", limit: int = 48 << 20) -> DataFrame:
     """Every row with its owner: doc_id, keep_id, group_size, kept, text_sha256."""
     owners = text_owners(docs, doc_id, text, keep, limit)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_digest, "doc_id long, text_sha256 string")

@@ -103,7 +103,7 @@ def _merge(batches: Iterable[pa.RecordBatch], level: int, capacity: int, slack:
     yield pa.RecordBatch.from_arrays([pa.array(bin_), pa.array(base + place), pa.array(offset), pa.array(fill[place]), pa.array(on[place])], names=["child", "bin", "at", "fill", "goes_on"])
 
 
-def pack(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 1024, doc_id: str = "doc_id", text: str = "text", slack: int = 8, most: int = 1024, fan_in: int = 8, buffer: int = 200_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 1024, doc_id: str = "doc_id", text: str = "text", slack: int = 8, most: int = 1024, fan_in: int = 8, buffer: int = 50_000) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row per piece.
 
     ``slack``: room below which a sequence is final; ``most``: items a partition sends on;
