@@ -157,9 +157,9 @@ def reads_all_correct(rows: DataFrame, read_id: str = "rid") -> DataFrame:
 
 
 def kmer_variants(read_kmers: DataFrame, reads: DataFrame, biases: DataFrame, expected: DataFrame, genome_counts: DataFrame, read_id: str = "rid", seq: str = "seq") -> DataFrame:
-    """variant, truth, predicted, n for four predictors: each k-mer's own bias, the read's mean bias, the bias at the read's G/C share, the read's median count."""
+    """variant, truth, predicted, n for four predictors: each k-mer's own bias, the read's mean bias (to 12 digits, so that sums in any order agree), the bias at the read's G/C share, the read's median count."""
     rows = kmer_bias(kmer_truth(read_kmers, genome_counts), biases).join(F.broadcast(expected.select(F.col("k").alias("_k"), "expectation")), F.col("k") == F.col("_k")).drop("_k")
-    mean = rows.groupBy(F.col(read_id).alias("_m")).agg(F.avg("bias").alias("mean_bias"))
+    mean = rows.groupBy(F.col(read_id).alias("_m")).agg(F.round(F.avg("bias"), 12).alias("mean_bias"))
     shares = reads.select(F.col(read_id).alias("_g"), gc_content(F.col(seq)).alias("gc")).where("gc is not null").crossJoin(F.broadcast(expected.select("k")))  # one row of k
     at_gc = bias_at(shares, biases).select("_g", F.col("bias").alias("gc_bias"))
     rows = classify_by_read_median(rows, read_id).withColumnRenamed("class", "by_median")

@@ -369,7 +369,7 @@ ORACLE_SQL: dict[str, str] = {
               JOIN fill ON fill.k = occ.k AND fill.gc = length(canon) - length(replace(replace(canon, 'G', ''), 'C', '')) LEFT JOIN gcnt USING (canon) WHERE i < len - 15),
         x AS (SELECT rid, (length(seq) - length(replace(replace(seq, 'G', ''), 'C', ''))) / length(seq) * 15 AS x FROM reads),
         rg AS (SELECT rid, a.bias + (b.bias - a.bias) * (x - a.gc) AS bias FROM x JOIN fill a ON a.gc = least(floor(x + 1e-11), 15) JOIN fill b ON b.gc = least(a.gc + 1, 15)),
-        rm AS (SELECT rid, avg(bias) AS mean, greatest(median(cnt), 3) AS med FROM o GROUP BY rid),
+        rm AS (SELECT rid, round(avg(bias), 12) AS mean, greatest(median(cnt), 3) AS med FROM o GROUP BY rid),
         v AS (
             SELECT 'kmer' AS variant, truth, cnt / bias AS c, e FROM o, pusm
             UNION ALL SELECT 'read_mean', truth, cnt / mean, e FROM o JOIN rm USING (rid), pusm
