@@ -1,8 +1,9 @@
 """Best-fit packing by hierarchical residual merging.
 
 Every partition packs its own pieces best-fit into sequences as it tokenises them. Nearly full
-sequences are final; the emptiest of the others go on as items, with their fill as size, to a tree of
-merge rounds: each round deals the items of several partitions to one and packs them best-fit again.
+sequences are final; what the emptiest of the others hold goes on, as underfull sequences of their
+own, to a tree of merge rounds: each round deals those of several partitions to one and packs them
+best-fit as items of their fill; nearly full results are final, the others go on again.
 A piece's final place is its place in its first sequence plus that sequence's place in the next
 one, and so on. What one partition sends on is bounded, so no round gathers the whole input.
 
@@ -51,14 +52,15 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray,
     return place, offset, np.array(fill, np.int64)
 
 
-def _going_on(fill: np.ndarray, capacity: int, slack: int, most: int) -> np.ndarray:
-    """Which bins are items of the next round: those with more than ``slack`` room, the ``most`` emptiest."""
-    on = fill < capacity - slack
-    if on.sum() > most:
-        order = np.argsort(fill, kind="stable")[:most]
-        on = np.zeros(len(fill), bool)
-        on[order] = True
-    return on
+def _going_on(place: np.ndarray, fill: np.ndarray, capacity: int, slack: int, most: int) -> np.ndarray:
+    """Which items go on to the next round: those of bins with more than ``slack`` room, of the emptiest bins first, at most ``most``."""
+    size = np.bincount(place, minlength=len(fill))
+    order = np.argsort(fill, kind="stable")
+    order = order[fill[order] < capacity - slack]
+    order = order[np.cumsum(size[order]) <= most]
+    on = np.zeros(len(fill), bool)
+    on[order] = True
+    return on[place]
 
 
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, at long, fill long, goes_on boolean"
@@ -73,11 +75,14 @@ def _pack_documents(batches: Iterable[pa.RecordBatch], path: str, end_id: int, c
     def out() -> pa.RecordBatch:
         nonlocal bins
         columns = list(zip(*rows, strict=True))
-        place, offset, fill = best_fit(np.array(columns[3], np.int64), capacity)
-        on = _going_on(fill, capacity, slack, most)
+        sizes = np.array(columns[3], np.int64)
+        place, offset, fill = best_fit(sizes, capacity)
+        on = _going_on(place, fill, capacity, slack, most)
+        size = np.where(on, sizes, fill[place])
+        place[on], offset[on] = len(fill) + np.arange(on.sum()), 0  # each a sequence of its own for now
         arrays = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
-        batch = pa.RecordBatch.from_arrays([*arrays, pa.array(base + bins + place), pa.array(offset), pa.array(fill[place]), pa.array(on[place])], names=["doc_id", "piece", "start", "length", "ids_crc32", "bin", "at", "fill", "goes_on"])
-        bins += len(fill)
+        batch = pa.RecordBatch.from_arrays([*arrays, pa.array(base + bins + place), pa.array(offset), pa.array(size), pa.array(on)], names=["doc_id", "piece", "start", "length", "ids_crc32", "bin", "at", "fill", "goes_on"])
+        bins += len(fill) + int(on.sum())
         rows.clear()
         return batch
 
@@ -91,19 +96,20 @@ def _pack_documents(batches: Iterable[pa.RecordBatch], path: str, end_id: int, c
         yield out()
 
 
-def _merge(batches: Iterable[pa.RecordBatch], level: int, capacity: int, slack: int, most: int) -> Iterator[pa.RecordBatch]:
+def _merge(batches: Iterable[pa.RecordBatch], level: int, last: bool, capacity: int, slack: int, most: int) -> Iterator[pa.RecordBatch]:
     held = [b for b in batches if b.num_rows]
     if not held:
         return
     got = pa.Table.from_batches(held).sort_by([("fill", "descending"), ("bin", "ascending")])
     bin_, sizes = got["bin"].to_numpy(), got["fill"].to_numpy()
     place, offset, fill = best_fit(sizes, capacity)
-    on = _going_on(fill, capacity, slack, most)
+    on = np.zeros(len(place), bool) if last else _going_on(place, fill, capacity, slack, most)
     base = (level << 56) + (TaskContext.get().partitionId() << 32)
-    yield pa.RecordBatch.from_arrays([pa.array(bin_), pa.array(base + place), pa.array(offset), pa.array(fill[place]), pa.array(on[place])], names=["child", "bin", "at", "fill", "goes_on"])
+    place[on], offset[on] = len(fill) + np.arange(on.sum()), 0
+    yield pa.RecordBatch.from_arrays([pa.array(bin_), pa.array(base + place), pa.array(offset), pa.array(sizes), pa.array(on)], names=["child", "bin", "at", "fill", "goes_on"])
 
 
-def pack(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 1024, doc_id: str = "doc_id", text: str = "text", slack: int = 8, most: int = 1024, fan_in: int = 8, buffer: int = 50_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 1024, doc_id: str = "doc_id", text: str = "text", slack: int = 8, most: int = 2048, fan_in: int = 8, buffer: int = 50_000) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row per piece.
 
     ``slack``: room below which a sequence is final; ``most``: items a partition sends on;
@@ -120,7 +126,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 1024
         level += 1
         parts = -(-parts // fan_in)
         dealt = open_.repartition(parts, F.pmod(F.xxhash64(F.expr("shiftright(bin, 32)")), F.lit(parts)))
-        merged = written(dealt.mapInArrow(lambda it, level=level: _merge(it, level, capacity, slack, most), "child long, bin long, at long, fill long, goes_on boolean"), f"merge{level}")
+        merged = written(dealt.mapInArrow(lambda it, level=level, last=parts == 1: _merge(it, level, last, capacity, slack, most), "child long, bin long, at long, fill long, goes_on boolean"), f"merge{level}")
         result = result.join(merged.select("child", F.col("bin").alias("parent"), F.col("at").alias("shift")), F.col("sequence_id") == F.col("child"), "left").select(
             "doc_id", "piece", "start", "length", "ids_crc32", F.coalesce("parent", "sequence_id").alias("sequence_id"), (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset")
         )
