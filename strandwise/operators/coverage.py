@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strandwise.functions.enums import GENOME_TYPES
 from strandwise.functions.sequence import canonical, gc_count
 
-from .kmers import count_both_strands, windows
+from .kmers import count_both_strands
 
 
 def expected_counts(lengths: DataFrame, genome_size: int, ks: Iterable[int], genome_type: str = "LINEAR") -> DataFrame:
@@ -40,12 +40,15 @@ def observed_bias(count: Column, expected: Column) -> Column:
     return F.when(count >= 0.2 * expected, count / expected).otherwise(0.0)
 
 
-def biases_without_genome(reads: DataFrame, counts: DataFrame, expected: DataFrame, ks: Iterable[int], drop_last: bool = True, seq: str = "seq") -> DataFrame:
-    """k, gc_count, bias for each distinct k-mer of the reads' forward strand with a bias above 0."""
-    seen = windows(reads, ks, drop_last, seq).select("k", "kmer").distinct().withColumn("canonical", canonical(F.col("kmer")))
-    found = seen.join(counts.withColumnRenamed("kmer", "canonical"), ["k", "canonical"]).join(F.broadcast(expected), "k")
+def biases_without_genome(counts: DataFrame, expected: DataFrame) -> DataFrame:
+    """k, gc_count, bias, weight of the reads' k-mers with a bias above 0, from counts with ``seen``.
+
+    A k-mer and its reverse complement have the same count and G/C content: weight (1 or 2) is how
+    many of them stand in the reads.
+    """
+    found = counts.where("seen > 0").join(F.broadcast(expected), "k")
     bias = observed_bias(F.col("cnt").cast("double"), F.col("expectation"))
-    return found.select("k", gc_count(F.col("kmer")).alias("gc_count"), bias.alias("bias")).where("bias > 0")
+    return found.select("k", gc_count(F.col("kmer")).alias("gc_count"), bias.alias("bias"), F.col("seen").alias("weight")).where("bias > 0")
 
 
 def biases_with_genome(genome_windows: DataFrame, read_counts: DataFrame, genome_counts: DataFrame) -> DataFrame:
@@ -64,13 +67,15 @@ def _shifted_median(values: Column) -> Column:
 
 
 def median_biases(biases: DataFrame, ks: Iterable[int], compat: bool = False) -> DataFrame:
-    """k, gc_count 0..k, gc, bias: the median of each bin, 0 where it is empty.
+    """k, gc_count 0..k, gc, bias: the median of each bin (of ``weight`` times each row, if there is one), 0 where it is empty.
 
     ``compat`` takes the elements one further up the sorted list, as older results did.
     """
     spark = biases.sparkSession
     bins = spark.createDataFrame([(k, i) for k in sorted(set(ks)) for i in range(k + 1)], "k int, gc_count int")
-    middle = _shifted_median(F.sort_array(F.collect_list("bias"))) if compat else F.percentile("bias", 0.5)
+    weight = F.col("weight") if "weight" in biases.columns else F.lit(1)
+    every = F.sort_array(F.flatten(F.collect_list(F.array_repeat("bias", weight.cast("int")))))
+    middle = _shifted_median(every) if compat else F.percentile("bias", 0.5, weight)
     medians = biases.groupBy("k", "gc_count").agg(middle.alias("bias"))
     return bins.join(medians, ["k", "gc_count"], "left").select("k", "gc_count", (F.col("gc_count").cast("double") / F.col("k")).alias("gc"), F.coalesce("bias", F.lit(0.0)).alias("bias"))
 
@@ -116,10 +121,12 @@ class CoverageModel:
         self.ks = sorted(set(ks))
         self.reads, self.genome_size, self.genome_type, self.seq = reads, genome_size, genome_type, seq
         self.lengths = read_lengths(reads, seq) if lengths is None else lengths
-        self.counts = count_both_strands(reads, self.ks, seq)
+        counts = count_both_strands(reads, self.ks, seq, with_seen=True)
+        self.counts = counts.select("k", "kmer", "cnt")
         self.expected = expected_counts(self.lengths, genome_size, self.ks, genome_type)
         if with_bias:
-            self.medians = median_biases(biases_without_genome(reads, self.counts, self.expected, self.ks, seq=seq), self.ks)
+            self.raw_biases = biases_without_genome(counts, self.expected)
+            self.medians = median_biases(self.raw_biases, self.ks)
             self.biases = fill_biases(self.medians)
         else:
             spark = reads.sparkSession

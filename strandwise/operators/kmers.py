@@ -10,27 +10,41 @@ from pyspark.sql import functions as F
 from strandwise.functions.sequence import canonical, is_own_reverse_complement, reverse_complement
 
 
-def windows(reads: DataFrame, k: int | Iterable[int], drop_last: bool = False, seq: str = "seq", keep: Iterable[str] = ()) -> DataFrame:
+def windows(reads: DataFrame, k: int | Iterable[int], drop_last: bool = False, seq: str = "seq", keep: Iterable[str] = (), with_canonical: bool = False) -> DataFrame:
     """One row per window: the columns ``keep``, k, pos (from 0) and kmer.
 
     Several k come from one scan. Reads shorter than k (or of just k, if the last window is
-    dropped) give no row.
+    dropped) give no row. ``with_canonical`` adds canonical, cut from the read's reverse
+    complement, and last (whether it is the read's last window).
     """
     ks = [k] if isinstance(k, int) else sorted(set(k))
-    count = F.length(F.col("_s")) - F.col("k") + (0 if drop_last else 1)
-    base = reads.select(*keep, F.col(seq).alias("_s"))
+    base = reads.select(*keep, F.col(seq).alias("_s"), *([reverse_complement(F.col(seq)).alias("_r")] if with_canonical else []))
     base = base.withColumn("k", F.lit(ks[0])) if len(ks) == 1 else base.withColumn("k", F.explode(F.array(*map(F.lit, ks))))
-    kmers = F.transform(F.sequence(F.lit(1), count), lambda i: F.substring(F.col("_s"), i, F.col("k")))
-    return base.where(count > 0).select(*keep, "k", F.posexplode(kmers).alias("pos", "kmer"))
-
-
-def count_both_strands(reads: DataFrame, k: int | Iterable[int], seq: str = "seq") -> DataFrame:
+    ends = F.length("_s") - F.col("k") - (1 if drop_last else 0)
+    # positions are exploded, not k-mers: cutting them stays in generated code
+    spread = base.where(ends >= 0).select("*", F.explode(F.sequence(F.lit(0), ends)).alias("pos"))
+    kmer = F.substring("_s", F.col("pos") + 1, F.col("k"))
+    more = []
+    if with_canonical:
+        end = F.length("_s") - F.col("k") - F.col("pos")
+        more = [F.least(kmer, F.substring("_r", end + 1, F.col("k"))).alias("canonical"), (end == 0).alias("last")]
+    return spread.select(*keep, "k", "pos", kmer.alias("kmer"), *more)
+
+
+def count_both_strands(reads: DataFrame, k: int | Iterable[int], seq: str = "seq", with_seen: bool = False) -> DataFrame:
     """k, kmer (the smaller of it and its reverse complement), cnt: occurrences on both strands of all reads.
 
     A k-mer and its reverse complement have the same count, so one row stands for both; of a
     k-mer that is its own reverse complement both strands' occurrences are the same and count once.
+    ``with_seen`` adds seen: how many of the two stand in some read other than as its last window.
     """
-    return windows(reads, k, seq=seq).groupBy("k", canonical(F.col("kmer")).alias("kmer")).agg(F.count("*").alias("cnt"))
+    found = windows(reads, k, seq=seq, with_canonical=True)
+    seen = []
+    if with_seen:
+        as_is = F.col("kmer") == F.col("canonical")
+        has = lambda on: F.max(F.when(on & ~F.col("last"), 1).otherwise(0))
+        seen = [(has(as_is) + has(~as_is)).alias("seen")]
+    return found.groupBy("k", F.col("canonical").alias("kmer")).agg(F.count("*").alias("cnt"), *seen)
 
 
 def count_strands(reads: DataFrame, k: int, seq: str = "seq") -> DataFrame:
@@ -56,7 +70,7 @@ def inverted_index(reads: DataFrame, k: int, read_id: str = "rid", empty_if_repe
 
     With ``empty_if_repeated`` the list is empty where some read has the k-mer more than once.
     """
-    found = windows(reads, k, seq=seq, keep=[read_id]).groupBy(canonical(F.col("kmer")).alias("kmer")).agg(F.sort_array(F.collect_list(read_id)).alias("read_ids"))
+    found = windows(reads, k, seq=seq, keep=[read_id], with_canonical=True).groupBy(F.col("canonical").alias("kmer")).agg(F.sort_array(F.collect_list(read_id)).alias("read_ids"))
     if not empty_if_repeated:
         return found
     ids = F.col("read_ids")

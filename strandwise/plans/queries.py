@@ -32,9 +32,9 @@ def _reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readset.reads(spark, sf_dir)
 
 
-def _model(spark: SparkSession, sf_dir: str, ks: list[int], with_bias: bool = True) -> coverage.CoverageModel:
+def _model(spark: SparkSession, sf_dir: str, ks: list[int], with_bias: bool = True, reads: DataFrame | None = None) -> coverage.CoverageModel:
     lengths = spark.createDataFrame([(readset.READ_LENGTH, spark.read.parquet(f"{sf_dir}/orders.parquet").count())], "len int, n long")
-    return coverage.CoverageModel(_reads(spark, sf_dir), readset.genome_size(spark, sf_dir), ks, lengths=lengths, with_bias=with_bias)
+    return coverage.CoverageModel(_reads(spark, sf_dir) if reads is None else reads, readset.genome_size(spark, sf_dir), ks, lengths=lengths, with_bias=with_bias)
 
 
 def _genome_counts(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:
@@ -212,13 +212,13 @@ def pusm_circular(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _bias_summary(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("gc_count").agg(F.count("*").alias("n"), _round(F.avg("bias"), 6).alias("bias"))
+    weight = F.col("weight") if "weight" in rows.columns else F.lit(1)
+    return rows.groupBy("gc_count").agg(F.sum(weight).cast("long").alias("n"), _round(F.sum(F.col("bias") * weight) / F.sum(weight), 6).alias("bias"))
 
 
 @query
 def bias_no_genome(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = _model(spark, sf_dir, [K], with_bias=False)
-    return _bias_summary(coverage.biases_without_genome(m.reads, m.counts, m.expected, [K]))
+    return _bias_summary(_model(spark, sf_dir, [K]).raw_biases)
 
 
 @query
@@ -275,7 +275,8 @@ def affected_area(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _extended(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return untrusted.extended_classes(_reads(spark, sf_dir), lambda ks: _model(spark, sf_dir, ks), K, cut)
+    reads = cut(_reads(spark, sf_dir).select("rid", "seq"))
+    return untrusted.extended_classes(reads, lambda ks: _model(spark, sf_dir, ks, reads=reads), K, cut)
 
 
 @query
@@ -309,7 +310,7 @@ def fix_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _corrected_by(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     reads = cut(_reads(spark, sf_dir))
-    return correct.correct_reads(reads, lambda ks: _model(spark, sf_dir, ks), name, K, folder=cut)
+    return correct.correct_reads(reads, lambda ks: _model(spark, sf_dir, ks, reads=reads), name, K, folder=cut)
 
 
 @query
