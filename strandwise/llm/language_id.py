@@ -164,7 +164,7 @@ def learn_languages(labelled: DataFrame, text: str = "text", lang: str = "lang",
     for name, n in counts.items():
         chance = F.when(F.col("lang") == name, min(1.0, sample / n)).otherwise(chance)
     picked = own.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < chance * (1 << 20))
-    rows = picked.mapInArrow(_frequencies, "lang string, x binary").limit(2 * sample * max(1, len(counts))).toPandas()
+    rows = picked.mapInArrow(_frequencies, "lang string, x binary").limit(2 * sample * max(1, len(counts))).toArrow().to_pandas()
     x = np.frombuffer(b"".join(rows["x"]), np.float32).reshape(len(rows), 1 << BITS)
     order = np.lexsort([x @ np.arange(x.shape[1], dtype=np.float32), rows["lang"].to_numpy(str)]) if len(rows) else []
     return LanguageModel.train(x[order], rows["lang"].to_numpy(object)[order], families)

@@ -134,7 +134,7 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, usable: Column, label: st
         chance = F.when(F.col("label") == value, min(1.0, sample * (1 if value == 1 else 2) / n)).otherwise(chance)
     picked = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < chance * (1 << 20)).limit(4 * sample)
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "label", "text").mapInArrow(_features, "doc_id long, label int, slots binary, lengths binary").toPandas()
+    rows = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "label", "text").mapInArrow(_features, "doc_id long, label int, slots binary, lengths binary").toArrow().to_pandas()
     rows = rows.sort_values(["doc_id", "label"], kind="stable")
     return ToxicityModel.train([np.frombuffer(x, np.int32) for x in rows["slots"]], [np.frombuffer(x, np.int32) for x in rows["lengths"]], rows["label"].to_numpy())
 
