@@ -12,7 +12,7 @@ from strandwise.operators import evaluate, metrics, profile
 from strandwise.operators.classify import class_table, classify
 from strandwise.operators.correct import correct_reads
 from strandwise.operators.coverage import CoverageModel
-from strandwise.operators.kmers import count_both_strands, count_naive, read_kmer_table, read_lengths
+from strandwise.operators.kmers import count_both_strands, count_naive, read_lengths
 from strandwise.plans.storage import cut
 
 
@@ -102,8 +102,8 @@ class Toolkit:
     def kmer_confusion(self, genome: DataFrame, k: int | None = None) -> DataFrame:
         """Confusion of the classes of all k-mers of the reads against the genome (idx, seq)."""
         k = k or self.parameters.min_k
-        rows = evaluate.kmer_truth(read_kmer_table(self.dataset.reads, k), count_both_strands(genome, k))
-        return evaluate.kmer_confusion(evaluate.predict_kmers(rows, self.classes(k)))
+        rows = evaluate.classified_counts(self.classes(k), count_both_strands(genome, k))
+        return evaluate.kmer_confusion(rows, weight=F.col("inner"))
 
     def evaluate_kmers(self, genome: DataFrame, k: int | None = None) -> DataFrame:
         return metrics.report(self.kmer_confusion(genome, k))

@@ -123,7 +123,7 @@ class CoverageModel:
         self.lengths = read_lengths(reads, seq) if lengths is None else lengths
         counts = count_both_strands(reads, self.ks, seq, with_seen=True)
         # always true, but with it both uses of the counts are one plan, whose shuffle Spark then reuses
-        self.counts = counts.where("seen >= 0").select("k", "kmer", "cnt")
+        self.counts = counts.where("seen >= 0").select("k", "kmer", "cnt", "inner")
         self.expected = expected_counts(self.lengths, genome_size, self.ks, genome_type)
         if with_bias:
             self.raw_biases = biases_without_genome(counts, self.expected)

@@ -69,11 +69,18 @@ def _dense(grid: DataFrame, counted: DataFrame) -> DataFrame:
     return grid.join(F.broadcast(counted), ["kind", "truth", "predicted"], "left").select("kind", "truth", "predicted", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
-def kmer_confusion(rows: DataFrame, truth: str = "truth", predicted: str = "predicted") -> DataFrame:
-    """kind ('kmer'), truth, predicted, n over all 9 cells."""
+def classified_counts(classes: DataFrame, genome_counts: DataFrame) -> DataFrame:
+    """truth, predicted, inner by distinct k-mer: what ``kmer_truth`` and ``predict_kmers`` say of its ``inner`` occurrences, without a row for each."""
+    genome = genome_counts.select("k", "kmer", F.col("cnt").alias("in_genome"))
+    rows = classes.where("inner > 0").join(genome, ["k", "kmer"], "left")
+    return rows.select(genome_class(F.col("in_genome")).alias("truth"), F.col("class").alias("predicted"), "inner")
+
+
+def kmer_confusion(rows: DataFrame, truth: str = "truth", predicted: str = "predicted", weight: Column | None = None) -> DataFrame:
+    """kind ('kmer'), truth, predicted, n over all 9 cells; each row counts ``weight`` times (once, if none)."""
     spark = rows.sparkSession
     grid = spark.createDataFrame([("kmer", t, p) for t in range(3) for p in range(3)], "kind string, truth int, predicted int")
-    counted = rows.groupBy(F.lit("kmer").alias("kind"), F.col(truth).cast("int").alias("truth"), F.col(predicted).cast("int").alias("predicted")).agg(F.count("*").alias("n"))
+    counted = rows.groupBy(F.lit("kmer").alias("kind"), F.col(truth).cast("int").alias("truth"), F.col(predicted).cast("int").alias("predicted")).agg((F.count("*") if weight is None else F.sum(weight)).alias("n"))
     return _dense(grid, counted)
 
 

@@ -36,14 +36,15 @@ def count_both_strands(reads: DataFrame, k: int | Iterable[int], seq: str = "seq
 
     A k-mer and its reverse complement have the same count, so one row stands for both; of a
     k-mer that is its own reverse complement both strands' occurrences are the same and count once.
-    ``with_seen`` adds seen: how many of the two stand in some read other than as its last window.
+    ``with_seen`` adds what reads hold other than as their last window: seen, how many of the two
+    k-mers, and inner, how often either.
     """
     found = windows(reads, k, seq=seq, with_canonical=True)
     seen = []
     if with_seen:
         as_is = F.col("kmer") == F.col("canonical")
         has = lambda on: F.max(F.when(on & ~F.col("last"), 1).otherwise(0))
-        seen = [(has(as_is) + has(~as_is)).alias("seen")]
+        seen = [(has(as_is) + has(~as_is)).alias("seen"), F.count_if(~F.col("last")).alias("inner")]
     return found.groupBy("k", F.col("canonical").alias("kmer")).agg(F.count("*").alias("cnt"), *seen)
 
 

@@ -249,7 +249,7 @@ def bias_interpolated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def kmer_class_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classify.class_table(_model(spark, sf_dir, [K]))
+    return classify.class_table(_model(spark, sf_dir, [K])).drop("inner")
 
 
 @query
@@ -397,6 +397,11 @@ def _kmer_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.predict_kmers(rows, classify.class_table(model))
 
 
+def _kmer_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = evaluate.classified_counts(classify.class_table(_model(spark, sf_dir, [K])), _genome_counts(spark, sf_dir))
+    return evaluate.kmer_confusion(rows, weight=F.col("inner"))
+
+
 @query
 def confusion_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.names(_error_confusion(spark, sf_dir)).where("kind = 'base'")
@@ -409,7 +414,7 @@ def confusion_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def confusion_kmer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.names(evaluate.kmer_confusion(_kmer_rows(spark, sf_dir)))
+    return evaluate.names(_kmer_confusion(spark, sf_dir))
 
 
 @query
@@ -424,7 +429,7 @@ def _metrics(rows: DataFrame) -> DataFrame:
 
 @query
 def metrics_kmer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _metrics(metrics.per_type(evaluate.kmer_confusion(_kmer_rows(spark, sf_dir))))
+    return _metrics(metrics.per_type(_kmer_confusion(spark, sf_dir)))
 
 
 @query
@@ -434,13 +439,13 @@ def metrics_error(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def entropy_mi_nmi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = metrics.information(_error_confusion(spark, sf_dir).unionByName(evaluate.kmer_confusion(_kmer_rows(spark, sf_dir))))
+    rows = metrics.information(_error_confusion(spark, sf_dir).unionByName(_kmer_confusion(spark, sf_dir)))
     return rows.select("kind", *[_round(c, 8).alias(c) for c in ("entropy_truth", "entropy_predicted", "mutual_information", "nmi")])
 
 
 @query
 def avg_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = _error_confusion(spark, sf_dir).unionByName(evaluate.kmer_confusion(_kmer_rows(spark, sf_dir)))
+    both = _error_confusion(spark, sf_dir).unionByName(_kmer_confusion(spark, sf_dir))
     return metrics.average_f1(metrics.per_type(both)).select("kind", _round("f1").alias("f1"))
 
 
@@ -451,12 +456,12 @@ def error_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def confusion_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.margins(evaluate.kmer_confusion(_kmer_rows(spark, sf_dir)))
+    return metrics.margins(_kmer_confusion(spark, sf_dir))
 
 
 @query
 def evaluation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = metrics.report(_error_confusion(spark, sf_dir).unionByName(evaluate.kmer_confusion(_kmer_rows(spark, sf_dir))))
+    rows = metrics.report(_error_confusion(spark, sf_dir).unionByName(_kmer_confusion(spark, sf_dir)))
     return rows.select("kind", "type", "metric", _round("value", 8).alias("value"))
 
 
