@@ -3,13 +3,21 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
-def cut(df: DataFrame, name: str = "") -> DataFrame:
-    """``df``, computed once and kept in the session's checkpoint folder (spark.checkpoint.dir; a temporary one only where none is set)."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandwise-"))
-    return df.checkpoint()
+def cut(df: DataFrame, name: str = "table") -> DataFrame:
+    """``df`` written as Parquet to the session's shared folder (spark.checkpoint.dir; a temporary one only where none is set) and read again."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if held.isEmpty():
+            spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="strandwise-"))
+            held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        folder = held.get()
+    path = f"{folder.rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
