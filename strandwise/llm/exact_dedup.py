@@ -23,6 +23,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._runtime import lean
+
 
 class _Node:
     __slots__ = ("text", "begin", "end", "kids", "owner", "rows")
@@ -206,8 +208,8 @@ def text_owners(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", kee
     of text that a map task's trie and a partition's trie hold in memory.
     """
     sign = {"min": 1, "max": -1}[keep]
-    sent = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(lambda it: _send(it, sign, limit), "size long, hash long, text binary, owner long, n long")
-    return sent.repartition("size", "hash").mapInArrow(lambda it: _own(it, sign, limit), "sha string, keep_id long, group_size long")
+    sent = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(lambda it: lean(_send(it, sign, limit)), "size long, hash long, text binary, owner long, n long")
+    return sent.repartition("size", "hash").mapInArrow(lambda it: lean(_own(it, sign, limit)), "sha string, keep_id long, group_size long")
 
 
 def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: str = "min", limit: int = 48 << 20) -> DataFrame:

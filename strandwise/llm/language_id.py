@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import LOWER, U64, chunks
+from ._runtime import lean
 
 FAMILIES = {
     **dict.fromkeys("en de nl sv da no".split(), "germanic"),
@@ -186,4 +187,4 @@ def _predict(batches: Iterable[pa.RecordBatch], model: LanguageModel) -> Iterato
 def identify(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, lang_pred, score of every row."""
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return own.mapInArrow(lambda it: _predict(it, model), "doc_id long, lang_pred string, score double")
+    return own.mapInArrow(lambda it: lean(_predict(it, model)), "doc_id long, lang_pred string, score double")

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import LOWER, U64, Words, chunks, mix, signed
-from ._runtime import written
+from ._runtime import lean, written
 
 BINS = 256
 #: Estimates below the threshold by this much (over 5 standard deviations of 256 bins) are dropped.
@@ -258,7 +258,7 @@ def near_duplicates(
     under, over = threshold
     first = trees * branch
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed_ = written(own.mapInArrow(lambda it: _signatures(it, width, first * levels), "doc_id long, n_shingles long, set_a long, set_b long, mins array<long>, sketch binary"), "signatures")
+    signed_ = written(own.mapInArrow(lambda it: lean(_signatures(it, width, first * levels)), "doc_id long, n_shingles long, set_a long, set_b long, mins array<long>, sketch binary"), "signatures")
     ids = signed_.select("doc_id", "n_shingles", "set_a", "set_b")
     classes = ids.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("doc"))
     classes = written(classes, "classes")
@@ -292,14 +292,14 @@ def near_duplicates(
     described = tasks.join(heads.join(hot, F.col("doc") == F.col("hot_doc"), "left").select("doc", "n_shingles", "mins", "sketch", F.coalesce("hot", F.lit(0)).alias("hot")), "doc")
     described = described.select("task", "doc", "block", "position", "hot", "n_shingles", "mins", "sketch", F.col("own").alias("lone"))
     share = under / over
-    promising = described.repartition("task").sortWithinPartitions("task").mapInArrow(lambda it: _promising(it, share, first), "task long, doc long")
+    promising = described.repartition("task").sortWithinPartitions("task").mapInArrow(lambda it: lean(_promising(it, share, first)), "task long, doc long")
     promising = written(promising, "promising")
     wanted = promising.select("doc").distinct()
     if wanted.count() <= broadcast_limit:
         wanted = F.broadcast(wanted)
-    texts = own.join(wanted, F.col("doc_id") == F.col("doc"), "left_semi").mapInArrow(lambda it: _full_sets(it, width), "doc long, members binary")
+    texts = own.join(wanted, F.col("doc_id") == F.col("doc"), "left_semi").mapInArrow(lambda it: lean(_full_sets(it, width)), "doc long, members binary")
     confirmed = promising.join(texts, "doc").select("task", "doc", "members").repartition("task").sortWithinPartitions("task")
-    groups = components(confirmed.mapInArrow(lambda it: _links(it, over, under), "u long, v long"))
+    groups = components(confirmed.mapInArrow(lambda it: lean(_links(it, over, under)), "u long, v long"))
     named = classes.join(groups, F.col("doc") == F.col("node"), "left").select("n_shingles", "set_a", "set_b", F.coalesce("component", "doc").alias("component"))
     component = F.coalesce("component", "doc_id")
     linked = ids.join(named, ["n_shingles", "set_a", "set_b"], "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), component))

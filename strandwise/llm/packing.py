@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._runtime import written
+from ._runtime import lean, written
 from ._tokens import crc32, pieces, tokenizer
 
 
@@ -117,7 +117,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 1024
     partition packs at a time (bounds its memory).
     """
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    placed = written(own.mapInArrow(lambda it: _pack_documents(it, tokenizer_path, end_id, capacity, slack, most, buffer), _PIECE), "pieces")
+    placed = written(own.mapInArrow(lambda it: lean(_pack_documents(it, tokenizer_path, end_id, capacity, slack, most, buffer)), _PIECE), "pieces")
     open_ = placed.where("goes_on and at = 0").select("bin", "fill")
     parts = placed.agg(F.countDistinct(F.expr("shiftright(bin, 32)"))).head()[0]
     result = placed.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), F.col("at").alias("offset"))
@@ -126,7 +126,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 1024
         level += 1
         parts = -(-parts // fan_in)
         dealt = open_.repartition(parts, F.pmod(F.xxhash64(F.expr("shiftright(bin, 32)")), F.lit(parts)))
-        merged = written(dealt.mapInArrow(lambda it, level=level, last=parts == 1: _merge(it, level, last, capacity, slack, most), "child long, bin long, at long, fill long, goes_on boolean"), f"merge{level}")
+        merged = written(dealt.mapInArrow(lambda it, level=level, last=parts == 1: lean(_merge(it, level, last, capacity, slack, most)), "child long, bin long, at long, fill long, goes_on boolean"), f"merge{level}")
         result = result.join(merged.select("child", F.col("bin").alias("parent"), F.col("at").alias("shift")), F.col("sequence_id") == F.col("child"), "left").select(
             "doc_id", "piece", "start", "length", "ids_crc32", F.coalesce("parent", "sequence_id").alias("sequence_id"), (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset")
         )
