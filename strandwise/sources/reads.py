@@ -105,6 +105,18 @@ def read_reads(spark: SparkSession, path: str, quality: bool = True) -> DataFram
     return out
 
 
+def read_fasta(spark: SparkSession, path: str) -> DataFrame:
+    """read_id, name, seq (upper case), qual (null) of FASTA files of any size, in any storage.
+
+    Spark's text source splits the files at '>' line begins, so long files are shared out; sequences
+    may run over several lines. Ids are unique and in the order of the splits, not consecutive.
+    """
+    records = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "^>", "").alias("r")).where("trim(r) <> ''")
+    name = F.regexp_replace(F.substring_index("r", "\n", 1), "\r$", "")
+    body = F.regexp_replace(F.regexp_replace("r", "^[^\n]*", ""), r"\s", "")
+    return records.select(F.monotonically_increasing_id().alias("read_id"), name.alias("name"), F.upper(body).alias("seq"), F.lit(None).cast("string").alias("qual"))
+
+
 def require_quality(reads: DataFrame) -> DataFrame:
     """Reads all of which have a quality; one without is an error."""
     return reads.withColumn("qual", F.coalesce("qual", F.raise_error(F.lit("FASTA has no quality")).cast("string")))

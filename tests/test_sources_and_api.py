@@ -36,6 +36,22 @@ def test_split_source(spark, tmp_path):
     assert sorted(int(r.name[1:]) for r in rows.collect()) == list(range(200))
 
 
+def test_fasta_in_splits(spark, tmp_path):
+    (tmp_path / "a.fa").write_text("".join(f">r{i} x\nacgt\n{'A' * (i % 7)}\n" for i in range(500)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        rows = sources.read_fasta(spark, str(tmp_path / "a.fa"))
+        assert rows.rdd.getNumPartitions() > 1
+        got = rows.orderBy("read_id").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert [(r.name, r.seq) for r in got] == [(f"r{i} x", "ACGT" + "A" * (i % 7)) for i in range(500)]
+    assert len({r.read_id for r in got}) == 500
+
+
 def test_genome(spark, tmp_path):
     (tmp_path / "g.fa").write_text(">g\nacgt\nACGT\nA\n")
     assert [r.bases for r in sources.read_genome(spark, str(tmp_path / "g.fa"), chunk=4).orderBy("idx").collect()] == ["ACGT", "ACGT", "A"]
