@@ -35,15 +35,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dropped(spark: SparkSession, *frames: DataFrame) -> None:
-    """Delete tables made by ``written`` once nothing reads them."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    marker = "/tables/"
-    for df in frames:
-        for folder in {f.rpartition("/")[0] for f in df.inputFiles() if marker in f}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+def clean(spark: SparkSession) -> None:
+    """Delete all tables that ``written`` has made in the shared folder, once no result that reads them is needed."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tables")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
