@@ -4,13 +4,15 @@ Training counts byte (order + 1)-grams over all training texts, A-Z lower-cased,
 an end symbol; shorter contexts are their sums. Together they are the byte-context trie. A context
 with n observations of u distinct symbols gives a symbol seen c times (c - 1/2) / n and escapes with
 u / 2n; after an escape the next shorter context predicts with the symbols already seen excluded
-(method D with symbol exclusion), down to a uniform choice of all that remain. As training
-ends before scoring, each context's whole distribution is worked out once, and a text's code length
-is a sum of table look-ups at the longest context that the trie holds.
+(method D with symbol exclusion), down to a uniform choice of all that remain.
 
-The trie keeps the ``max_contexts`` most frequent of the longest contexts, half as many for each byte
-less: that bounds what is broadcast (twice that many rows of a number per symbol), and is a parameter.
-Counts themselves cover all training text.
+The trie holds every context of the training text and stays distributed, as a table: a row for each
+gram of each length (the probability of its last byte after the others) and one for each context (the
+factor of an escape from it). As training ends before scoring, a symbol that its longest context has
+seen takes one look-up. The most frequent longest grams, at most ``frequent_grams`` of them, are looked
+up in a broadcast table, all others by a join; grams that training never saw walk down the trie by a
+join with the rows of their shorter grams and contexts. Where a gram is looked up doesn't change its
+probability.
 
 The base score is a smoothed unigram model of words. Word counts stay distributed; the most frequent
 words, at most ``frequent`` of them, are looked up in a broadcast table, all others by a join.
@@ -22,15 +24,16 @@ often as they appear; other columns are ignored; an empty table gives an empty r
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._bytes import LOWER, U64, Words, chunks, signed, sums_by_doc
-from ._runtime import written
+from ._runtime import lean, written
 
 #: The end symbol; 0xFF is no byte of UTF-8.
 END = 0xFF
@@ -104,10 +107,16 @@ class _Counter:
 _GRAM, _WORD = 0, 1
 
 
+def _bounded(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Chunks of a batch; copies of only some of its rows are held at a time."""
+    for k in range(0, batch.num_rows, 1000):
+        yield from chunks(batch.slice(k, 1000), "text")
+
+
 def _gather(batches: Iterable[pa.RecordBatch], order: int, limit: int) -> Iterator[pa.RecordBatch]:
     grams, words = _Counter(_GRAM, limit), _Counter(_WORD, limit)
     for batch in batches:
-        for _, data, offsets in chunks(batch, "text", 2 << 20):
+        for _, data, offsets in _bounded(batch):
             joined, begin = _joined(data, offsets, order)
             codes = _codes(joined, order + 1)[_targets(len(joined), begin, offsets) - order]
             yield from grams.add(*_tally(codes))
@@ -116,90 +125,6 @@ def _gather(batches: Iterable[pa.RecordBatch], order: int, limit: int) -> Iterat
     yield from words.out()
 
 
-class PpmModel:
-    """Rows of log10 probabilities by context, and the way from a context's bytes to its row.
-
-    ``rows[r, column[s]]`` is for symbol s after the context of row r; ``keys[k]`` and ``values[k]``
-    map the contexts of k bytes to rows by hashing.
-    """
-
-    def __init__(self, order: int, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
-        """``levels[k]``: contexts of k bytes in ascending order, with a row (context, symbol, count) for each pair."""
-        self.order = order
-        seen = np.unique(levels[0][1]) if levels else np.zeros(0, np.int64)
-        self.column = np.full(256, len(seen), np.int64)
-        self.column[seen] = np.arange(len(seen))
-        width = len(seen) + 1  # the last column is for each symbol never seen
-        self.keys, self.values, rows = [], [], []
-        above, above_keys, made = np.full((1, width), 1.0 / SYMBOLS), np.zeros(1, np.uint64), 0
-        for size, (context, symbol, count) in enumerate(levels):
-            if size:  # a context needs its suffix
-                suffix = context & U64((1 << 8 * (size - 1)) - 1)
-                at = np.minimum(np.searchsorted(above_keys, suffix), len(above_keys) - 1)
-                on = above_keys[at] == suffix
-                context, symbol, count, at = context[on], symbol[on], count[on], at[on]
-            keys, first, row = np.unique(context, return_index=True, return_inverse=True)
-            if not size and not len(keys):
-                keys, first, row = np.zeros(1, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.int64)
-            parent = at[first] if size else np.zeros(len(keys), np.int64)
-            column = self.column[symbol]
-            logs, kept = np.empty((len(keys), width), np.float32), []
-            for k in range(0, len(keys), 1 << 13):  # bounds the temporary arrays
-                lower = above[parent[k : k + (1 << 13)]]
-                own = slice(*np.searchsorted(row, (k, k + len(lower))))
-                here, cols, counts = row[own] - k, column[own], count[own]
-                n, u = np.bincount(here, counts, minlength=len(lower)), np.bincount(here, minlength=len(lower))
-                rest = 1.0 - np.bincount(here, lower[here, cols], minlength=len(lower))
-                lower = lower * np.where(n > 0, 0.5 * u / np.maximum(n, 1) / np.maximum(rest, 1e-12), 1.0)[:, None]
-                lower[here, cols] = (counts - np.where(u == SYMBOLS, 0.0, 0.5)[here]) / n[here]
-                logs[k : k + len(lower)] = np.log10(np.maximum(lower, 1e-30))
-                if size + 1 < len(levels):
-                    kept.append(lower)
-            rows.append(logs)
-            table = _hash_table(keys, made)
-            self.keys.append(table[0])
-            self.values.append(table[1])
-            made += len(keys)
-            above, above_keys = np.concatenate(kept) if kept else above, keys
-        self.rows = np.empty((made, width), np.float32)
-        while rows:  # each part goes as soon as it is copied
-            part = rows.pop()
-            self.rows[made - len(part) : made] = part
-            made -= len(part)
-
-    def lookup(self, size: int, codes: np.ndarray) -> np.ndarray:
-        """Row of each context of ``size`` bytes, -1 where the trie doesn't hold it."""
-        keys, values = self.keys[size], self.values[size]
-        mask = len(keys) - 1
-        slot = _slot(codes, mask)
-        out = np.where(keys[slot] == codes, values[slot], -1)
-        pending = np.flatnonzero((out < 0) & (keys[slot] != _EMPTY))
-        slot = slot[pending]
-        while len(pending):
-            slot = (slot + 1) & mask
-            held = keys[slot]
-            hit = held == codes[pending]
-            out[pending[hit]] = values[slot[hit]]
-            on = ~hit & (held != _EMPTY)
-            pending, slot = pending[on], slot[on]
-        return out
-
-    def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """log10 probability of each text of a chunk, its end included."""
-        joined, begin = _joined(data, offsets, self.order)
-        at = _targets(len(joined), begin, offsets)
-        code = _codes(joined, self.order)[at - self.order] if self.order else np.zeros(len(at), np.uint64)
-        row = self.lookup(self.order, code)
-        for size in range(self.order - 1, -1, -1):
-            left = np.flatnonzero(row < 0)
-            if not len(left):
-                break
-            row[left] = self.lookup(size, code[left] & U64((1 << 8 * size) - 1))
-        values = self.rows[row, self.column[joined[at]]]
-        bounds = np.concatenate([[0], np.cumsum(np.diff(offsets) + 1)])
-        return sums_by_doc(values, bounds)
-
-
 _EMPTY = U64((1 << 64) - 1)
 
 
@@ -221,64 +146,110 @@ def _hash_table(codes: np.ndarray, first: int = 0) -> tuple[np.ndarray, np.ndarr
     return keys, values
 
 
-def _contexts(grams: DataFrame, order: int, max_contexts: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(context, symbol, count) of the most frequent contexts of each length: max_contexts of the longest, half as many for each byte less."""
-    levels = []
-    for size in range(order + 1):
-        # a gram's key holds order + 1 bytes, the last one the symbol
-        own = grams if size == order else grams.groupBy(F.expr(f"key & {(1 << 8 * (size + 1)) - 1}L").alias("key")).agg(F.sum("n").alias("n"))
-        own = own.withColumn("context", F.expr("shiftrightunsigned(key, 8)"))
-        room = max(1, max_contexts >> (order - size))
-        if 256**size > room:
-            best = own.groupBy("context").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "context").limit(room)
-            own = own.join(F.broadcast(best.select("context")), "context")
-        table = own.select("key", "n").toArrow()
-        key, n = table["key"].to_numpy(), table["n"].to_numpy()
-        at = np.argsort(key, kind="stable")
-        levels.append(((key[at] >> 8).astype(np.uint64), key[at] & 0xFF, n[at].astype(np.float64)))
-    return levels
-
-
-class WordTable:
-    """Counts of the frequent words by hash; total and distinct of all training tokens."""
+def _trie(grams: DataFrame, order: int) -> DataFrame:
+    """The trie's rows (size, key, n, log): of a gram, the bytes of its context, its own bytes, its count
+    and the log10 probability of its last byte; of a context of k bytes, -1 - k, its bytes, its count and
+    the log10 factor of an escape."""
+    each = [F.struct(F.lit(size).alias("size"), (F.col("key") if size == order else F.expr(f"key & {(1 << 8 * (size + 1)) - 1}L")).alias("key")) for size in range(order + 1)]
+    own = grams.select(F.explode(F.array(*each)).alias("gram"), "n").groupBy("gram.size", "gram.key").agg(F.sum("n").alias("n"))
+    together = Window.partitionBy("size", "context")
+    own = own.withColumn("context", F.expr("shiftrightunsigned(key, 8)"))
+    own = own.withColumn("total", F.sum("n").over(together)).withColumn("distinct", F.count("*").over(together))
+    own = written(own.withColumn("p", (F.col("n") - 0.5) / F.col("total")), "ppm-grams")
+    # what a context has seen, its suffix has seen too
+    suffix = own.select((F.col("size") + 1).alias("size"), F.col("key").alias("suffix"), F.col("p").alias("lower")).where(F.col("size") <= order)
+    below = own.where("size > 0").withColumn("suffix", F.expr("key & (shiftleft(1L, 8 * size) - 1)")).join(suffix, ["size", "suffix"])
+    columns = ["size", "context", "total", "distinct", "lower"]
+    below = below.select(columns).unionByName(own.where("size = 0").withColumn("lower", F.lit(1.0 / SYMBOLS)).select(columns))
+    contexts = below.groupBy("size", "context").agg(F.first("total").alias("n"), (0.5 * F.first("distinct") / F.first("total") / F.greatest(1.0 - F.sum("lower"), F.lit(1e-12))).alias("escape"))
+    rows = own.select("size", "key", "n", F.log10("p").alias("log")).unionByName(contexts.select((-1 - F.col("size")).alias("size"), F.col("context").alias("key"), "n", F.log10("escape").alias("log")))
+    return written(rows, "ppm-trie")
+
+
+def _walked(unseen: DataFrame, trie: DataFrame, order: int) -> DataFrame:
+    """(key, log) of longest grams (``key``) that training never saw: escapes down to the first context that has seen the symbol."""
+    low = lambda column, size: F.expr(f"{column} & {(1 << 8 * size) - 1}L")
+    steps = [F.struct(F.lit(size).alias("size"), low("key", size + 1).alias("part")) for size in range(order)]
+    steps += [F.struct(F.lit(-1 - size).alias("size"), low("shiftrightunsigned(key, 8)", size).alias("part")) for size in range(order + 1)]
+    rows = trie.select("size", F.col("key").alias("part"), "log")
+    found = unseen.select("key", F.inline(F.array(*steps))).join(rows, ["size", "part"]).groupBy("key").agg(
+        F.max(F.when(F.col("size") >= 0, F.struct("size", "log"))).alias("direct"),
+        F.collect_list(F.when(F.col("size") < 0, F.struct((-1 - F.col("size")).alias("size"), "log"))).alias("escapes"),
+    )
+    escapes = F.expr("aggregate(filter(escapes, e -> e.size > coalesce(direct.size, -1)), 0D, (sum, e) -> sum + e.log)")
+    uniform = F.lit(-math.log10(SYMBOLS))
+    found = found.select("key", (escapes + F.coalesce("direct.log", uniform)).alias("log"))
+    return unseen.select("key").join(found, "key", "left").select("key", F.coalesce("log", uniform).alias("log"))
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, total: int, distinct: int, end: int) -> None:
-        order = np.argsort(keys)
-        self.total, self.distinct, self.end = total, distinct, end
-        self.keys, self.values = _hash_table(keys[order].view(np.uint64))
-        self.counts = counts[order]
 
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Count of each hash, -1 where it isn't among the frequent words."""
+class _Table:
+    """Place of each key among the given ones."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.keys, self.values = _hash_table(keys.view(np.uint64))
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """-1 for a key that isn't held."""
         mask = len(self.keys) - 1
-        slot = _slot(hashes, mask)
-        out = np.full(len(hashes), -1, np.int64)
-        pending = np.arange(len(hashes))
+        slot = _slot(keys, mask)
+        out = np.full(len(keys), -1, np.int64)
+        pending = np.arange(len(keys))
         while len(pending):
-            held = self.keys[slot]
-            hit = held == hashes[pending]
-            out[pending[hit]] = self.counts[self.values[slot[hit]]]
-            on = ~hit & (held != _EMPTY)
+            held, value = self.keys[slot], self.values[slot]
+            hit = (held == keys[pending]) & (value >= 0)
+            out[pending[hit]] = value[hit]
+            on = ~hit & (value >= 0)
             pending, slot = pending[on], (slot[on] + 1) & mask
         return out
 
+
+class GramTable(_Table):
+    """log10 probabilities of the frequent grams."""
+
+    def __init__(self, order: int, keys: np.ndarray, logs: np.ndarray) -> None:
+        super().__init__(keys)
+        self.order, self.logs = order, np.append(logs, 0.0)  # the last one is for grams that aren't held
+
+    def scores(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+        """Of each text of a chunk, its end included: the log10 probability of its frequent grams, and the others with their numbers."""
+        joined, begin = _joined(data, offsets, self.order)
+        code = _codes(joined, self.order + 1)[_targets(len(joined), begin, offsets) - self.order]
+        at = self.find(code)
+        bounds = np.concatenate([[0], np.cumsum(np.diff(offsets) + 1)])
+        far = np.flatnonzero(at < 0)
+        doc, key = np.searchsorted(bounds, far, "right") - 1, code[far]
+        by = np.lexsort((key, doc))
+        doc, key = doc[by], key[by]
+        first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])])) if len(key) else np.zeros(0, np.int64)
+        times = np.diff(np.append(first, len(key)))
+        pairs = pa.StructArray.from_arrays([pa.array(signed(key[first])), pa.array(times)], names=["key", "times"])
+        return sums_by_doc(self.logs[at], bounds), pa.ListArray.from_arrays(pa.array(np.searchsorted(doc[first], np.arange(len(offsets))).astype(np.int32)), pairs)
+
+
+class WordTable(_Table):
+    """Counts of the frequent words by hash; total and distinct of all training tokens."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, total: int, distinct: int, end: int) -> None:
+        super().__init__(keys)
+        self.total, self.distinct, self.end, self.counts = total, distinct, end, np.append(counts, -1)
+
     def log10(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 0.1) / (self.total + 0.1 * (self.distinct + 1)))
 
 
-_SCORED = "doc_id long, row long, n_tokens long, n_known long, base_score double, score double, rare array<long>"
+_SCORED = "doc_id long, row long, n_tokens long, n_known long, base_score double, score double, far array<struct<key: long, times: long>>, rare array<long>"
 
 
-def _score(batches: Iterable[pa.RecordBatch], model: PpmModel, words: WordTable) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterable[pa.RecordBatch], grams: GramTable, words: WordTable) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     row = TaskContext.get().partitionId() << 36
     for batch in batches:
-        for rows, data, offsets in chunks(batch, "text"):
-            score = model.scores(data, offsets)
+        for rows, data, offsets in _bounded(batch):
+            score, far = grams.scores(data, offsets)
             w = Words(LOWER[data], offsets)
             hashes = w.hashes()
-            count = words.find(hashes)
+            count = words.counts[words.find(hashes)]
             known = count >= 0
             logs = np.zeros(len(count))
             logs[known] = words.log10(count[known])
@@ -289,14 +260,14 @@ def _score(batches: Iterable[pa.RecordBatch], model: PpmModel, words: WordTable)
             lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(signed(hashes[rare])))
             n = rows.num_rows
             yield pa.RecordBatch.from_arrays(
-                [rows.column(0), pa.array(np.arange(row, row + n)), pa.array(w.per_doc + 1), pa.array(n_known.astype(np.int64)), pa.array(base), pa.array(score), lists],
-                names=["doc_id", "row", "n_tokens", "n_known", "base_score", "score", "rare"],
+                [rows.column(0), pa.array(np.arange(row, row + n)), pa.array(w.per_doc + 1), pa.array(n_known.astype(np.int64)), pa.array(base), pa.array(score), far, lists],
+                names=["doc_id", "row", "n_tokens", "n_known", "base_score", "score", "far", "rare"],
             )
             row += n
 
 
 def _rare_level(vocabulary: DataFrame, frequent: int) -> int:
-    """A count that at most ``frequent`` words exceed, from the number of words by octave of their count."""
+    """A count that at most ``frequent`` words (or grams) exceed, from the number of words by octave of their count."""
     octaves = vocabulary.groupBy(F.floor(4 * F.log2("n")).alias("o")).agg(F.max("n").alias("most"), F.count("*").alias("words"))
     level, room = 0, frequent
     for r in sorted(octaves.collect(), key=lambda r: -r["o"]):  # 256 rows at most
@@ -307,14 +278,17 @@ def _rare_level(vocabulary: DataFrame, frequent: int) -> int:
     return level
 
 
-def lm_score(docs: DataFrame, is_training: Column, doc_id: str = "doc_id", text: str = "text", order: int = 5, max_contexts: int = 1 << 17, frequent: int = 1 << 17, limit: int = 1 << 20) -> DataFrame:
+def lm_score(docs: DataFrame, is_training: Column, doc_id: str = "doc_id", text: str = "text", order: int = 5, frequent_grams: int = 1 << 20, frequent: int = 1 << 17, limit: int = 1 << 20) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row; ``is_training`` is a condition on doc_id."""
     spark = docs.sparkSession
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     training = own.where(is_training).select("text")
-    partial = training.mapInArrow(lambda it: _gather(it, order, limit), "kind int, key long, n long")
+    partial = training.mapInArrow(lambda it: lean(_gather(it, order, limit)), "kind int, key long, n long")
     counts = written(partial.groupBy("kind", "key").agg(F.sum("n").alias("n")), "ppm-counts")
-    model = PpmModel(order, _contexts(counts.where(F.col("kind") == _GRAM).select("key", "n"), order, max_contexts))
+    trie = _trie(counts.where(F.col("kind") == _GRAM).select("key", "n"), order)
+    longest = trie.where(F.col("size") == order).select("key", "n", "log")
+    near = longest.where(F.col("n") > _rare_level(longest, frequent_grams)).toArrow()  # at most ``frequent_grams`` rows
+    grams = GramTable(order, near["key"].to_numpy(), near["log"].to_numpy())
     vocabulary = counts.where(F.col("kind") == _WORD).select("key", "n")
     documents = training.count()
     tokens, distinct = vocabulary.agg(F.sum("n"), F.count("*")).head()
@@ -322,17 +296,23 @@ def lm_score(docs: DataFrame, is_training: Column, doc_id: str = "doc_id", text:
     level = _rare_level(vocabulary, frequent)
     top = vocabulary.where(F.col("n") > level).toArrow()  # at most ``frequent`` rows
     words = WordTable(top["key"].to_numpy(), top["n"].to_numpy(), total, distinct, documents)
-    shared = spark.sparkContext.broadcast((model, words))
-    scored = written(own.mapInArrow(lambda it: _score(it, *shared.value), _SCORED), "lm-scores")
+    shared = spark.sparkContext.broadcast((grams, words))
+    scored = written(own.mapInArrow(lambda it: lean(_score(it, *shared.value)), _SCORED), "lm-scores")
+    shared.unpersist()
     rare = scored.select("row", F.explode("rare").alias("key"))
     known = vocabulary.where(F.col("n") <= level)
     log10 = F.log10((F.coalesce(F.col("n"), F.lit(0)) + 0.1) / F.lit(total + 0.1 * (distinct + 1)))
-    tail = rare.join(known, "key", "left").groupBy("row").agg(F.sum(log10).alias("base"), F.count("n").alias("known"))
-    return scored.drop("rare").join(tail, "row", "left").select(
+    base = rare.join(known, "key", "left").select("row", log10.alias("base"), F.col("n").isNotNull().cast("long").alias("known"), F.lit(0.0).alias("far"))
+    far = scored.select("row", F.inline("far"))
+    looked_up = written(far.select("key").distinct().join(longest.select("key", "log"), "key", "left"), "lm-far")
+    logs = looked_up.where("log is not null").unionByName(_walked(looked_up.where("log is null"), trie, order))
+    score = far.join(logs, "key").select("row", F.lit(0.0).alias("base"), F.lit(0).cast("long").alias("known"), (F.col("times") * F.col("log")).alias("far"))
+    tail = base.unionByName(score).groupBy("row").agg(F.sum("base").alias("base"), F.sum("known").alias("known"), F.sum("far").alias("far_score"))
+    return scored.drop("rare", "far").join(tail, "row", "left").select(
         "doc_id",
         "n_tokens",
         (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base_score") + F.coalesce("base", F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("far_score", F.lit(0.0))).alias("score"),
     )

@@ -244,6 +244,39 @@ def test_ppm_by_hand(spark):
         assert got[i] == pytest.approx(want, rel=1e-4)
 
 
+@pytest.mark.parametrize("limits", [{}, {"frequent_grams": 100}])
+def test_ppm_holds_every_context(spark, limits):
+    """More contexts than any fixed table once held, against counts of all of them; one text has grams never seen."""
+    rng = random.Random(9)
+    order, letters = 5, "abcdefghijklmnopqrstuvwxyz01234"
+    texts = ["".join(rng.choices(letters, k=5000)) for _ in range(34)]
+    counts = defaultdict(Counter)
+    for t in texts[:32]:
+        data = b"\xff" * order + t.encode() + b"\xff"
+        for i in range(order, len(data)):
+            for k in range(order + 1):
+                counts[data[i - k : i]][data[i]] += 1
+    assert sum(len(c) == order for c in counts) > 1 << 17
+
+    def p(symbol, context):
+        own = counts.get(context)
+        if own is None:
+            return p(symbol, context[1:])
+        n, u = sum(own.values()), len(own)
+        if symbol in own:
+            return (own[symbol] - 0.5) / n
+        lower = (lambda s: p(s, context[1:])) if context else (lambda s: 1 / 257)
+        return 0.5 * u / n * lower(symbol) / (1 - sum(lower(s) for s in own))
+
+    texts[33] += "\u00e9~~"
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.score for r in lm_score.lm_score(docs, F.col("doc_id") < 32, **limits).collect()}
+    for i in (0, 31, 32, 33):
+        data = b"\xff" * order + texts[i].encode() + b"\xff"
+        want = sum(math.log10(p(data[k], data[k - order : k])) for k in range(order, len(data)))
+        assert got[i] == pytest.approx(want, rel=1e-6)
+
+
 # mixing
 
 
