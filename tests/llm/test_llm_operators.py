@@ -144,6 +144,30 @@ def test_packing_is_tight(documents):
     assert used <= 1.02 * math.ceil(sum(r.length for r in got) / 1024)
 
 
+def test_packing_of_clustered_lengths(spark):
+    """Partitions of a single length each, whose pieces only fit with those of others: as many sequences as pairs."""
+    own = tokenizer(VOCABULARY)
+    long, short = " the" * 599, " the" * 399
+    assert (len(own.ids(long)), len(own.ids(short))) == (599, 399)
+    found = [(i, long if i < 3000 else short, "en", "a") for i in range(6000)]
+    docs = docs_of(spark, found).repartitionByRange(2, F.col("doc_id") < 3000)
+    for fan_in in (8, 2):
+        got = packing.pack(docs, VOCABULARY, 2, fan_in=fan_in).collect()
+        check_packing(got, found, 1024)
+        assert len({r.sequence_id for r in got}) == 3000
+
+
+def test_best_fit_of_runs():
+    rng = random.Random(10)
+    for _ in range(200):
+        sizes = [rng.randint(1, 40) for _ in range(rng.randint(1, 120))]
+        runs = packing.best_fit_runs(Counter(sizes), 40)
+        assert sorted(fill for bins, fill, _ in runs for _ in range(bins)) == sorted(packing.best_fit(np.array(sizes), 40)[2].tolist())
+        ranks = Counter((s, first + k) for bins, _, held in runs for s, each, first, _ in held for k in range(bins * each))
+        assert ranks == Counter((s, k) for s, n in Counter(sizes).items() for k in range(n))
+        assert all(fill <= 40 and [at for *_, at in held] == np.cumsum([0, *[s * e for s, e, *_ in held]])[:-1].tolist() for _, fill, held in runs)
+
+
 def test_best_fit():
     place, offset, fill = packing.best_fit(np.array([6, 5, 4, 5]), 10)
     assert sorted(fill.tolist()) == [10, 10]
