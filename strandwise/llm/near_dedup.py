@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from ._bytes import LOWER, U64, Words, chunks, mix, signed
 from ._runtime import lean, written
+from .rows import once
 
 BINS = 256
 #: Estimates below the threshold by this much (over 5 standard deviations of 256 bins) are dropped.
@@ -262,8 +263,9 @@ def near_duplicates(
     ids = signed_.select("doc_id", "n_shingles", "set_a", "set_b")
     classes = ids.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("doc"))
     classes = written(classes, "classes")
-    heads = signed_.join(classes.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("doc"), "n_shingles", "mins", "sketch")
-    heads = written(heads, "heads")
+    heads = signed_.join(classes.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("doc"), "n_shingles", "set_a", "mins", "sketch")
+    repeats = ids.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    heads = written(once(heads, repeats, "doc", "set_a").drop("set_a"), "heads")
 
     def children(parents: DataFrame, level: int) -> DataFrame:
         """Nodes of a level with two documents or more: node, tree, position, doc, size."""
@@ -275,7 +277,7 @@ def near_duplicates(
     roots = heads.select(F.lit(0).cast("long").alias("node"), F.explode(F.array(*[F.lit(t) for t in range(trees)])).alias("tree"), "doc", "mins")
     nodes = children(roots, 0)
     large = nodes.where(F.col("size") > node_limit)
-    hot = large.groupBy(F.col("doc").alias("hot_doc")).agg(F.expr("sum(shiftleft(1L, position))").alias("hot"))
+    hot = large.groupBy(F.col("doc").alias("hot_doc")).agg(F.expr("bit_or(shiftleft(1L, position))").alias("hot"))
     small = nodes.where(F.col("size") <= node_limit)
     for level in range(1, levels):
         if large.isEmpty():

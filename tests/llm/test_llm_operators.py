@@ -430,6 +430,26 @@ def test_near_duplicates(spark, node_limit, block):
         assert all(r.kept == (i == r.component_id) for i, r in got.items())
 
 
+def test_near_duplicates_of_repeated_rows(spark):
+    """Rows repeated within nodes over node_limit: their pairs are still compared."""
+    rng = random.Random(11)
+    words = [f"w{n}" for n in range(400)]
+    found = []
+    for _ in range(6):
+        text = rng.choices(words, k=60)
+        for _ in range(30):
+            copy = list(text)
+            for _ in range(rng.randint(0, 4)):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            found.append((len(found), " ".join(copy)))
+    df = spark.createDataFrame(found + found, "doc_id long, text string").repartition(4)
+    want = brute_components(found, 3, 85, 100)
+    for limit in (8, 16, 24):
+        got = near_dedup.near_duplicates(df, 3, (85, 100), node_limit=limit, block=8).collect()
+        assert len(got) == 2 * len(found)
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
 def test_near_duplicates_odd(odd, empty):
     got = near_dedup.near_duplicates(odd, 3, (85, 100)).collect()
     assert len(got) == len(ODD)
