@@ -155,17 +155,18 @@ class LanguageModel:
 
 
 def learn_languages(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int = 500, families: Mapping[str, str] = FAMILIES) -> LanguageModel:
-    """Train from about ``sample`` rows of each language (all, if it has fewer), chosen by a hash of their text.
+    """Train from about ``sample`` distinct texts of each language (all, if it has fewer), chosen by their hash.
 
     ``sample`` is the documented bound on what training reads; it does not depend on the input's size.
     """
     own = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    texts = own.select("lang", F.xxhash64("text").alias("hash")).distinct()  # of a group of copies one counts
+    counts = {r["lang"]: r["n"] for r in texts.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     chance: Column = F.lit(0.0)
     for name, n in counts.items():
         chance = F.when(F.col("lang") == name, min(1.0, sample / n)).otherwise(chance)
-    picked = own.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < chance * (1 << 20))
-    rows = picked.mapInArrow(_frequencies, "lang string, x binary").limit(2 * sample * max(1, len(counts))).toArrow().to_pandas()
+    picked = own.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < chance * (1 << 20)).dropDuplicates(["lang", "text"])
+    rows = picked.mapInArrow(_frequencies, "lang string, x binary").toArrow().to_pandas()
     x = np.frombuffer(b"".join(rows["x"]), np.float32).reshape(len(rows), 1 << BITS)
     order = np.lexsort([x @ np.arange(x.shape[1], dtype=np.float32), rows["lang"].to_numpy(str)]) if len(rows) else []
     return LanguageModel.train(x[order], rows["lang"].to_numpy(object)[order], families)

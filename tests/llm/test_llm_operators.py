@@ -107,6 +107,16 @@ def test_languages_odd(odd, empty):
     assert {r.lang_pred for r in language_id.identify(odd, single).collect()} == {"und", "en"}
 
 
+def test_copies_leave_room_for_other_languages(spark):
+    """A large group of copies that the hash picks counts once."""
+    many = spark.range(2000).select(F.concat(F.lit("copied text number "), "id").alias("text"))
+    copied = many.orderBy(F.pmod(F.xxhash64("text"), F.lit(1 << 20))).head().text
+    found = [(i, copied, "en", "a") for i in range(3000)]
+    found += [(3000 + i, f"{word} {i} {word}", lang, "a") for lang, word in (("en", "house"), ("fr", "maison"), ("es", "casa")) for i in range(100)]
+    model = language_id.learn_languages(docs_of(spark, found).coalesce(1), sample=50)
+    assert set(model.languages) == {"en", "fr", "es"}
+
+
 # packing
 
 
