@@ -12,6 +12,7 @@ same answer; other columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
@@ -21,20 +22,53 @@ from pyspark.sql import functions as F
 
 from ._bytes import U64, chunks, mix
 
-#: The labelled table: (hosts' names, label); crossed with domains and paths below. 1 means block.
-BLOCKED_NAMES = "casino-win free-bets cheap-pills online-casino poker-bonus win-money slots-jackpot cheap-meds pills-discount bet-now free-money hot-girls adult-videos loan-fast payday-cash replica-watches xxx-cams viagra-shop lottery-prize crypto-double click-bait-ads miracle-diet".split()
-ALLOWED_NAMES = "tionble thother history library university cooking weather garden science news-today museum school football travel-notes recipes open-source docs city-council health-service river-walk astronomy thandre ingtion erouat thehe onstand chess-club".split()
+#: Fixed values, the parts of the labelled table: what unwanted and wanted hosts are named after.
+BLOCKED_TOPICS = (
+    "casino poker bingo slots roulette jackpot betting bets gambling lottery sportsbook blackjack "
+    "pills viagra cialis meds steroids painkillers diet-pills adult xxx porn sex nude escort cams webcam-girls milf fetish "
+    "spam scam phishing malware keylogger botnet clickbait link-farm content-farm doorway "
+    "ads adserver adclick popunder tracker tracking retarget banner-ads pixel-track affiliate-ads "
+    "payday-loan fast-cash crypto-double get-rich ponzi forex-signals replica-watches fake-id counterfeit warez keygen torrent-crack cracked-apps"
+).split()
+ALLOWED_TOPICS = (
+    "library university college school science physics chemistry biology history museum gallery archive "
+    "news weather city council transport railway airport hospital clinic health nursing garden farming cooking recipes bakery "
+    "football tennis rowing cycling hiking travel hotel island mountain river forest ocean astronomy geology "
+    "music theatre cinema books poetry language dictionary translation grammar mathematics statistics software docs "
+    "engineering architecture design photo crafts knitting pottery woodwork chess puzzles parenting kindergarten charity volunteers "
+    "law parliament justice economy insurance accounting energy solar water climate wildlife birds horses dogs veterinary"
+).split()
+#: Words beside the topics, which both kinds of names hold, and some that mostly unwanted ones do.
+COMPANIONS = "online world daily best top my the hub zone club center guide shop now 24 house street one".split()
+LURES = "free cheap hot bonus instant easy".split()
 DOMAINS = "example.com example.org example.net site.net page.org".split()
 PREFIXES = "", "www.", "m.", "blog."
 PATHS = "/en/1234", "/de/88/", "/fr/4163.html", "/es/907"
 
 
-def labelled_urls(each: int = 8) -> list[tuple[str, int]]:
-    """The small labelled URL table: ``each`` URLs for every name above, dealt over domains, prefixes and paths."""
+def _deal(text: str) -> int:
+    return zlib.crc32(text.encode())
+
+
+def labelled_names(each: int = 6) -> list[tuple[str, int]]:
+    """Names of hosts with their label, 1 for block: each topic by itself and with ``each`` words beside it, before or after."""
+    found = []
+    for topics, label in ((BLOCKED_TOPICS, 1), (ALLOWED_TOPICS, 0)):
+        for i, topic in enumerate(topics):
+            start = _deal(topic)
+            beside = [COMPANIONS[(start + 5 * k) % len(COMPANIONS)] for k in range(each)]
+            if label:
+                beside[-1] = LURES[i % len(LURES)]
+            found += [(topic, label), *((f"{word}-{topic}" if _deal(topic + word) % 2 else f"{topic}-{word}", label) for word in beside)]
+    return found
+
+
+def labelled_urls(names: Iterable[tuple[str, int]] | None = None, each: int = 1) -> list[tuple[str, int]]:
+    """The small labelled URL table: ``each`` URLs for every name (all of ``labelled_names``, if none are given), dealt over domains, prefixes and paths by a checksum."""
+    pick = lambda parts, n: parts[n % len(parts)]
     return [
-        (f"https://{PREFIXES[k % len(PREFIXES)]}{name}.{DOMAINS[(i + k) % len(DOMAINS)]}{PATHS[(i + k // 2) % len(PATHS)]}", label)
-        for names, label in ((BLOCKED_NAMES, 1), (ALLOWED_NAMES, 0))
-        for i, name in enumerate(names)
+        (f"https://{pick(PREFIXES, _deal(f'prefix {name} {k}'))}{name}.{pick(DOMAINS, _deal(f'domain {name} {k}'))}{pick(PATHS, _deal(f'path {name} {k}'))}", label)
+        for name, label in (labelled_names() if names is None else names)
         for k in range(each)
     ]
 
@@ -81,16 +115,18 @@ def _grams(data: np.ndarray, offsets: np.ndarray, sizes: Sequence[int], bits: in
         yield slot, np.stack([offsets[:-1], np.minimum(last, count)])
 
 
-def _features(texts: list[str], sizes: Sequence[int], bits: int) -> np.ndarray:
-    x = np.zeros((len(texts), 1 << bits), np.float32)
+def _features(texts: list[str], sizes: Sequence[int], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, slot, value) of the features that are not 0."""
+    rows, slots, values = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
     for row, text in enumerate(texts):
         data = np.frombuffer(text.encode(), np.uint8)
-        total = 0
-        for slot, _ in _grams(data, np.array([0, len(data)]), sizes, bits):
-            x[row] += np.bincount(slot, minlength=1 << bits)
-            total += len(slot)
-        x[row] /= max(1, total) ** 0.5
-    return x
+        found = [slot for slot, _ in _grams(data, np.array([0, len(data)]), sizes, bits)]
+        if found:
+            slot, number = np.unique(np.concatenate(found), return_counts=True)
+            rows.append(np.full(len(slot), row))
+            slots.append(slot)
+            values.append(number / number.sum() ** 0.5)
+    return np.concatenate(rows), np.concatenate(slots), np.concatenate(values)
 
 
 def _split(url: str) -> tuple[str, str]:
@@ -112,20 +148,28 @@ class UrlModel:
         self.weights, self.bias, self.sizes, self.bits = weights, bias, tuple(sizes), bits
 
     @classmethod
-    def train(cls, labelled: Iterable[tuple[str, int]], sizes: Sequence[int] = (3, 4, 5), bits: int = 12, steps: int = 300, l2: float = 1e-4) -> UrlModel:
+    def train(cls, labelled: Iterable[tuple[str, int]], sizes: Sequence[int] = (3, 4, 5), bits: int = 14, steps: int = 300, l2: float = 1e-4, share: float = 0.25) -> UrlModel:
+        """Minimise the mean log loss plus ``l2`` / 2 times the squared weights, by accelerated gradients.
+
+        ``share`` is the weight of all URLs to block together: the share of such URLs that is
+        expected, so that names without evidence either way are allowed.
+        """
         pairs = sorted(set(labelled))
-        x = _features([model_text(*_split(u)) for u, _ in pairs], sizes, bits)
+        row, slot, value = _features([model_text(*_split(u)) for u, _ in pairs], sizes, bits)
+        used, slot = np.unique(slot, return_inverse=True)
+        n, bias = len(pairs), len(used)  # the bias is one more feature, of value 1
+        row, slot, value = np.append(row, np.arange(n)), np.append(slot, np.full(n, bias)), np.append(value, np.ones(n))
         y = np.array([label for _, label in pairs], np.float64)
-        w, b = np.zeros(x.shape[1], np.float32), 0.0
-        mw, vw = np.zeros_like(w), np.zeros_like(w)
-        weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
-        for step in range(1, steps + 1):
-            error = ((1 / (1 + np.exp(-(x @ w + b))) - y) * weight).astype(np.float32)
-            g = x.T @ error + l2 * w
-            mw, vw = 0.9 * mw + 0.1 * g, 0.999 * vw + 0.001 * g * g
-            w -= 0.05 * (mw / (1 - 0.9**step)) / (np.sqrt(vw / (1 - 0.999**step)) + 1e-8)
-            b -= 0.5 * error.sum()
-        return cls(w.astype(np.float64), float(b), sizes, bits)
+        weight = np.where(y == 1, share / max(1, (y == 1).sum()), (1 - share) / max(1, (y == 0).sum()))
+        pace = 1 / (0.25 * float((weight[row] * value * value).sum()) + l2)
+        w, ahead = np.zeros(bias + 1), np.zeros(bias + 1)
+        for step in range(steps if n else 0):
+            error = (1 / (1 + np.exp(-np.bincount(row, value * ahead[slot], minlength=n))) - y) * weight
+            before, w = w, ahead - pace * (np.bincount(slot, value * error[row], minlength=bias + 1) + l2 * ahead)
+            ahead = w + step / (step + 3) * (w - before)
+        weights = np.zeros(1 << bits)
+        weights[used] = w[:-1]
+        return cls(weights, float(w[-1]), sizes, bits)
 
     def probabilities(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         total, count = np.zeros(len(offsets) - 1), np.zeros(len(offsets) - 1)
