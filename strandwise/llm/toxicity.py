@@ -5,10 +5,11 @@ A sentence's probability is a logistic function of the hashed words and word ste
 from document labels alone, on a sample of bounded size, and the same sentence scores then
 locate the offending sentences. Scoring reads every text once and needs no shuffle.
 
-Defined results: null or empty text, or text without words, has no sentence and scores 0; a
-document labelled more than once counts with its highest label; null labels are left out; without
-both labels in training every score is 0. Repeated rows get the same answer, other columns are
-ignored, an empty table gives an empty result.
+Defined results: null or empty text, or text without words, has no sentence and scores 0; labels
+above 0 are toxic, others not; a document labelled more than once counts with its highest label;
+null labels and null ids are left out of training; of a training document's rows with different
+texts the least text counts; without texts of words for both labels every score is 0. Repeated rows
+get the same answer, other columns are ignored, an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._bytes import LOWER, NOT_ALNUM, U64, Words, chunks, mix
@@ -73,8 +74,10 @@ class ToxicityModel:
         if len(set(labels.tolist())) < 2:
             return cls(np.zeros(1 << BITS), -60.0)
         per_doc = np.array([len(x) for x in lengths])
-        keep = np.array([k for k in range(len(labels)) if per_doc[k]])
+        keep = np.flatnonzero(per_doc)
         slots, lengths, labels, per_doc = [slots[k] for k in keep], [lengths[k] for k in keep], labels[keep].astype(np.float64), per_doc[keep]
+        if len(set(labels.tolist())) < 2:
+            return cls(np.zeros(1 << BITS), -60.0)
         with_label = np.zeros((2, 1 << BITS))  # documents of each label that have the slot
         for x, y in zip(slots, labels.astype(int), strict=True):
             with_label[y, np.unique(x)] += 1
@@ -120,21 +123,22 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def learn_toxicity(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", sample: int = 2000) -> ToxicityModel:
+def learn_toxicity(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", sample: int = 2000, sample_bytes: int = 32 << 20) -> ToxicityModel:
     """Train from labelled documents where ``usable`` (a condition on doc_id) holds.
 
-    About ``sample`` documents with label 1 and twice as many others are used, chosen by a hash of
-    their id; that is the documented bound on what training reads.
+    At most ``sample`` documents with label 1 and twice as many others are used, the first by a hash
+    of their id, and of either label no more once their texts exceed ``sample_bytes``; that is the
+    documented bound on what training reads.
     """
-    own = labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where(F.col("label").isNotNull() & usable)
-    own = own.groupBy("doc_id").agg(F.max("label").alias("label"))
-    counts = {r["label"]: r["n"] for r in own.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    chance: Column = F.lit(0.0)
-    for value, n in counts.items():
-        chance = F.when(F.col("label") == value, min(1.0, sample * (1 if value == 1 else 2) / n)).otherwise(chance)
-    picked = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < chance * (1 << 20)).limit(4 * sample)
+    own = labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(label).cast("double").alias("label")).where(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & usable)
+    own = own.groupBy("doc_id").agg((F.max("label") > 0).cast("int").alias("label")).withColumn("place", F.xxhash64("doc_id"))
+    order = Window.partitionBy("label").orderBy("place", "doc_id")
+    picked = own.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= 2 * sample).where((F.col("label") == 0) | (F.col("nth") <= sample))
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "label", "text").mapInArrow(_features, "doc_id long, label int, slots binary, lengths binary").toArrow().to_pandas()
+    rows = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label", "place").agg(F.min("text").alias("text"))
+    before = F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("before", before).where(F.coalesce("before", F.lit(0)) < sample_bytes).select("doc_id", "label", "text")
+    rows = rows.mapInArrow(_features, "doc_id long, label int, slots binary, lengths binary").toArrow().to_pandas()
     rows = rows.sort_values(["doc_id", "label"], kind="stable")
     return ToxicityModel.train([np.frombuffer(x, np.int32) for x in rows["slots"]], [np.frombuffer(x, np.int32) for x in rows["lengths"]], rows["label"].to_numpy())
 
