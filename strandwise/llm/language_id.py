@@ -2,13 +2,19 @@
 
 Texts become frequencies of hashed byte n-grams of the whole text, A-Z lower-cased. Linear support
 vector machines (one-versus-one) choose the language family and then separate the languages of
-that family. They are trained on the driver from at most about ``sample`` rows of each language,
-chosen by a hash of their text; scoring reads every text once and needs no shuffle.
-
-Defined results: null text, or text without a letter, gives ``und`` with score 0; languages not in
-the family table are families of their own; with a single learned language everything with a
-letter gets it; with none everything is ``und``. Repeated rows get the same answer, other columns
-are ignored, an empty table gives an empty result.
+that family. They are trained on the driver from at most ``sample`` distinct texts of each language,
+the first by a hash of the text; scoring reads every text once and needs no shuffle.
+
+Votes between learned languages have no "none of these", so the model also tells what share of a
+text's byte 3-grams the predicted language's training texts hold (``known``). Foreign or made-up
+text has a low share. ``recognised`` is whether the share, plus an allowance of 1 / sqrt(n) for the
+chance in n 3-grams, reaches ``least_known``: half of what 99 % of the training texts have when the
+other half of the training texts is asked.
+
+Defined results: null text, or text without a letter, gives ``und`` with score 0, known 0, and isn't
+recognised; languages not in the family table are families of their own; with a single learned
+language everything with a letter gets it; with none everything is ``und``. Repeated rows get the
+same answer, other columns are ignored, an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,7 +24,7 @@ from collections.abc import Iterable, Iterator, Mapping
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._bytes import LOWER, U64, chunks
@@ -32,17 +38,19 @@ FAMILIES = {
 SIZES = 2, 3
 BITS = 12
 SCALE = 30.0
+#: Bytes and hash bits of the grams that tell known from unknown text.
+GRAM, GRAM_BITS = 3, 16
 _HASH = U64(0x9E3779B97F4A7C15)
 
 
-def _slots(data: np.ndarray, n: int) -> np.ndarray:
+def _slots(data: np.ndarray, n: int, bits: int = BITS) -> np.ndarray:
     count = max(0, len(data) - n + 1)
     code = np.full(count, n, np.uint64)
     for k in range(n):
         code <<= U64(8)
         code |= data[k : k + count]
     code *= _HASH
-    code >>= U64(64 - BITS)
+    code >>= U64(64 - bits)
     return code.astype(np.int32)
 
 
@@ -56,13 +64,16 @@ def _frequencies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows, data, offsets in chunks(batch, "text"):
             out = np.zeros((rows.num_rows, 1 << BITS), np.float32)
-            low = LOWER[data]
+            low, grams = LOWER[data], []
             for k in range(rows.num_rows):
                 own = low[offsets[k] : offsets[k + 1]]
                 for n in SIZES:
                     out[k] += np.bincount(_slots(own, n), minlength=1 << BITS)
                 out[k] *= SCALE / max(1.0, float(out[k].sum()))
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([x.tobytes() for x in out], pa.binary())], names=["lang", "x"])
+                slot, times = np.unique(_slots(own, GRAM, GRAM_BITS), return_counts=True)
+                grams.append((slot.astype(np.uint16).tobytes(), times.astype(np.uint32).tobytes()))
+            columns = [[x.tobytes() for x in out], [g for g, _ in grams], [t for _, t in grams]]
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *(pa.array(c, pa.binary()) for c in columns)], names=["lang", "hash", "x", "grams", "times"])
 
 
 def train_svm(x: np.ndarray, y: np.ndarray, c: float = 1.0, epochs: int = 30, seed: int = 7) -> tuple[np.ndarray, float]:
@@ -97,6 +108,29 @@ class LanguageModel:
         self.weights: list[np.ndarray] = []
         self.bias: list[float] = []
         self.pairs: dict[str, list[tuple[int, int, int]]] = {}
+        self.seen = np.ones((len(languages), 1 << GRAM_BITS), bool)
+        self.least_known = 0.0
+
+    def learn_known(self, lang: np.ndarray, grams: list[np.ndarray], times: list[np.ndarray], share: float = 0.5, but: float = 0.01) -> None:
+        """Keep the languages' grams; ``least_known`` is ``share`` of the ``but`` quantile of what texts have, by the grams of every other text."""
+        code = {name: k for k, name in enumerate(self.languages)}
+        halves = np.zeros((2, len(self.languages), 1 << GRAM_BITS), bool)
+        for k, name in enumerate(lang.tolist()):
+            halves[k % 2, code[name], grams[k]] = True
+        known = [float(times[k][halves[1 - k % 2, code[name]][grams[k]]].sum() / times[k].sum()) for k, name in enumerate(lang.tolist()) if len(grams[k])]
+        self.least_known = share * float(np.quantile(known, but)) if known else 0.0
+        self.seen = halves.any(axis=0)
+
+    def known(self, data: np.ndarray, offsets: np.ndarray, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(share of each document's grams that its language's training texts hold, whether that is enough)."""
+        slots = _slots(LOWER[data], GRAM, GRAM_BITS)
+        begin, end = _bounds(offsets, GRAM, len(slots))
+        code = {name: k for k, name in enumerate(self.languages)}
+        own = np.array([code.get(name, 0) for name in names], np.int64)
+        held = self.seen.ravel()[slots + np.repeat(own << GRAM_BITS, np.diff(offsets))[: len(slots)]] if self.languages else np.zeros(len(slots), bool)
+        sums, count = np.concatenate([[0], np.cumsum(held)]), np.maximum(end - begin, 1)
+        share = (sums[end] - sums[begin]) / count
+        return share, share + 1 / np.sqrt(count) >= self.least_known
 
     @classmethod
     def train(cls, x: np.ndarray, lang: np.ndarray, families: Mapping[str, str] = FAMILIES) -> LanguageModel:
@@ -155,21 +189,22 @@ class LanguageModel:
 
 
 def learn_languages(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int = 500, families: Mapping[str, str] = FAMILIES) -> LanguageModel:
-    """Train from about ``sample`` distinct texts of each language (all, if it has fewer), chosen by their hash.
+    """Train from ``sample`` distinct texts of each language (all, if it has fewer), the first by their hash.
 
     ``sample`` is the documented bound on what training reads; it does not depend on the input's size.
     """
-    own = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    texts = own.select("lang", F.xxhash64("text").alias("hash")).distinct()  # of a group of copies one counts
-    counts = {r["lang"]: r["n"] for r in texts.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    chance: Column = F.lit(0.0)
-    for name, n in counts.items():
-        chance = F.when(F.col("lang") == name, min(1.0, sample / n)).otherwise(chance)
-    picked = own.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < chance * (1 << 20)).dropDuplicates(["lang", "text"])
-    rows = picked.mapInArrow(_frequencies, "lang string, x binary").toArrow().to_pandas()
-    x = np.frombuffer(b"".join(rows["x"]), np.float32).reshape(len(rows), 1 << BITS)
-    order = np.lexsort([x @ np.arange(x.shape[1], dtype=np.float32), rows["lang"].to_numpy(str)]) if len(rows) else []
-    return LanguageModel.train(x[order], rows["lang"].to_numpy(object)[order], families)
+    own = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("hash")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    texts = own.groupBy("lang", "hash").agg(F.lit(1).alias("one"))  # of a group of copies one counts
+    order = Window.partitionBy("lang").orderBy("hash")
+    picked = texts.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= sample).select("lang", "hash")
+    chosen = own.join(F.broadcast(picked), ["lang", "hash"]).groupBy("lang", "hash").agg(F.min("text").alias("text"))  # ``sample`` rows a language
+    rows = chosen.mapInArrow(_frequencies, "lang string, hash long, x binary, grams binary, times binary").toArrow().sort_by([("lang", "ascending"), ("hash", "ascending")])
+    names = np.array(rows["lang"].to_pylist(), object)
+    x = np.frombuffer(b"".join(rows["x"].to_pylist()), np.float32).reshape(len(names), 1 << BITS)
+    model = LanguageModel.train(x, names, families)
+    read = lambda column, kind: [np.frombuffer(v, kind) for v in rows[column].to_pylist()]
+    model.learn_known(names, read("grams", np.uint16), read("times", np.uint32))
+    return model
 
 
 _LETTER = regex.compile(r"\p{L}")
@@ -179,13 +214,14 @@ def _predict(batches: Iterable[pa.RecordBatch], model: LanguageModel) -> Iterato
     for batch in batches:
         for rows, data, offsets in chunks(batch, "text"):
             names, score = model.predict(data, offsets)
+            known, enough = model.known(data, offsets, names)
             for k, t in enumerate(rows.column(1)):
-                if not (s := t.as_py()) or not _LETTER.search(s):
-                    names[k], score[k] = "und", 0.0
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(names, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
+                if names[k] == "und" or not (s := t.as_py()) or not _LETTER.search(s):
+                    names[k], score[k], known[k], enough[k] = "und", 0.0, 0.0, False
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(known, pa.float64()), pa.array(enough)], names=["doc_id", "lang_pred", "score", "known", "recognised"])
 
 
 def identify(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score of every row."""
+    """doc_id, lang_pred, score, known, recognised of every row."""
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return own.mapInArrow(lambda it: lean(_predict(it, model)), "doc_id long, lang_pred string, score double")
+    return own.mapInArrow(lambda it: lean(_predict(it, model)), "doc_id long, lang_pred string, score double, known double, recognised boolean")

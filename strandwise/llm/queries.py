@@ -24,10 +24,14 @@ RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example
 
 
 def fold(doc_id: str, parts: int) -> F.Column:
-    """Remainder of crc32(doc_id as text)."""
+    """Remainder of crc32(doc_id as text). It is null for a null id, whose row is neither learned from nor held out."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % parts
 
 
+def held_out(doc_id: str, parts: int, remainder: int) -> F.Column:
+    return F.coalesce(fold(doc_id, parts) == remainder, F.lit(False)).alias("held_out")
+
+
 def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
@@ -39,7 +43,7 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = learn_languages(docs.where(fold("doc_id", 3) != 1))
-    return identify(docs, model).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+    return identify(docs, model).select("doc_id", held_out("doc_id", 3, 1), "lang_pred", "score", "known", "recognised")
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +56,7 @@ def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = lm_score(table(spark, sf_dir, "documents"), fold("doc_id", 10) != 0)
-    return scored.select("doc_id", (fold("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return scored.select("doc_id", held_out("doc_id", 10, 0), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +68,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = learn_toxicity(docs, table(spark, sf_dir, "labels"), fold("doc_id", 3) != 1)
     scored = score_toxicity(docs, model)
     return scored.select(
-        "doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.size("offending").alias("n_offending")
+        "doc_id", held_out("doc_id", 3, 1), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.size("offending").alias("n_offending")
     )
 
 

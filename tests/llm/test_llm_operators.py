@@ -117,6 +117,32 @@ def test_copies_leave_room_for_other_languages(spark):
     assert set(model.languages) == {"en", "fr", "es"}
 
 
+def test_a_language_of_one_text(spark):
+    """All rows of a language share one text: it is learned, whatever the text's hash."""
+    found = [(i, f"{word} {i} {word}", lang, "a") for lang, word in (("en", "house"), ("fr", "maison")) for i in range(100)]
+    for text in ("una casa", "otra casa", "mi casa", "la casa"):
+        model = language_id.learn_languages(docs_of(spark, found + [(1000 + i, text, "es", "a") for i in range(300)]), sample=20)
+        assert model.languages == ["en", "es", "fr"]
+
+
+def test_unknown_text_is_not_recognised(spark):
+    """Foreign, other scripts and random letters, against held-out documents of the learned languages."""
+    rng = random.Random(12)
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language_id.learn_languages(documents.where(queries.fold("doc_id", 3) != 1))
+    strange = [
+        "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью",
+        "人人生而自由，在尊严和权利上一律平等。他们赋有理性和良心，并应以兄弟关系的精神相对待。",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem " * 5,
+        "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=400)),
+        "x" * 3000,
+    ]
+    got = language_id.identify(docs_of(spark, [(i, t, None, None) for i, t in enumerate(strange)]), model).collect()
+    assert [r.recognised for r in got] == [False] * len(strange)
+    held = language_id.identify(documents.where(queries.fold("doc_id", 3) == 1), model).where("lang_pred <> 'und'")
+    assert held.where("not recognised").count() == 0
+
+
 # packing
 
 
@@ -372,6 +398,34 @@ def test_toxicity(spark, odd, empty, sf_dir):
     assert max(r.score for r in toxicity.score_toxicity(odd, nothing).collect()) < 1e-6
 
 
+def test_toxicity_of_odd_training(spark):
+    """Labels beside 0 and 1, training texts without words, ids repeated in the documents and null."""
+    found = [(i, "?? !" if i < 20 else f"some plain words {i}", "en", "a") for i in range(40)] + [(None, "words", "en", "a")]
+    docs = docs_of(spark, found + [(25, f"again {n}", "en", "a") for n in range(50)])
+    for bad, wordless in (((0,), True), ((20,), False)):
+        marks = [(i, 2 if i >= bad[0] and i < bad[0] + 20 else -1) for i in range(40)] + [(None, 1), (3, None)]
+        model = toxicity.learn_toxicity(docs, spark.createDataFrame(marks, "doc_id long, toxic int"), F.lit(True), sample=30)
+        scores = [r.score for r in toxicity.score_toxicity(docs, model).collect()]
+        assert len(scores) == len(found) + 50 and all(0 <= x <= 1 for x in scores)
+        assert max(scores) < 1e-6 or not wordless
+    none = toxicity.ToxicityModel.train([np.zeros(0, np.int32)] * 4, [np.zeros(0, np.int32)] * 4, np.array([0, 1, 0, 1]))
+    assert none.bias == -60.0
+
+
+def test_toxicity_training_is_bounded(spark):
+    """At most ``sample`` and twice as many rows, and no more once ``sample_bytes`` are exceeded, the same ones each time."""
+    docs = docs_of(spark, [(i, f"word{i % 7} " * 30, "en", "a") for i in range(300)])
+    marks = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, toxic int")
+    seen = []
+    train = toxicity.ToxicityModel.train
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(toxicity.ToxicityModel, "train", classmethod(lambda cls, slots, lengths, labels: (seen.append(Counter(labels.tolist())), train(slots, lengths, labels))[1]))
+        for parts, more in ((1, {}), (5, {}), (3, {"sample_bytes": 1000})):
+            toxicity.learn_toxicity(docs.repartition(parts), marks, F.lit(True), sample=20, **more)
+    assert seen[0] == seen[1] == {0: 40, 1: 20}
+    assert seen[2] == {0: 6, 1: 6}
+
+
 # top k
 
 
