@@ -13,6 +13,7 @@ from strandwise.functions.enums import ALGORITHMS
 from strandwise.functions.sequence import cigar_ops
 from strandwise.operators.cigar import genome_span
 from strandwise.plans.readset import cut_windows
+from strandwise.plans.storage import ship_package
 from strandwise.sources import read_bam, read_genome, read_reads, read_sam, write_plot, write_reads
 from strandwise.sources.alignments import without_unmapped
 
@@ -100,6 +101,7 @@ def _demo(spark: SparkSession, args: argparse.Namespace) -> None:
 def main(argv: Sequence[str] | None = None) -> None:
     args = validated(parser().parse_args(argv))
     spark = SparkSession.builder.appName("strandwise").getOrCreate()
+    ship_package(spark)
     (_demo if args.demo else _evaluate if args.evaluate else _correct)(spark, args)
 
 
