@@ -1,44 +1,19 @@
-"""Shared plumbing: durable intermediate tables and schema helpers."""
+"""Shared plumbing: durable intermediate tables and batches."""
 
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from strandwise.plans.storage import clean, cut, new_path, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = folder.get() if folder.isDefined() else None
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="strandwise-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
+__all__ = ["clean", "lean", "new_path", "shared_dir", "table", "written"]
 
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: the lineage ends in files that outlive executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def clean(spark: SparkSession) -> None:
-    """Delete all tables that ``written`` has made in the shared folder, once no result that reads them is needed."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tables")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+#: A table written to the shared folder and read again.
+written = cut
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -4,9 +4,10 @@ Documents are sets of word shingles. Equal sets are one class from the start (by
 the set), so copies never meet again. Every independent tree branches the class representatives by
 minwise tokens: a node's children are keyed by the node and by the minwise token of each of
 ``branch`` permutations picked for that level. Nodes of at most ``node_limit`` documents are compared
-exhaustively, larger ones branch again; nodes still larger at the last level are compared
-exhaustively too. A pair at similarity s is lost by a tree only if all branches part it:
-(1 - s) ** branch at the first level, 0.0034 at s = 0.85; by all ``trees`` trees 4e-8.
+exhaustively, larger ones branch again, as long as that pays: a node whose children together hold
+three quarters of its pairs or more has documents so much alike that it is compared exhaustively. A
+pair at similarity s is lost by a tree only if all branches part it: (1 - s) ** branch at the first
+level, 0.0034 at s = 0.85; by all ``trees`` trees 4e-8.
 
 Exhaustive comparison is cut into blocks of ``block`` documents, dealt to tasks pair of blocks by
 pair of blocks, so a large node is shared out. A first pass compares 256-byte sketches to drop
@@ -15,6 +16,9 @@ shares), a second confirms links on the full sets. Each task reports a spanning
 links, never all pairs; groups are the connected components of those forests, found by
 alternating star contractions in the shared storage.
 
+Shingles are 64-bit hashes of their words, kept by document. Two of the n shingles of a pair share a
+hash by chance with a probability of n * n / 2 ** 65, 3e-6 for ten million shingles.
+
 Defined results: null or empty texts, or texts without words, have the empty set and are linked with
 nothing; texts with fewer words than a shingle have their whole sequence as the one shingle; rows
 that share an id are one document; a null id is linked with nothing and its component is
@@ -37,7 +41,6 @@ from .rows import once
 BINS = 256
 #: Estimates below the threshold by this much (over 5 standard deviations of 256 bins) are dropped.
 MARGIN = 0.13
-_HASH_BITS = 52
 
 
 def _sets(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, width: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -64,38 +67,68 @@ def _sets(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, width: in
                         value = value * U64(0xA0761D6478BD642F) + x
                 whole.append(value)
             doc, shingle = np.concatenate([doc, short]), np.concatenate([shingle, mix(np.array(whole, np.uint64))])
-        keyed = np.sort((doc.astype(np.uint64) << U64(_HASH_BITS)) | (shingle >> U64(64 - _HASH_BITS)))
-        if len(keyed):
-            keyed = keyed[np.concatenate([[True], keyed[1:] != keyed[:-1]])]
+        order = np.argsort(shingle)
+        order = order[np.argsort(doc[order].astype(np.uint16), kind="stable")]  # by document, then by hash
+        doc, shingle = doc[order], shingle[order]
+        if len(doc):
+            new = np.concatenate([[True], (shingle[1:] != shingle[:-1]) | (doc[1:] != doc[:-1])])
+            doc, shingle = doc[new], shingle[new]
         count = len(own) - 1
-        bounds = np.searchsorted(keyed, np.arange(count + 1, dtype=np.uint64) << U64(_HASH_BITS)) if count < 4096 else np.append(np.searchsorted(keyed, np.arange(count, dtype=np.uint64) << U64(_HASH_BITS)), len(keyed))
-        yield rows.slice(k, count), keyed & U64((1 << _HASH_BITS) - 1), bounds
+        yield rows.slice(k, count), shingle, np.searchsorted(doc, np.arange(count + 1))
+
+
+def _seeds(first: int, permutations: int) -> np.ndarray:
+    return mix(np.arange(first + 1, first + permutations + 1, dtype=np.uint64) * U64(0x9E3779B97F4A7C15))
+
+
+def _minima(mixed: np.ndarray, bounds: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """Minwise token of each set under each permutation; 0 for empty sets."""
+    mins = np.zeros((len(bounds) - 1, len(seeds)), np.uint64)
+    some = np.flatnonzero(np.diff(bounds))
+    if len(some):
+        starts = bounds[:-1][some]
+        for j, seed in enumerate(seeds):
+            v = (mixed ^ seed) * U64(0xFF51AFD7ED558CCD)
+            v ^= v >> U64(32)
+            v *= U64(0xC4CEB9FE1A85EC53)
+            mins[some, j] = np.minimum.reduceat(v, starts)
+    return mins
+
+
+def _lists(mins: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(mins) + 1, dtype=np.int32) * mins.shape[1]), pa.array(signed(mins.ravel())))
+
+
+def _more_minima(batches: Iterable[pa.RecordBatch], width: int, seeds: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for rows, data, offsets in chunks(batch, "text"):
+            for part, values, bounds in _sets(rows, data, offsets, width):
+                sums, mixed = np.zeros(part.num_rows, np.uint64), mix(values + U64(1))
+                some = np.flatnonzero(np.diff(bounds))
+                if len(some):
+                    sums[some] = np.add.reduceat(mixed, bounds[:-1][some])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(signed(sums)), _lists(_minima(mixed, bounds, seeds))], names=["doc", "set_a", "mins"])
 
 
 def _signatures(batches: Iterable[pa.RecordBatch], width: int, permutations: int) -> Iterator[pa.RecordBatch]:
-    seeds = mix(np.arange(1, permutations + 1, dtype=np.uint64) * U64(0x9E3779B97F4A7C15))
+    seeds = _seeds(0, permutations)
     for batch in batches:
         for rows, data, offsets in chunks(batch, "text"):
             for part, values, bounds in _sets(rows, data, offsets, width):
                 n = part.num_rows
                 sizes = np.diff(bounds)
                 some = np.flatnonzero(sizes)
-                mins, bins = np.zeros((n, permutations), np.uint64), np.full(n * BINS, U64((1 << 64) - 1))
+                bins = np.full(n * BINS, U64((1 << 64) - 1))
                 sums = np.zeros((2, n), np.uint64)
+                mixed = mix(values + U64(1))
                 if len(some):
                     starts = bounds[:-1][some]
-                    mixed = mix(values + U64(1))
                     sums[0, some] = np.add.reduceat(mixed, starts)
                     sums[1, some] = np.add.reduceat(mix(mixed), starts)
-                    for j, seed in enumerate(seeds):
-                        v = (mixed ^ seed) * U64(0xFF51AFD7ED558CCD)
-                        v ^= v >> U64(32)
-                        v *= U64(0xC4CEB9FE1A85EC53)
-                        mins[some, j] = np.minimum.reduceat(v, starts)
                     doc = np.repeat(np.arange(n), sizes)
                     np.minimum.at(bins, doc * BINS + (mixed & U64(BINS - 1)).astype(np.int64), mixed)
                 sketch = np.where(bins == U64((1 << 64) - 1), 0, 1 + (bins >> U64(16)) % U64(255)).astype(np.uint8).reshape(n, BINS)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * permutations), pa.array(signed(mins.ravel())))
+                lists = _lists(_minima(mixed, bounds, seeds))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(sizes.astype(np.int64)), pa.array(signed(sums[0])), pa.array(signed(sums[1])), lists, pa.array([x.tobytes() for x in sketch], pa.binary())],
                     names=["doc_id", "n_shingles", "set_a", "set_b", "mins", "sketch"],
@@ -215,11 +248,26 @@ def _forest(docs: np.ndarray, sets: list[np.ndarray], over: int, under: int) ->
     return [f for f in found if f[0] != f[1]]
 
 
-def components(links: DataFrame) -> DataFrame:
+def _with_least(edges: DataFrame, n: int, of: DataFrame, limit: int) -> DataFrame:
+    """``edges`` (u, v; n of them at most) with m of their u, from ``of`` (centre, m, degree).
+
+    Centres of more than ``limit`` edges, or of a hundred-thousandth of all, are broadcast, at most
+    200 000 of them, so that no task gets all edges of one.
+    """
+    limit = max(limit, n // 100_000)
+    hot = F.broadcast(of.where(F.col("degree") > limit).select("centre", "m"))
+    cold = of.where(F.col("degree") <= limit).select(F.col("centre").alias("cold"), F.col("m").alias("cold_m"))
+    known = edges.join(hot, F.col("u") == F.col("centre"), "left")
+    rest = known.where("centre is null").select("u", "v").join(cold, F.col("u") == F.col("cold")).select("u", "v", F.col("cold_m").alias("m"))
+    return known.where("centre is not null").select("u", "v", "m").unionByName(rest)
+
+
+def components(links: DataFrame, limit: int = 1000) -> DataFrame:
     """(node, component) of every node of ``links`` (u, v): component is the smallest node reachable.
 
     Alternating large-star and small-star contractions: each round is two aggregations and two
-    joins over the links, and the links shrink to stars in a logarithmic number of rounds.
+    joins over the links, and the links shrink to stars in a logarithmic number of rounds. Edges of
+    nodes with more than ``limit`` of them find their least neighbour by a broadcast.
     """
     edges = written(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     seen = None
@@ -229,11 +277,10 @@ def components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
         seen = now
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("centre"), F.least("u", "m").alias("m"))
-        large = both.join(least, F.col("u") == F.col("centre")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = written(large, "stars")
-        least = large.groupBy(F.col("u").alias("centre")).agg(F.min("v").alias("m"))
-        small = large.join(least, F.col("u") == F.col("centre")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy(F.col("u").alias("centre")).agg(F.min("v").alias("m"), F.count("*").alias("degree")).withColumn("m", F.least("centre", "m"))
+        large = written(_with_least(both.where("v > u"), now[0], least, limit).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "stars")
+        least = large.groupBy(F.col("u").alias("centre")).agg(F.min("v").alias("m"), F.count("*").alias("degree"))
+        small = _with_least(large, now[0], least, limit).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = written(small.unionByName(least.select(F.col("centre").alias("u"), F.col("m").alias("v"))).distinct(), "links")
 
 
@@ -268,22 +315,32 @@ def near_duplicates(
     heads = written(once(heads, repeats, "doc", "set_a").drop("set_a"), "heads")
 
     def children(parents: DataFrame, level: int) -> DataFrame:
-        """Nodes of a level with two documents or more: node, tree, position, doc, size."""
-        spread = parents.select("node", "tree", "doc", F.posexplode(F.slice("mins", F.col("tree") * branch + (level * first + 1), branch)).alias("way", "value"))
-        spread = spread.select(F.xxhash64("node", "tree", "way", "value", F.lit(level)).alias("node"), "tree", (F.col("tree") * branch + F.col("way")).cast("int").alias("position"), "doc")
+        """Nodes of a level with two documents or more: node, tree, position, doc, size, and what their parent is."""
+        at = level % levels * first + 1
+        spread = parents.select("node", "tree", "parent_size", "doc", F.posexplode(F.slice("mins", F.col("tree") * branch + at, branch)).alias("way", "value"))
+        spread = spread.select(F.xxhash64("node", "tree", "way", "value", F.lit(level)).alias("node"), "tree", (F.col("tree") * branch + F.col("way")).cast("int").alias("position"), "doc", F.col("node").alias("parent"), "parent_size")
         sizes = spread.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
         return written(spread.join(sizes, "node"), "nodes")
 
-    roots = heads.select(F.lit(0).cast("long").alias("node"), F.explode(F.array(*[F.lit(t) for t in range(trees)])).alias("tree"), "doc", "mins")
-    nodes = children(roots, 0)
+    roots = heads.select(F.lit(0).cast("long").alias("node"), F.explode(F.array(*[F.lit(t) for t in range(trees)])).alias("tree"), F.lit(0).cast("long").alias("parent_size"), "doc", "mins")
+    compared = ["node", "tree", "position", "doc", "size"]
+    nodes = children(roots, 0).select(compared)
     large = nodes.where(F.col("size") > node_limit)
     hot = large.groupBy(F.col("doc").alias("hot_doc")).agg(F.expr("bit_or(shiftleft(1L, position))").alias("hot"))
     small = nodes.where(F.col("size") <= node_limit)
-    for level in range(1, levels):
-        if large.isEmpty():
-            break
-        nodes = children(large.select("node", "tree", "doc").join(heads.select("doc", "mins"), "doc"), level).withColumn("position", F.lit(first))
-        small = small.unionByName(nodes if level == levels - 1 else nodes.where(F.col("size") <= node_limit))
+    level, mins = 0, heads.select("doc", "mins")
+    while not large.isEmpty():
+        level += 1
+        if level % levels == 0:  # tokens of further permutations, for the documents that need them
+            open_ = large.select("doc").distinct()
+            again = own.join(open_, F.col("doc_id") == F.col("doc"), "left_semi").mapInArrow(lambda it, seeds=_seeds(level * first, levels * first): lean(_more_minima(it, width, seeds)), "doc long, set_a long, mins array<long>")
+            mins = written(once(again, repeats, "doc", "set_a").drop("set_a"), "mins")
+        nodes = children(large.select("node", "tree", F.col("size").alias("parent_size"), "doc").join(mins, "doc"), level).withColumn("position", F.lit(first))
+        pairs = nodes.groupBy(F.col("parent").alias("alike")).agg(F.sum("size").alias("pairs"), F.max("parent_size").alias("of"))
+        alike = written(pairs.where(F.col("pairs") >= 0.75 * F.col("of").cast("double") * F.col("of")).select("alike"), "alike")
+        small = small.unionByName(large.join(alike, F.col("node") == F.col("alike"), "left_semi").withColumn("position", F.lit(first)))
+        nodes = nodes.join(alike, F.col("parent") == F.col("alike"), "left_anti").select(compared)
+        small = small.unionByName(nodes.where(F.col("size") <= node_limit))
         large = nodes.where(F.col("size") > node_limit)
     blocks = F.ceil(F.col("size") / block).cast("int")
     dealt = small.select("node", "position", "doc", blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("doc", "node"), F.col("blocks")).cast("int"))

@@ -1,4 +1,4 @@
-"""Taking rows out of a table by id, or repeating them, without moving the table where the ids are few."""
+"""Telling rows apart by id, taking them out of a table or repeating them, without moving the table where the ids are few."""
 
 from __future__ import annotations
 
@@ -15,6 +15,27 @@ def _small(ids: DataFrame, limit: int) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= limit else ids
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """``name``, or a longer one that no column of ``docs`` has."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
+def told_apart(docs: DataFrame, doc_id: str = "doc_id", nulls_first: bool = True) -> tuple[DataFrame, str]:
+    """The rows and the name of a column that has another value in each of them, and sorts them as their ids do.
+
+    That is the id itself, unless rows repeat one or have none; then the table is sorted by id (rows
+    without one first or last), numbered and written with the numbers.
+    """
+    ids = docs.select(F.col(doc_id).alias("id"))
+    if ids.where("id is null").isEmpty() and ids.groupBy("id").count().where("count > 1").isEmpty():
+        return docs, doc_id
+    name = fresh(docs, "row number")
+    order = F.col(doc_id).asc_nulls_first() if nulls_first else F.col(doc_id).asc_nulls_last()
+    return written(docs.orderBy(order).withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+
+
 def without(docs: DataFrame, ids: DataFrame, doc_id: str = "doc_id", limit: int = BROADCAST_ROWS) -> DataFrame:
     """Rows whose id isn't in ``ids`` (one column of its own name). Rows without an id stay."""
     gone = _small(written(ids.toDF("gone").where("gone is not null").distinct(), "gone"), limit)
@@ -32,9 +53,11 @@ def once(docs: DataFrame, ids: DataFrame, doc_id: str = "doc_id", text: str = "t
 
 
 def repeated(docs: DataFrame, copies: DataFrame, doc_id: str = "doc_id", limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Each row as often as ``copies`` (id, number) says for its id; rows without an entry go."""
-    times = copies.toDF("times_id", "times").where("times > 0").groupBy("times_id").agg(F.max("times").alias("times"))
+    """Each row as often as ``copies`` (id, number, and what else belongs to the id) says, with the other columns of
+    ``copies`` and, as the last one, which of its copies a row is (from 1); rows without an entry go."""
+    key, number, *others = copies.columns
+    times = copies.withColumnsRenamed({key: "times_id", number: "times"}).where("times > 0")
     times = _small(written(times, "times"), limit)
     joined = docs.join(times, docs[doc_id].eqNullSafe(times["times_id"]))
     each = F.explode(F.sequence(F.lit(1).cast("long"), times["times"]))
-    return joined.select(*[docs[c] for c in docs.columns], each.alias("nth of its copies")).drop("nth of its copies")
+    return joined.select(*[docs[c] for c in docs.columns], *[times[c] for c in others], each.alias(fresh(docs, "nth")))

@@ -533,6 +533,59 @@ def test_near_duplicates_of_repeated_rows(spark):
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
 
 
+@pytest.mark.parametrize("levels", [1, 3])
+def test_nodes_that_branching_does_not_part(spark, levels):
+    """Documents that all share half of their words but few links, and many copies with changes: levels end by themselves."""
+    rng = random.Random(13)
+    words = [f"w{n}" for n in range(4000)]
+    common, found = rng.choices(words, k=40), []
+    for _ in range(60):
+        found.append((len(found), " ".join(common + rng.choices(words, k=40))))
+    for _ in range(40):
+        copy = list(common)
+        copy[rng.randrange(40)] = rng.choice(words)
+        found.append((len(found), " ".join(copy)))
+    df = spark.createDataFrame(found, "doc_id long, text string").repartition(3)
+    got = near_dedup.near_duplicates(df, 3, (85, 100), node_limit=8, block=8, levels=levels).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(found, 3, 85, 100)
+
+
+def prefix_components(found, width, under, over):
+    """Components by an exact prefix filter: a pair that links shares one of each set's rarest shingles."""
+    sets, label = {}, {}
+    for i, t in found:
+        w = low(t).split()
+        sets[i] = frozenset([tuple(w)] if 0 < len(w) < width else [tuple(w[k : k + width]) for k in range(len(w) - width + 1)])
+        label[i] = i
+    often, first, by_shingle = Counter(x for s in sets.values() for x in s), {}, defaultdict(list)
+
+    def root(i):
+        while label[i] != i:
+            label[i] = i = label[label[i]]
+        return i
+
+    for i in sorted(sets):  # equal sets are linked; one of them stands for all
+        if sets[i]:
+            label[i] = first.setdefault(sets[i], i)
+    for i in first.values():
+        own = sorted(sets[i], key=lambda x: (often[x], x))
+        for x in own[: len(own) - len(own) * under // over + 1]:
+            for j in by_shingle[x]:
+                a, b = sorted((root(i), root(j)))
+                if a != b and over * (both := len(sets[i] & sets[j])) >= under * (len(sets[i]) + len(sets[j]) - both):
+                    label[b] = a
+            by_shingle[x].append(i)
+    return {i: (len(sets[i]), root(i)) for i in sets}
+
+
+def test_no_link_is_lost_at_sf01(spark):
+    """All of sf0.1, at the registered query's parameters."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").collect()
+    want = prefix_components([(r.doc_id, r.text) for r in rows], 3, 85, 100)
+    got = queries.op9_near_dedup(spark, "/root/testdata/sf0.1").collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
 def test_near_duplicates_odd(odd, empty):
     got = near_dedup.near_duplicates(odd, 3, (85, 100)).collect()
     assert len(got) == len(ODD)
@@ -561,9 +614,10 @@ def test_components(spark):
     for _ in range(500):
         for a, b in edges:
             label[a] = label[b] = min(label[a], label[b])
-    got = {r.node: r.component for r in near_dedup.components(spark.createDataFrame(edges, "u long, v long")).collect()}
     alone = {n for n in label if all(a == b for a, b in edges if n in (a, b))}
-    assert {n: c for n, c in got.items() if n != c} == {n: c for n, c in label.items() if n != c and n not in alone}
+    for limit in (1000, 10):
+        got = {r.node: r.component for r in near_dedup.components(spark.createDataFrame(edges, "u long, v long"), limit).collect()}
+        assert {n: c for n, c in got.items() if n != c} == {n: c for n, c in label.items() if n != c and n not in alone}
 
 
 # URLs
@@ -642,4 +696,22 @@ def test_rows(spark):
         assert sorted(r.gone for r in rows.without(df, ids, limit=limit).collect()) == [7, 8]
         assert rows.once(df, ids, limit=limit).count() == 3
         copies = spark.createDataFrame([(1, 2), (2, 0), (None, 1)], "doc_id long, n long")
-        assert Counter(r.gone for r in rows.repeated(df, copies, limit=limit).collect()) == {5: 2, 6: 2, 8: 1}
+        assert Counter((r.gone, r.nth) for r in rows.repeated(df, copies, limit=limit).collect()) == {(5, 1): 1, (5, 2): 1, (6, 1): 1, (6, 2): 1, (8, 1): 1}
+
+
+def test_rows_told_apart(spark):
+    same, key = rows.told_apart(spark.createDataFrame([(2, "a"), (1, "b")], "doc_id long, text string"))
+    assert key == "doc_id" and same.columns == ["doc_id", "text"]
+    df = spark.createDataFrame([(2, 0), (1, 0), (None, 0), (2, 0), (7, 0)], ["doc_id", "row number"]).repartition(3)
+    for first in (True, False):
+        own, key = rows.told_apart(df, nulls_first=first)
+        found = [r.doc_id for r in own.orderBy(key).collect()]
+        assert key == "row number_" and own.select(key).distinct().count() == 5
+        assert found == ([None, 1, 2, 2, 7] if first else [1, 2, 2, 7, None])
+
+
+def test_first_words(spark):
+    text = "  a bb\n\nc  \u00a0d e  "
+    df = spark.createDataFrame([(text, n) for n in range(1, 6)], "text string, n long")
+    got = [r.t for r in df.orderBy("n").select(mixing.first_words(F.col("text"), F.col("n")).alias("t")).collect()]
+    assert got == ["  a", "  a bb", "  a bb\n\nc", "  a bb\n\nc  \u00a0d", "  a bb\n\nc  \u00a0d e"]
