@@ -1,7 +1,8 @@
 """Vectorised work on the UTF-8 bytes of Arrow string columns.
 
-All helpers take whole texts; ``chunks`` only bounds how many documents are held in
-temporary arrays at once (one document is never divided).
+All helpers take whole texts. ``chunks`` bounds how many documents are held in temporary arrays at
+once; a document of more than ``PART`` bytes is a chunk of its own, worked on part by part with what
+carries over, so that temporary arrays stay bounded for texts of any length.
 """
 
 from __future__ import annotations
@@ -10,9 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U64 = np.uint64
 CHUNK_BYTES = 1 << 20
+PART = 4 << 20
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -52,8 +55,9 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
-def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """(rows, bytes, offsets) for runs of rows of about ``limit`` bytes of text; null counts as empty."""
+def chunks(batch: pa.RecordBatch, column: str, limit: int | None = None) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(rows, bytes, offsets) for runs of rows of about ``limit`` bytes of text (``CHUNK_BYTES``, if none); null counts as empty."""
+    limit = limit or CHUNK_BYTES
     text = batch.column(batch.schema.get_field_index(column))
     if text.null_count:
         text = text.fill_null("")
@@ -71,6 +75,32 @@ def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iter
         start = end
 
 
+def parts(size: int) -> Iterator[tuple[int, int]]:
+    """[begin, end) of the parts of ``size`` bytes."""
+    for begin in range(0, max(size, 1), PART):
+        yield begin, min(size, begin + PART)
+
+
+def cut_parts(data: np.ndarray, separators: np.ndarray = SPACE, anywhere: bool = False) -> Iterator[tuple[int, int]]:
+    """[begin, end) of parts that end at a separator, of about ``PART`` bytes at most.
+
+    Where none comes in time, the part is all up to the next one, or of ``PART`` bytes with ``anywhere``.
+    """
+    begin, window = 0, PART if anywhere else PART + 1  # a word of ``PART`` bytes and the separator after it are found
+    while begin < len(data):
+        end = min(len(data), begin + window)
+        if end < len(data) or end - begin > PART:
+            found = np.flatnonzero(separators[data[begin:end]])
+            if len(found):
+                end = begin + int(found[-1]) + 1
+            elif not anywhere:
+                while end < len(data) and not separators[data[end - 1]]:
+                    more = np.flatnonzero(separators[data[end : end + PART]])
+                    end = end + int(more[0]) + 1 if len(more) else min(len(data), end + PART)
+        yield begin, end
+        begin = end
+
+
 class Words:
     """Words of a chunk: begin, end (byte positions), doc (row of the chunk), per-row bounds."""
 
@@ -99,6 +129,26 @@ class Words:
         return mix(h ^ (self.end - self.begin).astype(np.uint64) * _ODD)
 
 
+class Hashes:
+    """64-bit hashes of a chunk's words (``h``), with doc, bounds and per_doc as in ``Words``; a word of more than ``PART`` bytes has one of its own kind."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray) -> None:
+        if len(data) <= PART:
+            words = Words(data, offsets)
+            self.h, self.doc, self.bounds, self.per_doc = words.hashes(), words.doc, words.bounds, words.per_doc
+            return
+        found = []
+        for begin, end in cut_parts(data):
+            own = data[begin:end]
+            word = own[~SPACE[own]]
+            if len(word) > PART:  # a part of this one word
+                found.append(np.array([xxhash.xxh64_intdigest(word.tobytes())], np.uint64))
+            else:
+                found.append(Words(own, np.array([0, end - begin])).hashes())
+        self.h = np.concatenate(found)
+        self.doc, self.bounds, self.per_doc = np.zeros(len(self.h), np.int64), np.array([0, len(self.h)]), np.array([len(self.h)])
+
+
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 

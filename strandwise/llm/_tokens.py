@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -12,6 +13,11 @@ import numpy as np
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
 
+#: Characters of a text that are turned into ids at a time, about.
+LONG = 1 << 18
+_CUT = re.compile("(?<=[a-z])(?= [a-z])")
+
+
 def _byte_of_char() -> dict[str, int]:
     table = {chr(b): b for b in _PRINTABLE}
     others = (b for b in range(256) if b not in set(_PRINTABLE))
@@ -65,13 +71,28 @@ class ByteTokenizer:
     def ids(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, np.uint32)
+        if len(text) <= LONG or self.fast is None or any(" " in s for s in self.special):
+            return self._ids(text)
+        return np.concatenate([self._ids(part) for part in self._parts(text)])
+
+    @staticmethod
+    def _parts(text: str) -> Iterator[str]:
+        """Parts of a long text, cut between a letter and a space before a letter: the split pattern cuts there in any case."""
+        begin = 0
+        while begin < len(text):
+            found = _CUT.search(text, begin + LONG)
+            end = found.start() if found else len(text)
+            yield text[begin:end]
+            begin = end
+
+    def _ids(self, text: str) -> np.ndarray:
         if self.fast is None:
             return self._exact(text)
         try:
             allowed = "all" if any(s in text for s in self.special) else set()
             return self.fast.encode_to_numpy(text, allowed_special=allowed, disallowed_special=())
         except BaseException as error:  # its regex engine panics on some very long runs
-            if isinstance(error, (KeyboardInterrupt, SystemExit, MemoryError)):
+            if type(error).__name__ != "PanicException" and not isinstance(error, ValueError):
                 raise
             return self._exact(text)
 

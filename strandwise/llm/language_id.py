@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._bytes import LOWER, U64, chunks
+from ._bytes import LOWER, U64, chunks, parts
 from ._runtime import lean
 
 FAMILIES = {
@@ -60,18 +60,30 @@ def _bounds(offsets: np.ndarray, n: int, count: int) -> np.ndarray:
     return np.stack([begin, np.clip(offsets[1:] - n + 1, begin, max(count, 0))])
 
 
+def _parts(data: np.ndarray, offsets: np.ndarray, n: int, bits: int = BITS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(slots of n-grams, begin and end of each document's among them) of a chunk, part by part."""
+    begin, end = _bounds(offsets, n, len(data) - n + 1)
+    for a, b in parts(len(data)):
+        slots = _slots(LOWER[data[a : b + n - 1]], n, bits)
+        yield slots, np.clip(begin - a, 0, len(slots)), np.clip(end - a, 0, len(slots))
+
+
 def _frequencies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows, data, offsets in chunks(batch, "text"):
             out = np.zeros((rows.num_rows, 1 << BITS), np.float32)
-            low, grams = LOWER[data], []
+            grams = []
             for k in range(rows.num_rows):
-                own = low[offsets[k] : offsets[k + 1]]
+                own, times = data[offsets[k] : offsets[k + 1]], np.zeros(1 << GRAM_BITS, np.int64)
+                whole = np.array([0, len(own)])
                 for n in SIZES:
-                    out[k] += np.bincount(_slots(own, n), minlength=1 << BITS)
+                    for slots, _, _ in _parts(own, whole, n):
+                        out[k] += np.bincount(slots, minlength=1 << BITS)
                 out[k] *= SCALE / max(1.0, float(out[k].sum()))
-                slot, times = np.unique(_slots(own, GRAM, GRAM_BITS), return_counts=True)
-                grams.append((slot.astype(np.uint16).tobytes(), times.astype(np.uint32).tobytes()))
+                for slots, _, _ in _parts(own, whole, GRAM, GRAM_BITS):
+                    times += np.bincount(slots, minlength=1 << GRAM_BITS)
+                slot = np.flatnonzero(times)
+                grams.append((slot.astype(np.uint16).tobytes(), times[slot].astype(np.uint32).tobytes()))
             columns = [[x.tobytes() for x in out], [g for g, _ in grams], [t for _, t in grams]]
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *(pa.array(c, pa.binary()) for c in columns)], names=["lang", "hash", "x", "grams", "times"])
 
@@ -123,13 +135,18 @@ class LanguageModel:
 
     def known(self, data: np.ndarray, offsets: np.ndarray, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(share of each document's grams that its language's training texts hold, whether that is enough)."""
-        slots = _slots(LOWER[data], GRAM, GRAM_BITS)
-        begin, end = _bounds(offsets, GRAM, len(slots))
         code = {name: k for k, name in enumerate(self.languages)}
-        own = np.array([code.get(name, 0) for name in names], np.int64)
-        held = self.seen.ravel()[slots + np.repeat(own << GRAM_BITS, np.diff(offsets))[: len(slots)]] if self.languages else np.zeros(len(slots), bool)
-        sums, count = np.concatenate([[0], np.cumsum(held)]), np.maximum(end - begin, 1)
-        share = (sums[end] - sums[begin]) / count
+        own = np.array([code.get(name, 0) for name in names], np.int64) << GRAM_BITS
+        held, count = np.zeros(len(names)), np.zeros(len(names))
+        for slots, begin, end in _parts(data, offsets, GRAM, GRAM_BITS) if self.languages else ():
+            place = np.zeros(len(slots) + 1, np.int64)  # which document each gram begins in: each one's begin counts up
+            np.add.at(place, begin, 1)
+            doc = np.clip(np.cumsum(place[:-1]) - 1, 0, len(names) - 1)
+            sums = np.concatenate([[0], np.cumsum(self.seen.ravel()[slots + own[doc]])])
+            held += sums[end] - sums[begin]
+            count += end - begin
+        count = np.maximum(count, 1)
+        share = held / count
         return share, share + 1 / np.sqrt(count) >= self.least_known
 
     @classmethod
@@ -149,16 +166,14 @@ class LanguageModel:
 
     def margins(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Margin of each classifier for each document: shape (classifiers, documents)."""
-        low = LOWER[data]
         total = np.zeros((len(self.weights), len(offsets) - 1))
         count = np.zeros(len(offsets) - 1)
         for n in SIZES:
-            slots = _slots(low, n)
-            begin, end = _bounds(offsets, n, len(slots))
-            count += end - begin
-            for k, w in enumerate(self.weights):
-                sums = np.concatenate([[0.0], np.cumsum(w[slots], dtype=np.float64)])
-                total[k] += sums[end] - sums[begin]
+            for slots, begin, end in _parts(data, offsets, n):
+                count += end - begin
+                for k, w in enumerate(self.weights):
+                    sums = np.concatenate([[0.0], np.cumsum(w[slots], dtype=np.float64)])
+                    total[k] += sums[end] - sums[begin]
         return total * (SCALE / np.maximum(count, 1)) + np.array(self.bias)[:, None]
 
     def _choose(self, node: str, classes: int, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -225,3 +240,16 @@ def identify(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id", text
     """doc_id, lang_pred, score, known, recognised of every row."""
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return own.mapInArrow(lambda it: lean(_predict(it, model)), "doc_id long, lang_pred string, score double, known double, recognised boolean")
+
+
+def recognised(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
+    """The rows, all columns as they are, whose text is recognised."""
+    place = docs.columns.index(text)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column(place)], names=["doc_id", "text"])
+            keep = [x for part in _predict([own], model) for x in part.column(4).to_pylist()]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(lambda it: lean(run(it)), docs.schema)

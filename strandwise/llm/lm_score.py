@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._bytes import LOWER, U64, Words, chunks, signed, sums_by_doc
+from ._bytes import LOWER, U64, Hashes, chunks, parts, signed, sums_by_doc
 from ._runtime import lean, written
 
 #: The end symbol; 0xFF is no byte of UTF-8.
@@ -45,11 +45,24 @@ def _joined(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarr
     n = len(offsets) - 1
     out = np.full(len(data) + n * (order + 1), END, np.uint8)
     begin = offsets[:-1] + np.arange(n) * (order + 1) + order
+    if n == 1:
+        out[order : order + len(data)] = LOWER[data]
+        return out, begin
     place = np.arange(len(data)) + np.repeat(begin - offsets[:-1], np.diff(offsets))
     out[place] = LOWER[data]
     return out, begin
 
 
+def _grams(data: np.ndarray, offsets: np.ndarray, order: int) -> Iterator[np.ndarray]:
+    """Longest gram that ends at each position to predict, text by text; of a long text part by part."""
+    joined, begin = _joined(data, offsets, order)
+    if len(begin) == 1:
+        for a, b in parts(len(data) + 1):
+            yield _codes(joined[a : b + order], order + 1)
+    else:
+        yield _codes(joined, order + 1)[_targets(len(joined), begin, offsets) - order]
+
+
 def _codes(data: np.ndarray, n: int) -> np.ndarray:
     """n-gram ending at each position from n - 1 on, its bytes as one number."""
     code = np.zeros(len(data) - n + 1, np.uint64)
@@ -117,10 +130,9 @@ def _gather(batches: Iterable[pa.RecordBatch], order: int, limit: int) -> Iterat
     grams, words = _Counter(_GRAM, limit), _Counter(_WORD, limit)
     for batch in batches:
         for _, data, offsets in _bounded(batch):
-            joined, begin = _joined(data, offsets, order)
-            codes = _codes(joined, order + 1)[_targets(len(joined), begin, offsets) - order]
-            yield from grams.add(*_tally(codes))
-            yield from words.add(*_tally(Words(LOWER[data], offsets).hashes()))
+            for codes in _grams(data, offsets, order):
+                yield from grams.add(*_tally(codes))
+            yield from words.add(*_tally(Hashes(LOWER[data], offsets).h))
     yield from grams.out()
     yield from words.out()
 
@@ -212,18 +224,22 @@ class GramTable(_Table):
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, pa.Array]:
         """Of each text of a chunk, its end included: the log10 probability of its frequent grams, and the others with their numbers."""
-        joined, begin = _joined(data, offsets, self.order)
-        code = _codes(joined, self.order + 1)[_targets(len(joined), begin, offsets) - self.order]
-        at = self.find(code)
         bounds = np.concatenate([[0], np.cumsum(np.diff(offsets) + 1)])
-        far = np.flatnonzero(at < 0)
-        doc, key = np.searchsorted(bounds, far, "right") - 1, code[far]
+        total, docs, keys, done = np.zeros(len(offsets) - 1), [], [], 0
+        for code in _grams(data, offsets, self.order):
+            at = self.find(code)
+            total += sums_by_doc(self.logs[at], np.clip(bounds - done, 0, len(code)))
+            far = np.flatnonzero(at < 0)
+            docs.append(np.searchsorted(bounds, far + done, "right") - 1)
+            keys.append(code[far])
+            done += len(code)
+        doc, key = np.concatenate(docs), np.concatenate(keys)
         by = np.lexsort((key, doc))
         doc, key = doc[by], key[by]
         first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])])) if len(key) else np.zeros(0, np.int64)
         times = np.diff(np.append(first, len(key)))
         pairs = pa.StructArray.from_arrays([pa.array(signed(key[first])), pa.array(times)], names=["key", "times"])
-        return sums_by_doc(self.logs[at], bounds), pa.ListArray.from_arrays(pa.array(np.searchsorted(doc[first], np.arange(len(offsets))).astype(np.int32)), pairs)
+        return total, pa.ListArray.from_arrays(pa.array(np.searchsorted(doc[first], np.arange(len(offsets))).astype(np.int32)), pairs)
 
 
 class WordTable(_Table):
@@ -247,8 +263,8 @@ def _score(batches: Iterable[pa.RecordBatch], grams: GramTable, words: WordTable
     for batch in batches:
         for rows, data, offsets in _bounded(batch):
             score, far = grams.scores(data, offsets)
-            w = Words(LOWER[data], offsets)
-            hashes = w.hashes()
+            w = Hashes(LOWER[data], offsets)
+            hashes = w.h
             count = words.counts[words.find(hashes)]
             known = count >= 0
             logs = np.zeros(len(count))

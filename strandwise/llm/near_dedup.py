@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._bytes import LOWER, U64, Words, chunks, mix, signed
+from ._bytes import LOWER, U64, Hashes, chunks, mix, signed
 from ._runtime import lean, written
 from .rows import once
 
@@ -48,8 +48,8 @@ def _sets(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, width: in
     for k in range(0, rows.num_rows, 4096):
         own = offsets[k : k + 4097]
         text = LOWER[data[own[0] : own[-1]]]
-        words = Words(text, own - own[0])
-        h = words.hashes()
+        words = Hashes(text, own - own[0])
+        h = words.h
         n = len(h)
         shingle = np.zeros(max(0, n - width + 1), np.uint64)
         for j in range(width):

@@ -8,8 +8,9 @@ locate the offending sentences. Scoring reads every text once and needs no shuff
 Defined results: null or empty text, or text without words, has no sentence and scores 0; labels
 above 0 are toxic, others not; a document labelled more than once counts with its highest label;
 null labels and null ids are left out of training; of a training document's rows with different
-texts the least text counts; without texts of words for both labels every score is 0. Repeated rows
-get the same answer, other columns are ignored, an empty table gives an empty result.
+texts the least text counts; without texts of words for both labels every score is 0; a sentence of
+more than ``PART`` bytes counts as several. Repeated rows get the same answer, other columns are
+ignored, an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._bytes import LOWER, NOT_ALNUM, U64, Words, chunks, mix
+from . import _bytes
+from ._bytes import LOWER, NOT_ALNUM, U64, Words, chunks, cut_parts, mix
 
 BITS = 18
 STEMS = 4, 5
@@ -34,6 +36,9 @@ class Sentences:
     """Hashed features of a chunk's sentences, in order; documents' sentences are consecutive."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray) -> None:
+        if len(data) > _bytes.PART:
+            self._by_parts(data)
+            return
         words = Words(LOWER[data], offsets, NOT_ALNUM)
         stops = np.concatenate([[0], np.cumsum(_STOP[data])])
         key = stops[words.begin] + words.doc
@@ -49,6 +54,16 @@ class Sentences:
             slots.append(mix(words.hashes() + U64(n)))
         self.slots = (np.stack(slots, axis=1) >> U64(64 - BITS)).astype(np.int32)  # (words, features of a word)
 
+    def _by_parts(self, data: np.ndarray) -> None:
+        """Of one long document: parts end where a sentence does, or in a sentence of more than ``PART`` bytes, which then counts as several."""
+        found, held = [], 0
+        for a, b in cut_parts(data, _STOP > 0, anywhere=True):
+            own = Sentences(data[a:b], np.array([0, b - a]))
+            found.append((own.words[:-1] + held, own.begin + a, own.end + a, own.slots))
+            held += int(own.words[-1])
+        starts, self.begin, self.end, self.slots = (np.concatenate(x) for x in zip(*found, strict=True))
+        self.words, self.doc = np.append(starts, held), np.zeros(len(starts), np.int64)
+
 
 def _features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._bytes import U64, chunks, mix
+from ._bytes import U64, chunks, mix, parts
 
 #: Fixed values, the parts of the labelled table: what unwanted and wanted hosts are named after.
 BLOCKED_TOPICS = (
@@ -102,17 +102,19 @@ def longest_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -
 
 
 def _grams(data: np.ndarray, offsets: np.ndarray, sizes: Sequence[int], bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each n: hashed n-grams by start position, and their bounds by document."""
+    """For each n, part by part: hashed n-grams by start position, and their bounds by document."""
     for n in sizes:
-        count = len(data) - n + 1
-        if count <= 0:
-            continue
-        code = np.zeros(count, np.uint64)
-        for k in range(n):
-            code = (code << U64(8)) | data[k : k + count]
-        slot = (mix(code + U64(n << 56)) >> U64(64 - bits)).astype(np.int64)
         last = np.maximum(offsets[1:] - n + 1, offsets[:-1])
-        yield slot, np.stack([offsets[:-1], np.minimum(last, count)])
+        for a, b in parts(len(data)):
+            own = data[a : b + n - 1]
+            count = len(own) - n + 1
+            if count <= 0:
+                continue
+            code = np.zeros(count, np.uint64)
+            for k in range(n):
+                code = (code << U64(8)) | own[k : k + count]
+            slot = (mix(code + U64(n << 56)) >> U64(64 - bits)).astype(np.int64)
+            yield slot, np.clip(np.stack([offsets[:-1], last]) - a, 0, count)
 
 
 def _features(texts: list[str], sizes: Sequence[int], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -175,8 +177,6 @@ class UrlModel:
         total, count = np.zeros(len(offsets) - 1), np.zeros(len(offsets) - 1)
         for slot, (begin, end) in _grams(data, offsets, self.sizes, self.bits):
             sums = np.concatenate([[0.0], np.cumsum(self.weights[slot])])
-            end = np.maximum(end, np.minimum(begin, len(slot)))
-            begin = np.minimum(begin, len(slot))
             total += sums[end] - sums[begin]
             count += end - begin
         return 1 / (1 + np.exp(-(total / np.sqrt(np.maximum(count, 1)) + self.bias)))

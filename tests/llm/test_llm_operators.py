@@ -180,6 +180,12 @@ def test_packing_is_tight(documents):
     assert used <= 1.02 * math.ceil(sum(r.length for r in got) / 1024)
 
 
+@pytest.mark.parametrize("parts", [1, 2, 8])
+def test_packing_of_few_partitions(documents, parts):
+    got = packing.pack(documents.coalesce(1) if parts == 1 else documents.repartition(parts), VOCABULARY, 2)
+    assert got.select("sequence_id").distinct().count() <= 193  # 192 at least
+
+
 def test_packing_of_clustered_lengths(spark):
     """Partitions of a single length each, whose pieces only fit with those of others: as many sequences as pairs."""
     own = tokenizer(VOCABULARY)
@@ -689,6 +695,114 @@ def test_words_and_chunks():
     assert same[0] == same[2] != same[1]
 
 
+def scored_by_all(texts, monkeypatch=None):
+    """What the operators' Python sides say of the texts, each text a document."""
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    rng = np.random.default_rng(3)
+    lang = language_id.LanguageModel(["de", "en", "fr"], language_id.FAMILIES)
+    lang.pairs = {"": [(0, 1, 0)], "germanic": [(0, 1, 1)], "romance": []}
+    lang.weights, lang.bias = [rng.normal(size=1 << language_id.BITS).astype(np.float32) for _ in range(2)], [0.1, -0.1]
+    lang.seen, lang.least_known = rng.random((3, 1 << language_id.GRAM_BITS)) < 0.5, 0.4
+    toxic = toxicity.ToxicityModel(rng.normal(size=1 << toxicity.BITS), -1.0)
+    url = url_filter.UrlModel(rng.normal(size=1 << 14), 0.0, (3, 4, 5), 14)
+    grams = lm_score.GramTable(5, np.arange(10), np.zeros(10))
+    counted = Counter()
+    for part in lm_score._gather([batch], 5, 1000):
+        for kind, key, n in zip(*(c.to_pylist() for c in part.columns), strict=True):
+            counted[(kind, key)] += n
+    rows = lambda parts: [r for p in parts for r in p.to_pylist()]
+    far = [(total.tolist(), lists.to_pylist()) for _, data, offsets in _bytes.chunks(batch, "text") for total, lists in [grams.scores(data, offsets)]]
+    return {
+        "op2": rows(language_id._predict([batch], lang)),
+        "op2 training": [{k: v for k, v in r.items() if k != "lang"} for r in rows(language_id._frequencies([pa.RecordBatch.from_arrays([batch.column(0), batch.column(0), batch.column(1)], names=["lang", "hash", "text"])]))],
+        "op5": (counted, [x for totals, _ in far for x in totals], [x for _, lists in far for x in lists]),
+        "op7": rows(toxicity._score([batch], toxic, 0.5)),
+        "op9": rows(near_dedup._signatures([batch], 3, 9)),
+        "op9 sets": rows(near_dedup._full_sets([batch], 3)),
+        "op10": [p for _, data, offsets in _bytes.chunks(batch, "text") for p in url.probabilities(data, offsets)],
+    }
+
+
+def alike(a, b):
+    if isinstance(a, dict):
+        return a.keys() == b.keys() and all(alike(a[k], b[k]) for k in a)
+    if isinstance(a, list | tuple):
+        return len(a) == len(b) and all(map(alike, a, b))
+    return a == pytest.approx(b, rel=1e-4, abs=1e-6) if isinstance(a, float) else a == b
+
+
+def test_long_texts_by_parts(monkeypatch):
+    """Texts worked on in parts of 64 bytes give what they give as a whole."""
+    rng = random.Random(14)
+    texts = [" ".join("".join(rng.choices("abcdeé", k=rng.randint(1, 12))) + rng.choice(["", ".", "\n", ", "]) for _ in range(n)) for n in (0, 1, 5, 40, 300, 7)]
+    whole = scored_by_all(texts)
+    monkeypatch.setattr(_bytes, "CHUNK_BYTES", 50)
+    monkeypatch.setattr(_bytes, "PART", 150)
+    parted = scored_by_all(texts)
+    for name, found in whole.items():
+        assert alike(found, parted[name]), name
+
+
+def test_words_longer_than_a_part(monkeypatch):
+    """They are one word, equal wherever they stand; words of a part's size are as in short texts."""
+    monkeypatch.setattr(_bytes, "CHUNK_BYTES", 16)
+    monkeypatch.setattr(_bytes, "PART", 32)
+    hashes = lambda t: _bytes.Hashes(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)])).h.tolist()
+    for size in (31, 32, 33, 34, 65, 200):
+        word = "w" * size
+        want = hashes(word)
+        assert len(want) == 1
+        for before, after in (("", " a"), ("a ", ""), ("  a bcd ", " e"), ("x" * 40 + " ", "  " + "y" * 33), ("a " * 50, " b" * 50)):
+            found = hashes(before + word + after)
+            assert len(found) == len((before + word + after).split()) and found[len(before.split())] == want[0]
+
+
+def test_a_text_of_50_megabytes():
+    """Peak memory of Python and numpy stays a small multiple of the text."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(15)
+    words = [bytes(rng.integers(97, 123, rng.integers(2, 10), dtype=np.uint8)).decode() for _ in range(30_000)]
+    text = " ".join(words[i] + ("." if i % 9 == 0 else "") for i in rng.integers(0, len(words), 7_700_000))
+    assert len(text) > 50_000_000
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], names=["doc_id", "text"])
+    lang = language_id.LanguageModel(["de", "en"], language_id.FAMILIES)
+    lang.pairs, lang.weights, lang.bias = {"": [], "germanic": [(0, 1, 0)]}, [np.ones(1 << language_id.BITS, np.float32)], [0.0]
+    toxic = toxicity.ToxicityModel(np.zeros(1 << toxicity.BITS), -9.0)
+    url = url_filter.UrlModel(np.ones(1 << 14), 0.0, (3, 4, 5), 14)
+    pair = lambda: next(_bytes.chunks(batch, "text"))[1:]
+    for name, run in {
+        "op2": lambda: list(language_id._predict([batch], lang)),
+        "op5": lambda: sum(p.num_rows for p in lm_score._gather([batch], 5, 1 << 20)),
+        "op7": lambda: list(toxicity._score([batch], toxic, 0.5)),
+        "op9": lambda: list(near_dedup._signatures([batch], 3, 9)),
+        "op10": lambda: url.probabilities(*pair()),
+    }.items():
+        tracemalloc.start()
+        run()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 1_000_000_000, (name, peak)
+    assert len(_bytes._powers[0]) <= _bytes.PART + 2
+
+
+def test_ids_of_long_texts(monkeypatch):
+    """Cut where the split pattern cuts in any case: the same ids."""
+    from strandwise.llm import _tokens
+
+    rng = random.Random(16)
+    text = "".join(rng.choices(["a", "b", "the", " ", " ", "  ", "\n", "é", "'s", "12", ".", "<|endoftext|>", "\u00a0"], k=4000))
+    own = ByteTokenizer(VOCABULARY)
+    want = own.ids(text).tolist()
+    monkeypatch.setattr(_tokens, "LONG", 50)
+    assert len(list(own._parts(text))) > 20
+    assert own.ids(text).tolist() == want
+
+
 def test_rows(spark):
     df = spark.createDataFrame([(1, "a", 5), (1, "a", 6), (2, "b", 7), (None, "c", 8)], "doc_id long, text string, gone int")
     ids = spark.createDataFrame([(1,), (None,)], "doc_id long")
