@@ -1,7 +1,8 @@
 """Mixing sources to target weights, in DataFrame functions only.
 
-Rows get a hash-random key (MD5 of seed and id). The key's leading hex digits cut each source into
-ranges; rows are sorted within (source, range), range totals are added up in a small table of
+Rows get a hash-random key (MD5 of seed and id, or of the text where the id is null). Id, source, size
+and key are written once, so that texts are read once. The key's leading hex digits cut each source
+into ranges; rows are sorted within (source, range), range totals are added up in a small table of
 ranges, and the two together are the distributed prefix sum of sizes over each source's random
 order. A source's budget is cut at exactly that many words: whole epochs first, then the rows up to
 the budget, the last of them in part.
@@ -19,6 +20,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._runtime import written
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -26,6 +29,12 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def first_words(text: Column, n: Column) -> Column:
+    """The text up to the end of its ``n``-th word."""
+    ends = F.split(text, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")  # cut where a word ends
+    return F.array_join(F.slice(ends, 1, n.cast("int")), "")
+
+
 def key_digits(rows: int, rows_per_range: int = 1000, most: int = 5) -> int:
     """Hex digits of the key that make ranges of about ``rows_per_range`` rows; at most 16**5 ranges."""
     return min(most, max(1, math.ceil(math.log(max(1, rows / rows_per_range), 16))))
@@ -77,8 +86,10 @@ def mix_sources(
         F.col(source).isNull().alias("no_source"),
         F.coalesce(F.col(source), F.lit("")).alias("source"),
         (word_count(F.col(text)) if size is None else size).alias("size"),
-    ).withColumn("key", F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
-    rows = rows.withColumn("range", F.substring("key", 1, key_digits(docs.count())))
+        F.md5(F.concat(F.lit(seed), F.coalesce(F.col(doc_id).cast("string"), F.md5(F.coalesce(F.col(text), F.lit("")))))).alias("key"),
+    )
+    rows = written(rows, "mix-rows")
+    rows = rows.withColumn("range", F.substring("key", 1, key_digits(rows.count())))
     in_range = Window.partitionBy("no_source", "source", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     ranges = rows.groupBy("no_source", "source", "range").agg(F.sum("size").alias("range_size"))
     by_range = Window.partitionBy("no_source", "source").orderBy("range")

@@ -60,7 +60,7 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken")
+    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +106,7 @@ ORACLE_SQL: dict[str, str] = {
     """,
     "op6_mixing": r"""
         WITH d AS (
-            SELECT doc_id, source, md5(concat('mix', coalesce(doc_id::VARCHAR, ''))) AS key,
+            SELECT doc_id, source, md5(concat('mix', coalesce(doc_id::VARCHAR, md5(coalesce(text, ''))))) AS key,
                    coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size
             FROM documents
         ),
@@ -131,7 +131,7 @@ ORACLE_SQL: dict[str, str] = {
                    coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
             FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
         )
-        SELECT doc_id, size, source_size, round(target, 3) AS target,
+        SELECT doc_id, size, source_size, target,
                (CASE WHEN source_size > 0 THEN budget // source_size ELSE 0 END * size
                 + greatest(0, least(size, CASE WHEN source_size > 0 THEN budget % source_size ELSE 0 END - start)))::BIGINT AS taken
         FROM p
