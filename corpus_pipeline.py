@@ -1,7 +1,8 @@
 """The corpus pipeline: language ID, exact dedup, near-dedup, mixing and packing of `documents`.
 
 Each stage works on all rows that its predecessor kept and is written before the next one reads it.
-Stages drop rows by id: rows without an id stay. Columns are passed on as they are, whatever their
+Rows are told apart by their ids; where rows repeat an id or have none, a stage numbers them first, so
+that a decision on one row is one on that row only. Columns are passed on as they are, whatever their
 names; an empty table goes through as an empty one.
 """
 
@@ -12,39 +13,41 @@ from pyspark.sql import functions as F
 
 from strandwise.llm._runtime import table, written
 from strandwise.llm.exact_dedup import exact_dedup
-from strandwise.llm.language_id import identify, learn_languages
-from strandwise.llm.mixing import mix_sources
+from strandwise.llm.language_id import learn_languages, recognised
+from strandwise.llm.mixing import first_words, mix_sources
 from strandwise.llm.near_dedup import near_duplicates
 from strandwise.llm.packing import pack
 from strandwise.llm.queries import fold, vocabulary
-from strandwise.llm.rows import once, repeated, without
-
-#: Predictions below this go: two all but even choices in a row (0.25 is the least that two families of two can give).
-LEAST_SCORE = 0.26
+from strandwise.llm.rows import fresh, repeated, told_apart, without
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or of no recognisable language, go."""
-    predicted = identify(docs, learn_languages(docs.where(fold("doc_id", 3) != 1)))
-    return without(docs, predicted.where((F.col("lang_pred") == "und") | (F.col("score") < LEAST_SCORE)).select("doc_id"))
+    """Documents without a letter go, and those whose text the predicted language's training texts hardly know: other languages, random letters."""
+    return recognised(docs, learn_languages(docs.where(fold("doc_id", 3) != 1)))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays; of repeated rows one."""
-    found = written(exact_dedup(docs, keep="max").select("doc_id", "kept"), "exact")
-    kept = without(docs, found.where(~F.col("kept")).select("doc_id"))
-    return once(kept, found.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    """Of equal texts one row stays: that with the largest doc_id, one of them where rows repeat it, one without an id where no row has one."""
+    rows, key = told_apart(docs)
+    found = written(exact_dedup(rows, doc_id=key, keep="max").select("doc_id", "kept"), "exact")
+    return without(rows, found.where(~F.col("kept")).select("doc_id"), key).select(docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, similarity 0.8) the smallest doc_id stays."""
-    return without(docs, near_duplicates(docs).where(~F.col("kept")).select("doc_id"))
+    """Of each group of near duplicates (five-word shingles, similarity 0.8) the row with the smallest doc_id stays (rows without one come last)."""
+    rows, key = told_apart(docs, nulls_first=False)
+    return without(rows, near_duplicates(rows, doc_id=key).where(~F.col("kept")).select("doc_id"), key).select(docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents appear as often as the mix takes them; one that it takes in part appears for that part."""
-    taken = mix_sources(docs).where("taken > 0")
-    return repeated(docs, taken.select("doc_id", F.ceil(F.col("taken") / F.col("size")).cast("long")))
+    """Documents appear as often as the mix takes them; the last copy of one that it takes in part ends with the last word taken."""
+    rows, key = told_apart(docs)
+    all_, some = fresh(docs, "words in all"), fresh(docs, "words taken")
+    taken = mix_sources(rows, doc_id=key).where("taken > 0").select("doc_id", F.ceil(F.col("taken") / F.col("size")).cast("long").alias("copies"), F.col("size").alias(all_), F.col("taken").alias(some))
+    found = repeated(rows, taken, key)
+    left = F.col(some) - (F.col(found.columns[-1]) - 1) * F.col(all_)
+    text = F.when(left < F.col(all_), first_words(F.col("text"), left)).otherwise(F.col("text"))
+    return found.withColumn("text", text).select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
