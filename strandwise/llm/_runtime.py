@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from strandwise.plans.storage import clean, cut, new_path, shared_dir
 
-__all__ = ["clean", "lean", "new_path", "shared_dir", "table", "written"]
+__all__ = ["clean", "lean", "new_path", "shared_dir", "table", "trim", "written"]
 
 #: A table written to the shared folder and read again.
 written = cut
@@ -20,10 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def trim() -> None:
+    """Give free memory of this process back."""
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give_back:
+        give_back(0)
+
+
 def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The same batches; when they end, a worker gives free memory back before it waits for its next task."""
     yield from batches
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
+    trim()

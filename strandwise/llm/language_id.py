@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._bytes import LOWER, U64, chunks, parts
-from ._runtime import lean
+from ._runtime import lean, trim
 
 FAMILIES = {
     **dict.fromkeys("en de nl sv da no".split(), "germanic"),
@@ -68,24 +68,25 @@ def _parts(data: np.ndarray, offsets: np.ndarray, n: int, bits: int = BITS) -> I
         yield slots, np.clip(begin - a, 0, len(slots)), np.clip(end - a, 0, len(slots))
 
 
+def _counts(data: np.ndarray, n: int, bits: int) -> np.ndarray:
+    counts = np.zeros(1 << bits, np.int64)
+    for slots, _, _ in _parts(data, np.array([0, len(data)]), n, bits):
+        counts += np.bincount(slots, minlength=1 << bits)
+    return counts
+
+
 def _frequencies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each row the slots that occur and how often, of the features' n-grams and of the grams that tell known text."""
     for batch in batches:
         for rows, data, offsets in chunks(batch, "text"):
-            out = np.zeros((rows.num_rows, 1 << BITS), np.float32)
-            grams = []
+            columns: list[list[bytes]] = [[], [], [], []]
             for k in range(rows.num_rows):
-                own, times = data[offsets[k] : offsets[k + 1]], np.zeros(1 << GRAM_BITS, np.int64)
-                whole = np.array([0, len(own)])
-                for n in SIZES:
-                    for slots, _, _ in _parts(own, whole, n):
-                        out[k] += np.bincount(slots, minlength=1 << BITS)
-                out[k] *= SCALE / max(1.0, float(out[k].sum()))
-                for slots, _, _ in _parts(own, whole, GRAM, GRAM_BITS):
-                    times += np.bincount(slots, minlength=1 << GRAM_BITS)
-                slot = np.flatnonzero(times)
-                grams.append((slot.astype(np.uint16).tobytes(), times[slot].astype(np.uint32).tobytes()))
-            columns = [[x.tobytes() for x in out], [g for g, _ in grams], [t for _, t in grams]]
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *(pa.array(c, pa.binary()) for c in columns)], names=["lang", "hash", "x", "grams", "times"])
+                own = data[offsets[k] : offsets[k + 1]]
+                for at, counts in enumerate((sum(_counts(own, n, BITS) for n in SIZES), _counts(own, GRAM, GRAM_BITS))):
+                    slot = np.flatnonzero(counts)
+                    columns[2 * at].append(slot.astype(np.uint16).tobytes())
+                    columns[2 * at + 1].append(counts[slot].astype(np.uint32).tobytes())
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *(pa.array(c, pa.binary()) for c in columns)], names=["lang", "hash", "slots", "counts", "grams", "times"])
 
 
 def train_svm(x: np.ndarray, y: np.ndarray, c: float = 1.0, epochs: int = 30, seed: int = 7) -> tuple[np.ndarray, float]:
@@ -210,15 +211,23 @@ def learn_languages(labelled: DataFrame, text: str = "text", lang: str = "lang",
     """
     own = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("hash")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     texts = own.groupBy("lang", "hash").agg(F.lit(1).alias("one"))  # of a group of copies one counts
+    of = texts.groupBy(F.col("lang").alias("of")).agg(F.count("*").alias("n"))
+    # hashes are uniform: the first ``sample`` of a language lie in the share that about twice as many do
+    share = (F.col("hash").cast("double") + 2.0**63) / 2.0**64
+    likely = texts.join(F.broadcast(of), F.col("lang") == F.col("of")).where(share * F.col("n") <= 2 * sample + 100)  # a row for each language
     order = Window.partitionBy("lang").orderBy("hash")
-    picked = texts.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= sample).select("lang", "hash")
+    picked = likely.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= sample).select("lang", "hash")
     chosen = own.join(F.broadcast(picked), ["lang", "hash"]).groupBy("lang", "hash").agg(F.min("text").alias("text"))  # ``sample`` rows a language
-    rows = chosen.mapInArrow(_frequencies, "lang string, hash long, x binary, grams binary, times binary").toArrow().sort_by([("lang", "ascending"), ("hash", "ascending")])
+    rows = chosen.mapInArrow(lambda it: lean(_frequencies(it)), "lang string, hash long, slots binary, counts binary, grams binary, times binary").toArrow().sort_by([("lang", "ascending"), ("hash", "ascending")])
     names = np.array(rows["lang"].to_pylist(), object)
-    x = np.frombuffer(b"".join(rows["x"].to_pylist()), np.float32).reshape(len(names), 1 << BITS)
+    read = lambda column, kind: [np.frombuffer(v.as_py(), kind) for v in rows[column]]
+    x = np.zeros((len(names), 1 << BITS), np.float32)
+    for k, (slot, count) in enumerate(zip(read("slots", np.uint16), read("counts", np.uint32), strict=True)):
+        x[k, slot] = count * (SCALE / max(1, count.sum()))
     model = LanguageModel.train(x, names, families)
-    read = lambda column, kind: [np.frombuffer(v, kind) for v in rows[column].to_pylist()]
     model.learn_known(names, read("grams", np.uint16), read("times", np.uint32))
+    del rows, x
+    trim()
     return model
 
 

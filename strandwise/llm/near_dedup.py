@@ -255,9 +255,11 @@ def _with_least(edges: DataFrame, n: int, of: DataFrame, limit: int) -> DataFram
     200 000 of them, so that no task gets all edges of one.
     """
     limit = max(limit, n // 100_000)
-    hot = F.broadcast(of.where(F.col("degree") > limit).select("centre", "m"))
+    hot = of.where(F.col("degree") > limit)
+    if hot.isEmpty():
+        return edges.join(of.select("centre", "m"), F.col("u") == F.col("centre")).select("u", "v", "m")
+    known = edges.join(F.broadcast(hot.select("centre", "m")), F.col("u") == F.col("centre"), "left")
     cold = of.where(F.col("degree") <= limit).select(F.col("centre").alias("cold"), F.col("m").alias("cold_m"))
-    known = edges.join(hot, F.col("u") == F.col("centre"), "left")
     rest = known.where("centre is null").select("u", "v").join(cold, F.col("u") == F.col("cold")).select("u", "v", F.col("cold_m").alias("m"))
     return known.where("centre is not null").select("u", "v", "m").unionByName(rest)
 
@@ -277,9 +279,9 @@ def components(links: DataFrame, limit: int = 1000) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
         seen = now
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy(F.col("u").alias("centre")).agg(F.min("v").alias("m"), F.count("*").alias("degree")).withColumn("m", F.least("centre", "m"))
+        least = written(both.groupBy(F.col("u").alias("centre")).agg(F.min("v").alias("m"), F.count("*").alias("degree")).withColumn("m", F.least("centre", "m")), "least")
         large = written(_with_least(both.where("v > u"), now[0], least, limit).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "stars")
-        least = large.groupBy(F.col("u").alias("centre")).agg(F.min("v").alias("m"), F.count("*").alias("degree"))
+        least = written(large.groupBy(F.col("u").alias("centre")).agg(F.min("v").alias("m"), F.count("*").alias("degree")), "least")
         small = _with_least(large, now[0], least, limit).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = written(small.unionByName(least.select(F.col("centre").alias("u"), F.col("m").alias("v"))).distinct(), "links")
 

@@ -29,7 +29,7 @@ def told_apart(docs: DataFrame, doc_id: str = "doc_id", nulls_first: bool = True
     without one first or last), numbered and written with the numbers.
     """
     ids = docs.select(F.col(doc_id).alias("id"))
-    if ids.where("id is null").isEmpty() and ids.groupBy("id").count().where("count > 1").isEmpty():
+    if ids.groupBy("id").count().where("count > 1 or id is null").isEmpty():
         return docs, doc_id
     name = fresh(docs, "row number")
     order = F.col(doc_id).asc_nulls_first() if nulls_first else F.col(doc_id).asc_nulls_last()
