@@ -8,6 +8,9 @@ names; an empty table goes through as an empty one.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,13 +22,27 @@ from strandwise.llm.near_dedup import near_duplicates
 from strandwise.llm.packing import pack
 from strandwise.llm.queries import fold, vocabulary
 from strandwise.llm.rows import fresh, repeated, told_apart, without
+from strandwise.plans.storage import ship_package
+
+
+def _stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """``f``, with the package handed to Python workers first, wherever the session was started."""
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return f(spark, docs, sf_dir)
+
+    return run
 
 
+@_stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter go, and those whose text the predicted language's training texts hardly know: other languages, random letters."""
     return recognised(docs, learn_languages(docs.where(fold("doc_id", 3) != 1)))
 
 
+@_stage
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one row stays: that with the largest doc_id, one of them where rows repeat it, one without an id where no row has one."""
     rows, key = told_apart(docs)
@@ -33,12 +50,14 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return without(rows, found.where(~F.col("kept")).select("doc_id"), key).select(docs.columns)
 
 
+@_stage
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five-word shingles, similarity 0.8) the row with the smallest doc_id stays (rows without one come last)."""
     rows, key = told_apart(docs, nulls_first=False)
     return without(rows, near_duplicates(rows, doc_id=key).where(~F.col("kept")).select("doc_id"), key).select(docs.columns)
 
 
+@_stage
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents appear as often as the mix takes them; the last copy of one that it takes in part ends with the last word taken."""
     rows, key = told_apart(docs)
@@ -50,6 +69,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.withColumn("text", text).select(docs.columns)
 
 
+@_stage
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the mixed documents in sequences of at most 1024 tokens."""
     return pack(docs, vocabulary(), end_id=2)
