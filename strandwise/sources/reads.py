@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
@@ -86,23 +86,32 @@ def _to_record(file, lines: int) -> None:  # noqa: ANN001
 def read_reads(spark: SparkSession, path: str, quality: bool = True) -> DataFrame:
     """read_id, name, seq (upper case), qual of FASTA (two lines a record) or FASTQ (four) files.
 
-    The first record's first character says which it is. A wrong header, or asking for quality of
-    a FASTA file, is an error. Read by Spark's text reader, so any storage that Spark reads will do;
-    a record's place in its file is its id, and long files are read in whole, each by one task
-    (see ``ReadsSource`` for local files of any size).
+    A file's first character says which it is. A wrong header, or asking for quality of a FASTA
+    file, is an error. Read by Spark's text reader, which splits files of any size in any storage:
+    lines are numbered by the lines of the splits before theirs, and a record's lines meet by their
+    file and number. Ids count all records, in the order of the files' paths and of the records.
     """
-    files = spark.read.text(path, wholetext=True)
-    fastq = F.col("value").startswith("@")
-    lines = F.split(F.regexp_replace("value", r"[\r\n]+$", ""), r"\r?\n")
-    per = F.when(fastq, 4).otherwise(2)
-    known = F.when(fastq | F.col("value").startswith(">"), F.col("value")).otherwise(F.raise_error(F.lit("a record begins neither with @ nor with >")).cast("string"))
-    records = files.where("value <> ''").withColumn("value", known).select(fastq.alias("fastq"), lines.alias("l"), per.alias("per"))
-    spread = records.select("fastq", "l", "per", F.explode(F.sequence(F.lit(0), F.expr("(size(l) - 1) div per"))).alias("read_id"))
-    line = lambda k: F.get("l", (F.col("read_id") * F.col("per") + k).cast("int"))
-    head = F.when(F.substring(line(0), 1, 1) == F.when(F.col("fastq"), "@").otherwise(">"), line(0)).otherwise(F.raise_error(F.concat(F.lit("not a header: "), line(0))).cast("string"))
-    qual = F.when(F.col("fastq"), line(3))
-    out = spread.select(F.col("read_id").cast("long").alias("read_id"), F.substring(head, F.lit(2), F.length(head)).alias("name"), F.upper(line(1)).alias("seq"), (qual if quality else F.lit(None).cast("string")).alias("qual"))
-    return out
+    own = F.col("_metadata")
+    lines = spark.read.text(path).select("value", own["file_path"].alias("file"), own["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("at"))
+    # a split's lines are consecutive in its task; this table has a row for each split
+    splits = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"), F.min_by("value", "at").alias("line"))
+    before = Window.partitionBy("file").orderBy("block")
+    whole = before.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    splits = splits.select("file", "block", (F.coalesce(F.sum("n").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - F.col("first")).alias("shift"), F.sum("n").over(whole).alias("lines"), F.first("line").over(whole).alias("head"))
+    per = F.when(F.col("head").startswith("@"), 4).when(F.col("head").startswith(">"), 2).otherwise(F.raise_error(F.lit("a record begins neither with @ nor with >")).cast("int"))
+    splits = splits.where("head <> '' or lines > 1").withColumn("per", per)
+    files = splits.groupBy("file").agg(F.ceil(F.first("lines") / F.first("per")).cast("long").alias("records"))
+    files = files.select(F.col("file").alias("of"), F.coalesce(F.sum("records").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    splits = splits.join(files, F.col("file") == F.col("of")).select(F.col("file").alias("of"), F.col("block").alias("in"), "shift", "per", "start")
+    numbered = lines.join(splits, (F.col("file") == F.col("of")) & (F.col("block") == F.col("in"))).withColumn("line", F.col("at") + F.col("shift"))
+    numbered = numbered.select(F.expr("start + line div per").alias("read_id"), "per", (F.col("line") % F.col("per")).alias("part"), F.regexp_replace("value", "\r$", "").alias("value"))
+    line = lambda k: F.max(F.when(F.col("part") == k, F.col("value")))
+    records = numbered.groupBy("read_id").agg(F.max("per").alias("per"), line(0).alias("head"), line(1).alias("seq"), line(3).alias("qual"))
+    records = records.where("head <> '' or coalesce(seq, '') <> ''")  # empty lines at the end are none
+    mark = F.when(F.col("per") == 4, "@").otherwise(">")
+    head = F.when(F.substring("head", 1, 1) == mark, F.col("head")).otherwise(F.raise_error(F.concat(F.lit("not a header: "), F.col("head"))).cast("string"))
+    qual = F.col("qual") if quality else F.lit(None).cast("string")
+    return records.select("read_id", F.substring(head, F.lit(2), F.length(head)).alias("name"), F.upper("seq").alias("seq"), qual.alias("qual"))
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import gzip
+import random
 import struct
 
 import pytest
@@ -134,3 +135,48 @@ def test_stream(spark, sf_dir, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("SELECT sum(cnt) FROM counts").head()[0] == 100 * 36
+
+
+@pytest.mark.parametrize("split", ["128m", "1000b", "777b"])
+def test_reads_of_several_files_in_splits(spark, tmp_path, split):
+    """FASTQ with @ and + in qualities, and FASTA with empty lines at its end: the same rows and ids however files are split."""
+    rng, want = random.Random(1), []
+    for name in ("a.fq", "b.fq"):
+        with open(tmp_path / name, "w") as file:
+            for i in range(200):
+                seq = "".join(rng.choices("acgt", k=rng.randint(1, 80)))
+                qual = "".join(rng.choices("@+I", k=len(seq)))
+                file.write(f"@{name}.{i} x\n{seq}\n+\n{qual}\n")
+                want.append((len(want), f"{name}.{i} x", seq.upper(), qual))
+    (tmp_path / "c.fa").write_bytes(b">a\r\nACg\r\n>b\r\nTT\r\n\r\n")
+    want += [(400, "a", "ACG", None), (401, "b", "TT", None)]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        assert sorted(map(tuple, sources.read_reads(spark, str(tmp_path)).collect())) == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_correction_goes_on_past_any_number_of_rounds():
+    """A read with more errors than rounds were once allowed; and one whose fixes would lead in a circle ends."""
+    from strandwise.operators import correct
+
+    rng = random.Random(2)
+    genome = "".join(rng.choices("ACGT", k=6000))
+    turn = str.maketrans("ACGT", "TGCA")
+    k, wrong = 15, list(genome)
+    for at in range(20, 5980, 40):
+        wrong[at] = rng.choice([b for b in "ACGT" if b != genome[at]])
+
+    class All(dict):
+        """Unique where the genome has the k-mer, else untrusted."""
+
+        def __contains__(self, kmer):
+            return True
+
+        def __getitem__(self, kmer):
+            return 1 if kmer in genome or kmer.translate(turn)[::-1] in genome else 0
+
+    assert sum(a != b for a, b in zip(wrong, genome, strict=True)) > 140
+    assert correct.correct_simple("".join(wrong), k, correct.Known(All()), indels=False) == genome
