@@ -191,7 +191,7 @@ def _edited(after: bool) -> str:
     """
 
 
-CASES = "cases AS (SELECT rid, substr(seq, 1, 12) AS kmer, (rid % 12)::INT AS pos, unnest(range(0, 12))::INT AS type FROM reads)"
+CASES = "cases AS (SELECT rid, seq AS kmer, (rid % length(seq))::INT AS pos, unnest(range(0, 12))::INT AS type FROM reads)"
 CIGARS = "cig AS (SELECT rid, (rid % 5 + 1)::VARCHAR || 'S' || (rid % 7 + 20)::VARCHAR || 'M' || (rid % 3 + 1)::VARCHAR || 'I10M' AS c FROM reads)"
 MOTIFS = f"""
 mc AS (
@@ -258,20 +258,32 @@ def _from_reads(select: str) -> str:
 
 _BOTH = "allconf AS (SELECT * FROM econf UNION ALL SELECT * FROM kconf)"
 _EDITS = f"""
-{READS}, {_model([15], bias=False)},
-bad AS (SELECT o.rid, arg_min(o.kmer, o.i) AS kmer FROM occ o JOIN cls USING (k, canon) WHERE class = 0 AND o.i < len - 15 GROUP BY 1),
-ed AS (SELECT rid, i::INT AS i, t::INT AS type, substr(kmer, 1, i::INT) || substr('ACGT', t::INT, 1) || substr(kmer, i::INT + 2) AS x FROM bad, range(0, 15) a(i), range(1, 5) b(t) WHERE substr(kmer, i::INT + 1, 1) <> substr('ACGT', t::INT, 1))
+{READS}, {_model([14, 15, 16], bias=False)},
+bad AS (SELECT DISTINCT o.kmer FROM occ o JOIN cls USING (k, canon) WHERE k = 15 AND class = 0 AND o.i < len - 15),
+places AS (SELECT kmer, i::INT AS i, t::INT AS type, substr(kmer, 1, i::INT) AS head, substr(kmer, i::INT + 1, 1) AS here, substr(kmer, i::INT + 2) AS rest FROM bad, range(0, 15) a(i), range(1, 10) b(t)),
+ed AS (
+    SELECT kmer, i, type, CASE WHEN type <= 4 THEN head || substr('ACGT', type, 1) || rest
+                               WHEN type = 5 THEN head || rest
+                               ELSE head || here || substr('ACGT', type - 5, 1) || rest END AS x
+    FROM places WHERE (type <= 4 AND substr('ACGT', type, 1) <> here) OR (type >= 5 AND i BETWEEN 1 AND 13)
+)
 """
 
+
+def _windows(k: int, select: str) -> str:
+    """``select`` over rid, pos and kmer of all windows of the reads."""
+    return _sql(READS, f"SELECT {select} FROM (SELECT rid, pos::INT AS pos, substr(seq, pos::INT + 1, {k}) AS kmer FROM reads, range(0, {51 - k}) p(pos))")
+
+
 ORACLE_SQL: dict[str, str] = {
     "revcomp": _from_reads(f"rid, {_rc('seq')} AS rc"),
     "revcomp_read": _from_reads(f"rid, name, {_rc('seq')} AS seq, reverse(lower(seq)) AS qual"),
     "gc_count": _from_reads("rid, (length(seq) - length(replace(replace(seq, 'G', ''), 'C', '')))::INT AS gc"),
     "gc_content": _from_reads("rid, round((length(seq) - length(replace(replace(seq, 'G', ''), 'C', ''))) / length(seq), 9) AS gc"),
-    "self_revcomp": _from_reads(f"rid, (substr(seq, 1, 4) = {_rc('substr(seq, 1, 4)')})::INT AS own"),
-    "kmer_to_number": _from_reads("rid, list_sum(list_transform(range(0, 20), lambda i: (instr('ACGT', substr(seq, (i + 1)::INT, 1)) - 1)::BIGINT << (2 * (19 - i))::INT))::BIGINT AS number"),
+    "self_revcomp": _windows(4, f"rid, pos, (kmer = {_rc('kmer')})::INT AS own"),
+    "kmer_to_number": _windows(20, "rid, pos, list_sum(list_transform(range(0, 20), lambda i: (instr('ACGT', substr(kmer, (i + 1)::INT, 1)) - 1)::BIGINT << (2 * (19 - i))::INT))::BIGINT AS number"),
     "number_to_kmer": _from_reads("rid, array_to_string(list_transform(range(0, 10), lambda i: substr('ACGT', ((((rid * 7919) % 1048576) >> (2 * (9 - i))::INT) % 4 + 1)::INT, 1)), '') AS kmer"),
-    "base_to_number": _from_reads("rid, (instr('ACGT', substr(seq, 1, 1)) - 1)::INT AS number"),
+    "base_to_number": _windows(1, "rid, pos, (instr('ACGT', kmer) - 1)::INT AS number"),
     "kmer_after_error_before": _sql(f"{READS}, {CASES}", _edited(after=False)),
     "kmer_after_error_after": _sql(f"{READS}, {CASES}", _edited(after=True)),
     "cigar_parse": _sql(f"{READS}, {CIGARS}", r"SELECT rid, idx::INT AS idx, regexp_extract_all(c, '(\d+)([MIDNSHP=X])', 2)[idx + 1] AS op, regexp_extract_all(c, '(\d+)([MIDNSHP=X])', 1)[idx + 1]::INT AS len FROM cig, range(0, 4) i(idx)"),
@@ -280,14 +292,14 @@ ORACLE_SQL: dict[str, str] = {
     "name_normalize": _from_reads("rid, name AS norm"),
     "natural_sort_key": _from_reads("rid, 'r|' || lpad(rid::VARCHAR, 20, '0') || '|.|' || lpad((rid % 100)::VARCHAR, 20, '0') || '|b' AS key"),
     "error_types": f"SELECT c::INT AS code, {list(ERROR_TYPES)}[c + 1] AS name, CASE WHEN c < 6 THEN 'base' ELSE 'gap' END AS kind, (c BETWEEN 1 AND 10)::INT AS is_error FROM range(0, 12) t(c)",
-    "inferred_types": _from_reads("rid, instr('ACGT', substr(seq, 1, 1))::INT AS sub, (instr('ACGT', substr(seq, 1, 1)) + 5)::INT AS del"),
-    "skipped_types": _sql(f"{READS}, {CASES}", "SELECT rid, type, ((pos IN (0, 11) AND type >= 5) OR type = 10 OR (type BETWEEN 1 AND 4 AND substr('ACGT', type, 1) = substr(kmer, pos + 1, 1)))::INT AS skipped FROM cases"),
+    "inferred_types": _windows(1, "rid, pos, instr('ACGT', kmer)::INT AS sub, (instr('ACGT', kmer) + 5)::INT AS del"),
+    "skipped_types": _sql(f"{READS}, {CASES}", "SELECT rid, type, ((pos IN (0, length(kmer) - 1) AND type >= 5) OR type = 10 OR (type BETWEEN 1 AND 4 AND substr('ACGT', type, 1) = substr(kmer, pos + 1, 1)))::INT AS skipped FROM cases"),
     "read_lengths": _sql(READS, "SELECT length(seq)::INT AS len, count(*) AS n FROM reads GROUP BY 1"),
     "kmer_windows": _sql(READS, "SELECT rid, pos::INT AS pos, substr(seq, pos::INT + 1, 31) AS kmer FROM reads, range(0, 19) p(pos)"),
     "kmer_count_both_strands": _sql(READS, f"SELECT 15::INT AS k, least(x, {_rc('x')}) AS kmer, count(*) AS cnt FROM (SELECT substr(seq, i::INT + 1, 15) AS x FROM reads, range(0, 36) r(i)) GROUP BY ALL"),
-    "kmer_count_strands": _sql(READS, f"SELECT substr(x, i::INT + 1, 8) AS kmer, count(*) AS cnt FROM (SELECT unnest([seq, {_rc('seq')}]) AS x FROM reads), range(0, 43) r(i) GROUP BY ALL"),
+    "kmer_count_strands": _sql(READS, f"SELECT substr(x, i::INT + 1, 15) AS kmer, count(*) AS cnt FROM (SELECT unnest([seq, {_rc('seq')}]) AS x FROM reads), range(0, 36) r(i) GROUP BY ALL"),
     "kmer_count_naive": _sql(
-        READS, f"SELECT kmer, (CASE WHEN kmer = {_rc('kmer')} THEN count(*) // 2 ELSE count(*) END)::BIGINT AS cnt FROM (SELECT substr(x, i::INT + 1, 6) AS kmer FROM (SELECT unnest([seq, {_rc('seq')}]) AS x FROM reads), range(0, 44) r(i)) GROUP BY kmer"
+        READS, f"SELECT kmer, (CASE WHEN kmer = {_rc('kmer')} THEN count(*) // 2 ELSE count(*) END)::BIGINT AS cnt FROM (SELECT substr(x, i::INT + 1, 15) AS kmer FROM (SELECT unnest([seq, {_rc('seq')}]) AS x FROM reads), range(0, 35) r(i)) GROUP BY kmer"
     ),
     "kmer_inverted_index": _sql(
         READS,
@@ -295,9 +307,8 @@ ORACLE_SQL: dict[str, str] = {
             FROM (SELECT rid, least(x, {_rc("x")}) AS kmer FROM (SELECT rid, substr(seq, i::INT + 1, 31) AS x FROM reads, range(0, 20) r(i))) GROUP BY kmer""",
     ),
     "kmer_lookup": _sql(
-        READS,
-        f"""SELECT rid, {_rc("substr(seq, 1, 15)")} AS kmer, cnt FROM reads JOIN (
-            SELECT least(x, {_rc("x")}) AS c, count(*) AS cnt FROM (SELECT substr(seq, i::INT + 1, 15) AS x FROM reads, range(0, 36) r(i)) GROUP BY 1) ON c = least(substr(seq, 1, 15), {_rc("substr(seq, 1, 15)")})""",
+        f"{READS}, asked AS (SELECT rid, pos::INT AS pos, substr(seq, pos::INT + 1, 15) AS x FROM reads, range(0, 36) p(pos))",
+        f"""SELECT rid, pos, {_rc("x")} AS kmer, cnt FROM asked JOIN (SELECT least(x, {_rc("x")}) AS c, count(*) AS cnt FROM asked GROUP BY 1) ON c = least(x, {_rc("x")})""",
     ),
     "kmer_distinct": _sql(READS, "SELECT count(DISTINCT substr(seq, i::INT + 1, 15)) AS n FROM reads, range(0, 35) r(i)"),
     "pusm_linear": _pusm("((len - k)::DOUBLE * (gl - len) + 1) / ((gl - k + 1)::DOUBLE * (gl - len + 1))"),
@@ -325,7 +336,7 @@ ORACLE_SQL: dict[str, str] = {
     "bad_kmer_coverage": _sql(f"{READS}, {EXTENDED}", "SELECT * FROM cover"),
     "top_error_position": _sql(f"{READS}, {EXTENDED}", "SELECT rid, pos, cover FROM cover QUALIFY row_number() OVER (PARTITION BY rid ORDER BY cover DESC, pos) = 1"),
     "smallest_nonrepetitive": _sql(f"{READS}, {EXTENDED}", "SELECT rid, count(*) AS starts, sum(best // 10)::BIGINT AS sum_k, count(*) FILTER (best IS NULL) AS without FROM ext GROUP BY rid"),
-    "fix_candidates": _sql(_EDITS, f"SELECT rid, i, type FROM ed JOIN cls ON cls.canon = least(x, {_rc('x')}) WHERE class <> 0 QUALIFY row_number() OVER (PARTITION BY rid ORDER BY i, type) = 1"),
+    "fix_candidates": _sql(_EDITS, f"SELECT kmer, i, type FROM ed JOIN cls ON cls.canon = least(x, {_rc('x')}) WHERE class <> 0 QUALIFY row_number() OVER (PARTITION BY kmer ORDER BY i, type) = 1"),
     "correct_none": _from_reads("rid, seq"),
     "edit_distance": _sql(READS, "SELECT rid, levenshtein(original, seq)::INT AS distance FROM corrected"),
     "cigar_extract_errors": _sql(READS, "SELECT * FROM truth"),
@@ -388,8 +399,8 @@ ORACLE_SQL: dict[str, str] = {
            UNION ALL SELECT 0, NULL, round(ln((b - x) / b), 9) FROM one UNION ALL SELECT 11, NULL, round(ln((b - d) / b), 9) FROM one""",
     ),
     "motif_index": _sql(
-        f"{READS}, m AS (SELECT rid, substr(seq, 1, (rid % 6 + 1)::INT) AS motif FROM reads)",
-        """SELECT rid, ((5 ** length(motif) - 5) / 4 + list_sum(list_transform(range(0, length(motif)), lambda i: (instr('ACGTN', substr(motif, (i + 1)::INT, 1)) - 1) * 5 ** (length(motif) - 1 - i))))::BIGINT AS idx, motif FROM m""",
+        f"{READS}, m AS (SELECT substr(seq, pos::INT + 1, l.n::INT) AS motif, count(*) AS n FROM reads, range(1, 7) l(n), range(0, 50) p(pos) WHERE pos + l.n <= length(seq) GROUP BY 1)",
+        """SELECT ((5 ** length(motif) - 5) / 4 + list_sum(list_transform(range(0, length(motif)), lambda i: (instr('ACGTN', substr(motif, (i + 1)::INT, 1)) - 1) * 5 ** (length(motif) - 1 - i))))::BIGINT AS idx, motif, n FROM m""",
     ),
     "motif_counts": _sql(f"{READS}, {MOTIFS}", "SELECT * FROM mc"),
     "motif_zscores": _sql(f"{READS}, {MOTIFS}", "SELECT motif, pos, type, num_errors, round(z, 6) AS z FROM mz"),

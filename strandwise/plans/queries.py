@@ -37,6 +37,11 @@ def _model(spark: SparkSession, sf_dir: str, ks: list[int], with_bias: bool = Tr
     return coverage.CoverageModel(_reads(spark, sf_dir) if reads is None else reads, readset.genome_size(spark, sf_dir), ks, lengths=lengths, with_bias=with_bias)
 
 
+def _read_windows(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    """rid, pos, kmer: all windows of all reads."""
+    return kmers.windows(_reads(spark, sf_dir), k, keep=["rid"]).drop("k")
+
+
 def _genome_counts(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:
     return kmers.count_both_strands(readset.genome_reads(spark, sf_dir, k), k)
 
@@ -67,12 +72,12 @@ def gc_content(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def self_revcomp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _reads(spark, sf_dir).select("rid", sequence.is_own_reverse_complement(F.substring("seq", 1, 4)).cast("int").alias("own"))
+    return _read_windows(spark, sf_dir, 4).select("rid", "pos", sequence.is_own_reverse_complement(F.col("kmer")).cast("int").alias("own"))
 
 
 @query
 def kmer_to_number(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _reads(spark, sf_dir).select("rid", sequence.kmer_number(F.substring("seq", 1, 20)).alias("number"))
+    return _read_windows(spark, sf_dir, 20).select("rid", "pos", sequence.kmer_number(F.col("kmer")).alias("number"))
 
 
 @query
@@ -82,12 +87,12 @@ def number_to_kmer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def base_to_number(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _reads(spark, sf_dir).select("rid", sequence.base_number(F.substring("seq", 1, 1)).alias("number"))
+    return _read_windows(spark, sf_dir, 1).select("rid", "pos", sequence.base_number(F.col("kmer")).alias("number"))
 
 
 def _edit_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     types = F.explode(F.sequence(F.lit(0), F.lit(11)))
-    return _reads(spark, sf_dir).select("rid", F.substring("seq", 1, 12).alias("kmer"), (F.col("rid") % 12).cast("int").alias("pos"), types.alias("type"))
+    return _reads(spark, sf_dir).select("rid", F.col("seq").alias("kmer"), (F.col("rid") % F.length("seq")).cast("int").alias("pos"), types.alias("type"))
 
 
 @query
@@ -141,8 +146,8 @@ def error_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def inferred_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = F.lower(F.substring("seq", 1, 1))
-    return _reads(spark, sf_dir).select("rid", enums.substitution_of(base).alias("sub"), enums.deletion_of(base).alias("del"))
+    base = F.lower("kmer")
+    return _read_windows(spark, sf_dir, 1).select("rid", "pos", enums.substitution_of(base).alias("sub"), enums.deletion_of(base).alias("del"))
 
 
 @query
@@ -171,12 +176,12 @@ def kmer_count_both_strands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def kmer_count_strands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kmers.count_strands(_reads(spark, sf_dir), 8)
+    return kmers.count_strands(_reads(spark, sf_dir), K)
 
 
 @query
 def kmer_count_naive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kmers.count_naive(_reads(spark, sf_dir), 6)
+    return kmers.count_naive(_reads(spark, sf_dir), K)
 
 
 @query
@@ -187,8 +192,8 @@ def kmer_inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def kmer_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = _reads(spark, sf_dir).select("rid", F.lit(K).alias("k"), sequence.reverse_complement(F.substring("seq", 1, K)).alias("kmer"))
-    return kmers.look_up(asked, kmers.count_both_strands(_reads(spark, sf_dir), K)).select("rid", "kmer", "cnt")
+    asked = _read_windows(spark, sf_dir, K).select("rid", "pos", F.lit(K).alias("k"), sequence.reverse_complement(F.col("kmer")).alias("kmer"))
+    return kmers.look_up(asked, kmers.count_both_strands(_reads(spark, sf_dir), K)).select("rid", "pos", "kmer", "cnt")
 
 
 @query
@@ -302,10 +307,11 @@ def smallest_nonrepetitive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def fix_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = _model(spark, sf_dir, [K], with_bias=False)
+    """Each distinct untrusted k-mer's first fix, with insertions and deletions."""
+    model = _model(spark, sf_dir, [K - 1, K, K + 1], with_bias=False)
     rows = classify.classify(kmers.windows(_reads(spark, sf_dir), K, drop_last=True, keep=["rid"]), model)
-    first = rows.where(F.col("class") == enums.UNTRUSTED).groupBy("rid").agg(F.min_by("kmer", "pos").alias("kmer"))
-    return untrusted.first_fix(cut(first.withColumn("k", F.lit(K))), model, indels=False)
+    distinct = rows.where(F.col("class") == enums.UNTRUSTED).select("k", "kmer").distinct()
+    return untrusted.first_fix(cut(distinct), model, keys=["kmer"])
 
 
 def _corrected_by(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -505,9 +511,9 @@ def overall_profile_logprob(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def motif_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    motif = F.substring(F.col("seq"), F.lit(1), (F.col("rid") % 6 + 1).cast("int"))
-    rows = _reads(spark, sf_dir).select("rid", profile.motif_index(motif).alias("idx"))
-    return rows.select("rid", "idx", profile.index_motif(F.col("idx")).alias("motif"))
+    found = kmers.windows(_reads(spark, sf_dir), range(1, profile.MAX_MOTIF + 1), keep=["rid"])
+    rows = found.groupBy("kmer").agg(F.count("*").alias("n")).select(profile.motif_index(F.col("kmer")).alias("idx"), "n")
+    return rows.select("idx", profile.index_motif(F.col("idx")).alias("motif"), "n")
 
 
 @query
