@@ -132,19 +132,19 @@ class Words:
 class Hashes:
     """64-bit hashes of a chunk's words (``h``), with doc, bounds and per_doc as in ``Words``; a word of more than ``PART`` bytes has one of its own kind."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray) -> None:
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACE) -> None:
         if len(data) <= PART:
-            words = Words(data, offsets)
+            words = Words(data, offsets, separators)
             self.h, self.doc, self.bounds, self.per_doc = words.hashes(), words.doc, words.bounds, words.per_doc
             return
         found = []
-        for begin, end in cut_parts(data):
+        for begin, end in cut_parts(data, separators):
             own = data[begin:end]
-            word = own[~SPACE[own]]
+            word = own[~separators[own]]
             if len(word) > PART:  # a part of this one word
                 found.append(np.array([xxhash.xxh64_intdigest(word.tobytes())], np.uint64))
             else:
-                found.append(Words(own, np.array([0, end - begin])).hashes())
+                found.append(Words(own, np.array([0, end - begin]), separators).hashes())
         self.h = np.concatenate(found)
         self.doc, self.bounds, self.per_doc = np.zeros(len(self.h), np.int64), np.array([0, len(self.h)]), np.array([len(self.h)])
 
