@@ -13,7 +13,7 @@ from strandwise.functions.enums import ALGORITHMS
 from strandwise.functions.sequence import cigar_ops
 from strandwise.operators.cigar import genome_span
 from strandwise.plans.readset import cut_windows
-from strandwise.plans.storage import ship_package
+from strandwise.plans.storage import cut, ship_package
 from strandwise.sources import read_bam, read_genome, read_reads, read_sam, write_plot, write_reads
 from strandwise.sources.alignments import without_unmapped
 
@@ -81,8 +81,8 @@ def _evaluate(spark: SparkSession, args: argparse.Namespace) -> None:
     tools = Toolkit(Dataset(reads, size, "CIRCULAR" if args.circular else "LINEAR"), Parameters(args.k))
     tools.evaluate_kmers(genome_stretches(chunks, args.k)).coalesce(1).write.mode("overwrite").csv(f"{args.output}.kmers", header=True)
     if args.alignments:
-        source = read_bam if args.alignments.endswith(".bam") else read_sam
-        records = without_unmapped(source(spark, args.alignments))
+        records = read_bam(spark, args.alignments, cut) if args.alignments.endswith(".bam") else read_sam(spark, args.alignments)
+        records = without_unmapped(records)
         longest = records.agg(F.max(genome_span(cigar_ops(F.col("cigar"))))).head()[0] or 1
         windows = cut_windows(records.select("qname", "pos0"), chunks, length=longest).select("qname", "window")
         corrected = read_reads(spark, args.corrected, quality=False)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,66 +12,72 @@ from strandwise.functions.sequence import complement, reverse_complement
 
 from .align import CORRECTIONS
 
-_SUB = {b: CODE[f"SUB_OF_{b}"] for b in "ACGT"}
-_DEL = {b: CODE[f"DEL_OF_{b}"] for b in "ACGT"}
-_TURNED = {"A": "T", "C": "G", "G": "C", "T": "A"}
+_READ = ("M", "=", "X", "I", "S")
+_GENOME = ("M", "=", "X", "D", "N")
 
 
-def record_errors(seq: str, ops: Sequence[tuple[str, int]], genome: str, reverse: bool) -> list[tuple[int, int, str]]:
-    """(pos, type, base in read) of one record, in sequencing orientation, ordered.
+def _turned_base(base: Column, turned: Column) -> Column:
+    return F.when(turned, F.translate(base, "ACGT", "TGCA")).otherwise(base)
 
-    ``seq`` is in genome orientation and holds all bases but hard-clipped ones; ``genome`` is the
-    stretch that the record covers. Inserted bases are INSERTIONs; one missing base is
-    DEL_OF_<base>, at the base before the gap, several are MULTIDEL; soft-clipped bases say
-    nothing; a hard clip is a MULTIDEL at the read's end there. Genome bases other than A, C, G, T
-    say nothing either.
-    """
-    at = place = 0
-    found: list[tuple[int, str, str]] = []  # (position, kind, genome base)
-    for op, n in ops:
-        if op in "M=X":
-            for k in range(min(n, len(seq) - at, len(genome) - place)):
-                if seq[at + k] != genome[place + k]:
-                    found.append((at + k, "sub", genome[place + k]))
-            at, place = at + n, place + n
-        elif op == "I":
-            found += [(at + k, "ins", "") for k in range(n)]
-            at += n
-        elif op == "D":
-            # seen from the other strand, the base before the gap is the one after it here
-            found.append((at if reverse else at - 1, "del", genome[place : place + 1] if n == 1 else ""))
-            place += n
-        elif op == "S":
-            at += n
-        elif op == "H":
-            found.append((max(0, at - 1), "multi", ""))
-        elif op == "N":
-            place += n
-    out = []
-    for pos, kind, true in found:
-        base = _TURNED.get(true, true) if reverse else true
-        code = {"sub": _SUB.get(base), "ins": CODE["INSERTION"], "multi": CODE["MULTIDEL"], "del": _DEL.get(base) if true else CODE["MULTIDEL"]}[kind]
-        if code is None or not seq:
-            continue
-        pos = min(max(pos, 0), len(seq) - 1)
-        own = seq[pos]
-        out.append((len(seq) - 1 - pos if reverse else pos, code, _TURNED.get(own, own) if reverse else own))
-    return sorted(out)
+
+def placed_ops(ops: Column) -> Column:
+    """Operations with where they begin in the read (at) and in the genome stretch (place)."""
+    size = lambda x, kinds: F.when(x["op"].isin(*kinds), x["len"]).otherwise(0)
+    entry = "array<struct<op: string, len: int, at: int, place: int>>"
+    state = lambda at, place, out: F.struct(at.cast("int").alias("at"), place.cast("int").alias("place"), out.cast(entry).alias("out"))
+    return F.aggregate(
+        F.coalesce(ops, F.array().cast("array<struct<op: string, len: int>>")),
+        state(F.lit(0), F.lit(0), F.array()),
+        lambda a, x: state(a["at"] + size(x, _READ), a["place"] + size(x, _GENOME), F.concat(a["out"], F.array(F.struct(x["op"].alias("op"), x["len"].alias("len"), a["at"].alias("at"), a["place"].alias("place"))))),
+        lambda a: a["out"],
+    )
 
 
 def with_record_errors(records: DataFrame, window: str = "window", into: str = "errors") -> DataFrame:
-    """Rows (flag, seq, ops, and the genome stretch from the record's position on) with their errors; unmapped records are an error."""
-
-    def run(flag: pd.Series, seq: pd.Series, ops: pd.Series, genome: pd.Series) -> pd.Series:
-        out = []
-        for f, s, o, g in zip(flag, seq, ops, genome, strict=True):
-            if int(f) & 4:
-                raise ValueError("an unmapped record has no errors to extract")
-            rows = record_errors(s or "", [(x["op"], int(x["len"])) for x in o], g or "", bool(int(f) & 16))
-            out.append([{"pos": p, "type": t, "base": b} for p, t, b in rows])
-        return pd.Series(out, dtype=object)
-
-    return records.withColumn(into, F.pandas_udf(run, CORRECTIONS)(F.col("flag"), F.col("seq"), F.col("ops"), F.col(window)))
+    """Rows (flag, seq, ops, and the genome stretch from the record's position on) with their errors, as an array of
+    (pos, type, base in read) in sequencing orientation, ordered; unmapped records are an error.
+
+    ``seq`` is in genome orientation and holds all bases but hard-clipped ones. Inserted bases are INSERTIONs; one missing
+    base is DEL_OF_<base>, at the base before the gap, several are MULTIDEL; soft-clipped bases say nothing; a hard clip is
+    a MULTIDEL at the read's end there. Genome bases other than A, C, G, T say nothing either. Operations are
+    placed by one fold and each turned into its errors by column functions: nothing leaves the JVM and no row is
+    multiplied.
+    """
+    seq, stretch = F.coalesce(F.col("seq"), F.lit("")), F.coalesce(F.col(window), F.lit(""))
+    last = F.length(seq) - 1
+    turned = F.col("flag").bitwiseAND(16) != 0
+    none = F.array().cast(CORRECTIONS)
+
+    def error(at: Column, code: Column) -> Column:
+        at = F.least(F.greatest(at, F.lit(0)), last)
+        base = _turned_base(F.substring(seq, at + 1, F.lit(1)), turned)
+        return F.struct(F.when(turned, last - at).otherwise(at).cast("int").alias("pos"), code.cast("int").alias("type"), base.alias("base"))
+
+    def code_of(base: Column, first: str) -> Column:
+        at = F.instr(F.lit("ACGT"), _turned_base(base, turned))
+        return F.when((F.length(base) == 1) & (at > 0), at + (CODE[first] - 1))
+
+    def mismatches(x: Column) -> Column:
+        own, true = F.substring(seq, x["at"] + 1, x["len"]), F.substring(stretch, x["place"] + 1, x["len"])
+        pairs = F.zip_with(F.split(own, ""), F.split(true, ""), lambda a, b: F.struct(a.alias("own"), b.alias("true")))
+        found = F.filter(F.transform(pairs, lambda e, k: F.struct(k.alias("k"), e["own"].alias("own"), e["true"].alias("true"))), lambda e: (F.length(e["own"]) == 1) & (F.length(e["true"]) == 1) & (e["own"] != e["true"]))
+        return F.when(own == true, none).otherwise(F.transform(found, lambda e: error(x["at"] + e["k"], code_of(e["true"], "SUB_OF_A"))))
+
+    def of(x: Column) -> Column:
+        gap = F.substring(stretch, x["place"] + 1, F.lit(1))
+        missing = F.when((x["len"] == 1) & (gap != ""), code_of(gap, "DEL_OF_A")).otherwise(CODE["MULTIDEL"])
+        inserted = F.when(x["len"] > 0, F.transform(F.sequence(F.lit(0), F.greatest(x["len"], F.lit(1)) - 1), lambda k: error(x["at"] + k, F.lit(CODE["INSERTION"])))).otherwise(none)
+        return (
+            F.when(x["op"].isin("M", "=", "X"), mismatches(x))
+            .when(x["op"] == "I", inserted)
+            .when(x["op"] == "D", F.array(error(F.when(turned, x["at"]).otherwise(x["at"] - 1), missing)))  # the base before the gap, seen from the read's own strand
+            .when(x["op"] == "H", F.array(error(x["at"] - 1, F.lit(CODE["MULTIDEL"]))))
+            .otherwise(none)
+        )
+
+    found = F.array_sort(F.filter(F.flatten(F.transform(placed_ops(F.col("ops")), of)), lambda e: e["type"].isNotNull()))
+    unmapped = F.raise_error(F.lit("an unmapped record has no errors to extract")).cast(CORRECTIONS)
+    return records.withColumn(into, F.when(F.col("flag").bitwiseAND(4) != 0, unmapped).when(seq == "", none).otherwise(found))
 
 
 def genome_span(ops: Column) -> Column:

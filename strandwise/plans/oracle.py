@@ -44,6 +44,49 @@ pred AS (
 )
 """
 
+#: The gapped read set: its operations with their begin in read (rat) and genome stretch (place), and the reads.
+GAPPED = f"""
+g AS (SELECT string_agg(translate(md5(p_partkey::VARCHAR), '0123456789abcdef', 'ACGTACGTACGTACGT'), '' ORDER BY p_partkey) AS s FROM part),
+cigars AS (SELECT kind, cigar FROM (VALUES (0, '50M'), (1, '20M1I29M'), (2, '20M1D30M'), (3, '5S45M'), (4, '10H40M'), (5, '25M3D25M'), (6, '15M2I33M'), (7, '2H3S20M1I10M2D12M3S4H')) t(kind, cigar)),
+parsed AS (
+    SELECT kind, i, regexp_extract(x, '[A-Z]') AS op, regexp_extract(x, '[0-9]+')::INT AS len
+    FROM (SELECT kind, unnest(regexp_extract_all(cigar, '[0-9]+[A-Z]')) AS x, generate_subscripts(regexp_extract_all(cigar, '[0-9]+[A-Z]'), 1) AS i FROM cigars)
+),
+ops AS (
+    SELECT *, (sum(CASE WHEN op IN ('M', 'I', 'S') THEN len ELSE 0 END) OVER w - CASE WHEN op IN ('M', 'I', 'S') THEN len ELSE 0 END)::INT AS rat,
+           (sum(CASE WHEN op IN ('M', 'D') THEN len ELSE 0 END) OVER w - CASE WHEN op IN ('M', 'D') THEN len ELSE 0 END)::INT AS place
+    FROM parsed WINDOW w AS (PARTITION BY kind ORDER BY i)
+),
+gp AS (
+    SELECT o_orderkey AS rid, (o_orderkey * 7919) % (length(s) - 59) AS pos0, ((o_orderkey % 2) * 16)::INT AS flag, ((o_orderkey // 2) % 8)::INT AS kind,
+           ((o_orderkey * 31) % 40)::INT AS e, substr(s, ((o_orderkey * 7919) % (length(s) - 59) + 1)::BIGINT, 60) AS win
+    FROM orders, g
+),
+gw AS (SELECT *, CASE WHEN rid % 5 = 0 THEN {_changed("e", "CGTA")} ELSE win END AS src FROM gp),
+gapped AS (
+    SELECT rid, any_value(pos0) AS pos0, any_value(flag) AS flag, kind, any_value(win) AS win,
+           string_agg(CASE op WHEN 'M' THEN substr(src, place + 1, len) WHEN 'I' THEN translate(substr(src, place + 1, len), 'ACGT', 'TGCA')
+                              WHEN 'S' THEN translate(substr(src, place + 1, len), 'ACGT', 'GTAC') ELSE '' END, '' ORDER BY i) AS seq
+    FROM gw JOIN ops USING (kind) GROUP BY rid, kind
+)
+"""
+GAPPED_ERRORS = f"""
+spread AS (SELECT rid, flag, seq, win, length(seq)::INT AS n, op, len, rat, place, unnest(range(0, CASE WHEN op IN ('M', 'I') THEN len ELSE 1 END))::INT AS k FROM gapped JOIN ops USING (kind)),
+raw AS (
+    SELECT rid, flag, seq, n, rat + k AS p, 'sub' AS what, substr(win, place + k + 1, 1) AS b FROM spread WHERE op = 'M' AND substr(seq, rat + k + 1, 1) <> substr(win, place + k + 1, 1)
+    UNION ALL SELECT rid, flag, seq, n, rat + k, 'ins', '' FROM spread WHERE op = 'I'
+    UNION ALL SELECT rid, flag, seq, n, CASE WHEN flag = 16 THEN rat ELSE rat - 1 END, CASE WHEN len = 1 THEN 'del' ELSE 'multi' END, substr(win, place + 1, 1) FROM spread WHERE op = 'D'
+    UNION ALL SELECT rid, flag, seq, n, greatest(rat - 1, 0), 'multi', '' FROM spread WHERE op = 'H'
+),
+gerrors AS (
+    SELECT rid, (CASE WHEN flag = 16 THEN n - 1 - p ELSE p END)::INT AS pos,
+           (CASE what WHEN 'sub' THEN instr('ACGT', CASE WHEN flag = 16 THEN {_rc("b")} ELSE b END) WHEN 'ins' THEN 5 WHEN 'multi' THEN 10
+                      ELSE 5 + instr('ACGT', CASE WHEN flag = 16 THEN {_rc("b")} ELSE b END) END)::INT AS type,
+           CASE WHEN flag = 16 THEN {_rc("substr(seq, p + 1, 1)")} ELSE substr(seq, p + 1, 1) END AS base_in_read
+    FROM raw
+)
+"""
+
 
 def _model(ks: list[int], bias: bool = True) -> str:
     """counts (cnt), expectations (pusm), medians (med), biases (fill) and classes (cls) for some k."""
@@ -340,6 +383,7 @@ ORACLE_SQL: dict[str, str] = {
     "correct_none": _from_reads("rid, seq"),
     "edit_distance": _sql(READS, "SELECT rid, levenshtein(original, seq)::INT AS distance FROM corrected"),
     "cigar_extract_errors": _sql(READS, "SELECT * FROM truth"),
+    "cigar_gapped_errors": _sql(f"{GAPPED}, {GAPPED_ERRORS}", "SELECT * FROM gerrors"),
     "truth_errors_substitutions": _sql(READS, "SELECT * FROM truth"),
     "name_join": _sql(READS, "SELECT reads.name AS norm_name, strand * 16 AS flag, pos0, corrected.seq AS corrected FROM reads JOIN corrected USING (rid)"),
     "error_full_outer": _sql(f"{READS}, {MATCHED}", "SELECT * FROM matched"),
@@ -417,5 +461,6 @@ ORACLE_SQL: dict[str, str] = {
         f"SELECT qname, CASE WHEN flag & 16 <> 0 THEN {_rc('fwd')} ELSE fwd END AS seq, CASE WHEN flag & 16 <> 0 THEN reverse(lower(fwd)) ELSE lower(fwd) END AS qual, pos0 AS begin_pos, pos0 + 49 AS end_pos, n::INT AS n FROM n",
     ),
     "bam_totals": _sql(f"{READS}, {SAM}", "SELECT count(*) AS total, count(*) FILTER (flag & 4 = 0) AS mapped, count(*) FILTER (n = 1) AS unique FROM n"),
+    "bam_records": _sql(GAPPED, "SELECT 'g' || rid::VARCHAR AS qname, flag, 'genome' AS rname, pos0, cigar, seq, translate(seq, 'ACGT', '5:?I') AS qual FROM gapped JOIN cigars USING (kind)"),
     "fasta_records": _from_reads(r"CASE WHEN rid % 2 = 0 THEN '@' || name || chr(10) || seq || chr(10) || '+' || chr(10) || lower(seq) ELSE '>' || name || chr(10) || seq END AS value"),
 }

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from strandwise.functions import enums, sequence
 from strandwise.operators import align, cigar, classify, correct, coverage, evaluate, kmers, metrics, profile, untrusted
 from strandwise.plans import readset
-from strandwise.plans.storage import cut
+from strandwise.plans.storage import cut, new_path
 from strandwise.sources import alignments as sam
+from strandwise.sources import bam
 from strandwise.sources.reads import record_text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -367,6 +368,13 @@ def cigar_extract_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cigar.with_record_errors(rows).select("rid", F.explode("errors").alias("e")).select("rid", "e.pos", "e.type", F.col("e.base").alias("base_in_read"))
 
 
+@query
+def cigar_gapped_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors of records with insertions, deletions and clips on both strands."""
+    rows = readset.gapped_alignments(spark, sf_dir).withColumn("ops", sequence.cigar_ops(F.col("cigar")))
+    return cigar.with_record_errors(rows).select("rid", F.explode("errors").alias("e")).select("rid", "e.pos", "e.type", F.col("e.base").alias("base_in_read"))
+
+
 @query
 def truth_errors_substitutions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _truth(spark, sf_dir)
@@ -558,6 +566,15 @@ def bam_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sam.read_totals(_sam_records(spark, sf_dir))
 
 
+@query
+def bam_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gapped alignments written as BAM and read again in splits."""
+    rows = readset.gapped_alignments(spark, sf_dir).select("qname", "flag", F.lit("genome").alias("rname"), "pos0", sequence.cigar_ops(F.col("cigar")).alias("ops"), "seq", F.translate("seq", "ACGT", "5:?I").alias("qual"))
+    path = new_path(spark, "bam")
+    bam.write_bam(rows, path, [("genome", readset.genome_size(spark, sf_dir))])
+    return bam.read_bam(spark, path, cut).drop("ops")
+
+
 @query
 def fasta_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _reads(spark, sf_dir).withColumn("qual", F.when(F.col("rid") % 2 == 0, F.lower("seq")))

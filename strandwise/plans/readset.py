@@ -6,6 +6,8 @@ it can touch, so no long string is ever searched.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,3 +108,37 @@ def genome_reads(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     """Overlapping stretches of the genome (idx, seq) whose k-mer windows are the genome's, each once."""
     chunks = genome_chunks(spark, sf_dir)
     return cut_windows(chunks.select("idx", (F.col("idx") * CHUNK).alias("pos0")), chunks, length=CHUNK + k - 1).select("idx", F.col("window").alias("seq"))
+
+
+#: Alignments of the second read set: both strands have each of them.
+CIGARS = ("50M", "20M1I29M", "20M1D30M", "5S45M", "10H40M", "25M3D25M", "15M2I33M", "2H3S20M1I10M2D12M3S4H")
+SPAN = 60
+
+
+def gapped_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rid, qname, flag, pos0, cigar, seq (genome orientation), qual, window: reads of orders with insertions, deletions and clips.
+
+    Inserted bases are complements of the genome there, soft-clipped ones another exchange of them, and of
+    every fifth read a base of the genome is exchanged before the read is cut from it.
+    """
+    starts = genome_size(spark, sf_dir) - SPAN + 1
+    rid = F.col("rid")
+    placed = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        F.col("o_orderkey").alias("rid"), ((F.col("o_orderkey") * 7919) % starts).alias("pos0"), ((F.col("o_orderkey") % 2) * 16).cast("int").alias("flag"), F.expr(f"CAST((o_orderkey div 2) % {len(CIGARS)} AS INT)").alias("_kind")
+    )
+    rows = cut_windows(placed, genome_chunks(spark, sf_dir), length=SPAN)
+    at = ((rid * 31) % 40).cast("int")
+    changed = F.concat(F.substring("window", F.lit(1), at), F.translate(F.substring("window", at + 1, F.lit(1)), "ACGT", "CGTA"), F.substring("window", at + 2, F.lit(SPAN)))
+    rows = rows.withColumn("_g", F.when(rid % 5 == 0, changed).otherwise(F.col("window")))
+    seq = cigar = None
+    for kind, text in enumerate(CIGARS):
+        place, parts = 0, []
+        for n, op in ((int(n), op) for n, op in re.findall(r"(\d+)([MIDSH])", text)):
+            here = F.substring("_g", place + 1, n)
+            parts += {"M": [here], "I": [F.translate(here, "ACGT", "TGCA")], "S": [F.translate(here, "ACGT", "GTAC")]}.get(op, [])
+            place += n if op in "MD" else 0
+        own = F.concat(*parts)
+        seq = F.when(F.col("_kind") == kind, own) if seq is None else seq.when(F.col("_kind") == kind, own)
+        cigar = F.when(F.col("_kind") == kind, text) if cigar is None else cigar.when(F.col("_kind") == kind, text)
+    rows = rows.withColumn("cigar", cigar).withColumn("seq", seq)
+    return rows.select("rid", F.concat(F.lit("g"), rid.cast("string")).alias("qname"), "flag", "pos0", "cigar", "seq", F.lower("seq").alias("qual"), "window")

@@ -1,20 +1,12 @@
-"""SAM and BAM."""
+"""SAM, and what is made of the records of SAM and BAM."""
 
 from __future__ import annotations
 
-import gzip
-import struct
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandwise.functions.sequence import cigar_ops, reverse_complement
 
-SCHEMA = "qname string, flag int, rname string, pos0 long, cigar string, seq string, qual string"
-
-
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
     """qname, flag, rname, pos0 (from 0), cigar, ops, seq, qual of SAM text; '*' becomes empty."""
     fields = F.split("value", "\t")
@@ -25,58 +17,6 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-# Fixed values of the BAM format.
-_BASES = "=ACMGRSVTWYHKDBN"
-_OPS = "MIDNSHP=X"
-
-
-def bam_records(content: bytes) -> Iterator[tuple]:
-    """Records of a whole BAM file (BGZF blocks are gzip members)."""
-    data = gzip.decompress(content)
-    if data[:4] != b"BAM\1":
-        raise ValueError("not a BAM file")
-    at = 8 + struct.unpack_from("<i", data, 4)[0]
-    names = []
-    (count,) = struct.unpack_from("<i", data, at)
-    at += 4
-    for _ in range(count):
-        (n,) = struct.unpack_from("<i", data, at)
-        names.append(data[at + 4 : at + 3 + n].decode())
-        at += 8 + n
-    while at < len(data):
-        (size, ref, pos, name_size, _, _, ops, flag, length) = struct.unpack_from("<iiiBBHHHi", data, at)
-        here, at = at + 36, at + 4 + size
-        name = data[here : here + name_size - 1].decode()
-        here += name_size
-        packed = struct.unpack_from(f"<{ops}I", data, here)
-        here += 4 * ops
-        raw = data[here : here + (length + 1) // 2]
-        here += len(raw)
-        seq = "".join(_BASES[b >> 4] + _BASES[b & 15] for b in raw)[:length]
-        qual = data[here : here + length]
-        text = "" if qual[:1] == b"\xff" else bytes(q + 33 for q in qual).decode()
-        yield name, flag, names[ref] if ref >= 0 else "*", pos, "".join(f"{p >> 4}{_OPS[p & 15]}" for p in packed), seq, text
-
-
-def read_bam(spark: SparkSession, path: str) -> DataFrame:
-    """As ``read_sam`` for BAM; each file is decoded in whole by one task, so split large ones by region first."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [c.split()[0] for c in SCHEMA.split(", ")]
-        for pdf in frames:
-            for content in pdf["content"]:
-                rows = []
-                for record in bam_records(content):
-                    rows.append(record)
-                    if len(rows) == 20_000:
-                        yield pd.DataFrame(rows, columns=columns)
-                        rows = []
-                yield pd.DataFrame(rows, columns=columns)
-
-    rows = spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, SCHEMA)
-    return rows.select("qname", "flag", "rname", "pos0", "cigar", cigar_ops(F.col("cigar")).alias("ops"), "seq", "qual")
-
-
 def grouped(records: DataFrame) -> DataFrame:
     """qname, records: all records of a name, in the order of flag and place."""
     return records.groupBy("qname").agg(F.sort_array(F.collect_list(F.struct("flag", "pos0", "ops", "seq", "qual"))).alias("records"))

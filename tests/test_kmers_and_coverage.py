@@ -1,11 +1,11 @@
 import math
 
 import pytest
+from plain import record_errors
 from pyspark.sql import functions as F
 
 from strandwise.operators import classify, coverage, kmers
 from strandwise.operators.align import align_pair, smooth_multidels
-from strandwise.operators.cigar import record_errors
 from strandwise.operators.correct import Known, Missing, algorithm, correct_simple, fix_kmer, smallest_nonrepetitive
 from strandwise.operators.evaluate import match_errors, switch_types
 from strandwise.operators.metrics import average_f1, information, per_type
