@@ -16,20 +16,74 @@ _SUB = {b: CODE[f"SUB_OF_{b}"] for b in "ACGT"}
 _DEL = {b: CODE[f"DEL_OF_{b}"] for b in "ACGT"}
 
 
-def _costs(original: str, corrected: str, free_ends: bool) -> np.ndarray:
-    """Edit costs of all prefixes; N and S in the original match anything."""
-    a, b = np.frombuffer(original.encode("latin-1", "replace"), np.uint8), np.frombuffer(corrected.encode("latin-1", "replace"), np.uint8)
-    wild = np.isin(a, (ord("N"), ord("S")))
-    steps = np.arange(len(b) + 1)
-    cost = np.zeros((len(a) + 1, len(b) + 1), np.int32)
-    if not free_ends:
-        cost[0] = steps
-    for i in range(1, len(a) + 1):
-        row = np.empty(len(b) + 1, np.int32)
-        row[0] = 0 if free_ends else i
-        row[1:] = np.minimum(cost[i - 1, :-1] + ((b != a[i - 1]) & ~wild[i - 1]), cost[i - 1, 1:] + 1)
-        cost[i] = np.minimum.accumulate(row - steps) + steps  # steps along the row
-    return cost
+#: Cells of the cost table that are kept as they are computed; larger tables keep some rows and compute the others again.
+KEPT_CELLS = 1 << 20
+_FAR = np.int32(1 << 30)
+
+
+class _Costs:
+    """Edit costs of prefixes in a band around the main diagonal; N and S in the original match anything.
+
+    The band is widened until the distance lies within it: then it holds all best ways. Of a table
+    over ``KEPT_CELLS`` only every sqrt(n)-th row is kept; the rows between two of them are computed
+    again when the way back reaches them, so that memory grows with sqrt(n) times the band.
+    """
+
+    def __init__(self, original: str, corrected: str, free_ends: bool) -> None:
+        self.a, self.b = (np.frombuffer(x.encode("latin-1", "replace"), np.uint8) for x in (original, corrected))
+        self.n, self.m, self.free = len(self.a), len(self.b), free_ends
+        self.wild = np.isin(self.a, (ord("N"), ord("S")))
+        most = max(self.n, self.m, 1)
+        self.band = most if free_ends else min(most, max(8, abs(self.n - self.m)))
+        while not self._filled() and self.band < most:
+            self.band = min(most, 2 * self.band)
+
+    def _filled(self) -> bool:
+        """Compute the kept rows; whether the band is wide enough."""
+        self.columns = np.arange(2 * self.band + 1, dtype=np.int32)
+        self.padded = np.concatenate([np.zeros(self.band, np.uint8), self.b, np.zeros(max(0, self.n - self.m) + self.band + 1, np.uint8)])
+        whole = (self.n + 1) * len(self.columns) <= KEPT_CELLS
+        self.step = self.n + 1 if whole else max(1, int(self.n**0.5))
+        row = self.columns - self.band  # of row 0, column j costs j
+        row = np.where((row < 0) | (row > self.m), _FAR, 0 if self.free else row).astype(np.int32)
+        self.kept, self.blocks = {0: row}, {}
+        if whole:
+            self.blocks[0] = self._block(0)
+            row = self.blocks[0][self.n]
+        else:
+            for i in range(1, self.n + 1):
+                row = self._next(row, i)
+                if i % self.step == 0:
+                    self.kept[i] = row
+        return self.free or int(row[self.m - self.n + self.band]) <= self.band
+
+    def _next(self, row: np.ndarray, i: int) -> np.ndarray:
+        """Row i from the one before; column j is at j - i + band."""
+        out = row + ((self.padded[i - 1 : i - 1 + len(row)] != self.a[i - 1]) & ~self.wild[i - 1])
+        np.minimum(out[:-1], row[1:] + 1, out=out[:-1])
+        if i <= self.band:
+            out[: self.band - i] = _FAR
+            if self.free:
+                out[self.band - i] = 0
+        out = np.minimum.accumulate(out - self.columns) + self.columns  # steps along the row
+        out[max(0, self.m - i + self.band + 1) :] = _FAR
+        return np.minimum(out, _FAR)
+
+    def _block(self, k: int) -> list[np.ndarray]:
+        rows = [self.kept[k * self.step]]
+        for i in range(k * self.step + 1, min((k + 1) * self.step, self.n + 1)):
+            rows.append(self._next(rows[-1], i))
+        return rows
+
+    def __call__(self, i: int, j: int) -> int:
+        place = j - i + self.band
+        if not 0 <= place < len(self.columns):
+            return int(_FAR)
+        k = i // self.step
+        if k not in self.blocks:
+            self.blocks = {x: rows for x, rows in self.blocks.items() if x == k + 1}
+            self.blocks[k] = self._block(k)
+        return int(self.blocks[k][i - k * self.step][place])
 
 
 def align_pair(original: str, corrected: str, compat: bool = False) -> list[tuple[int, int]]:
@@ -40,19 +94,22 @@ def align_pair(original: str, corrected: str, compat: bool = False) -> list[tupl
     several at one place are one MULTIDEL. With ``compat`` leading gaps cost nothing, N and S are
     looked up at the corrected read's position, and insertions lie one further.
     """
-    cost = _costs(original, corrected, compat)
     i, j = len(original), len(corrected)
     found: list[tuple[int, int]] = []
+    while not compat and i and j and (original[i - 1] == corrected[j - 1] or original[i - 1] in "NS"):
+        i, j = i - 1, j - 1  # a common end is always on the best way
+    cost = _Costs(original[:i], corrected[:j], compat)
     while i or j:
+        own = cost(i, j)
         if i and j:
             wild = original[i - 1] in "NS"
-            if cost[i, j] == cost[i - 1, j - 1] + (not wild and original[i - 1] != corrected[j - 1]):
+            if own == cost(i - 1, j - 1) + (not wild and original[i - 1] != corrected[j - 1]):
                 shown = original[i - 1] if not compat else original[j - 1] if j <= len(original) else ""
                 if original[i - 1] != corrected[j - 1] and shown not in ("N", "S") and corrected[j - 1] in _SUB:
                     found.append((i - 1, _SUB[corrected[j - 1]]))
                 i, j = i - 1, j - 1
                 continue
-        if j and (not i or cost[i, j] == cost[i, j - 1] + 1):
+        if j and (not i or own == cost(i, j - 1) + 1):
             found.append((i, _DEL.get(corrected[j - 1], CODE["MULTIDEL"])))
             j -= 1
         else:

@@ -87,6 +87,44 @@ gerrors AS (
 )
 """
 
+#: All-prefix edit costs row by row, then the way back from the end: equal or exchanged bases first, then missing, then surplus ones.
+ALIGNED = """
+pairs AS (
+    SELECT rid, original AS a, CASE WHEN rid % 4 = 0 THEN substr(seq, 1, 20) || substr(seq, 22) WHEN rid % 4 = 1 THEN substr(seq, 1, 30) || 'ACG' || substr(seq, 31)
+                                    WHEN rid % 16 = 2 THEN substr(seq, 6, 20) || substr(seq, 20, 31) ELSE seq END AS b
+    FROM corrected
+),
+apart AS MATERIALIZED (SELECT rid, a, b, length(a)::INT AS n, length(b)::INT AS m FROM pairs WHERE a <> b),
+dp AS (
+    SELECT rid, 0 AS i, list_transform(range(0, m + 1), lambda x: x::INT) AS cost FROM apart
+    UNION ALL
+    SELECT rid, i + 1, list_transform(range(0, m + 1), lambda j: list_min(c[1 : j + 1]) + j::INT)
+    FROM (
+        SELECT rid, i, m, list_transform(range(0, m + 1), lambda j: CASE WHEN j = 0 THEN i + 1 ELSE least(cost[j] + (substr(a, i + 1, 1) <> substr(b, j, 1))::INT, cost[j + 1] + 1) END - j::INT) AS c
+        FROM dp JOIN apart USING (rid) WHERE i < n
+    )
+),
+mat AS MATERIALIZED (SELECT rid, a, b, n, m, list(cost ORDER BY i) AS t FROM dp JOIN apart USING (rid) GROUP BY ALL),
+back AS (
+    SELECT rid, n AS i, m AS j, NULL::INT AS pos, NULL::INT AS type FROM apart
+    UNION ALL
+    SELECT rid, CASE way WHEN 'del' THEN i ELSE i - 1 END, CASE way WHEN 'ins' THEN j ELSE j - 1 END,
+           CASE way WHEN 'del' THEN i WHEN 'ins' THEN i - 1 ELSE CASE WHEN x <> y THEN i - 1 END END,
+           CASE way WHEN 'del' THEN 5 + instr('ACGT', y)::INT WHEN 'ins' THEN 5 ELSE CASE WHEN x <> y THEN instr('ACGT', y)::INT END END
+    FROM (
+        SELECT back.rid, i, j, substr(a, i, 1) AS x, substr(b, j, 1) AS y,
+               CASE WHEN i > 0 AND j > 0 AND t[i + 1][j + 1] = t[i][j] + (substr(a, i, 1) <> substr(b, j, 1))::INT THEN 'same'
+                    WHEN j > 0 AND (i = 0 OR t[i + 1][j + 1] = t[i + 1][j] + 1) THEN 'del' ELSE 'ins' END AS way
+        FROM back JOIN mat USING (rid) WHERE i > 0 OR j > 0
+    )
+),
+ways AS (
+    SELECT rid, pos, type FROM back WHERE type <= 5
+    UNION ALL SELECT rid, pos, CASE WHEN count(*) > 1 THEN 10 ELSE min(type) END FROM back WHERE type > 5 GROUP BY rid, pos
+)
+SELECT rid, pos, type, substr(a, pos + 1, 1) AS base FROM ways JOIN apart USING (rid)
+"""
+
 
 def _model(ks: list[int], bias: bool = True) -> str:
     """counts (cnt), expectations (pusm), medians (med), biases (fill) and classes (cls) for some k."""
@@ -382,6 +420,7 @@ ORACLE_SQL: dict[str, str] = {
     "fix_candidates": _sql(_EDITS, f"SELECT kmer, i, type FROM ed JOIN cls ON cls.canon = least(x, {_rc('x')}) WHERE class <> 0 QUALIFY row_number() OVER (PARTITION BY kmer ORDER BY i, type) = 1"),
     "correct_none": _from_reads("rid, seq"),
     "edit_distance": _sql(READS, "SELECT rid, levenshtein(original, seq)::INT AS distance FROM corrected"),
+    "align_pairs": f"WITH RECURSIVE {READS}, {ALIGNED}",
     "cigar_extract_errors": _sql(READS, "SELECT * FROM truth"),
     "cigar_gapped_errors": _sql(f"{GAPPED}, {GAPPED_ERRORS}", "SELECT * FROM gerrors"),
     "truth_errors_substitutions": _sql(READS, "SELECT * FROM truth"),

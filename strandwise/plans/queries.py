@@ -352,8 +352,9 @@ def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def align_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = _reads(spark, sf_dir).select("rid", F.col("seq").alias("original")).join(readset.corrected(spark, sf_dir).select("rid", F.col("seq").alias("corrected")), "rid")
-    shorter = F.when(F.col("rid") % 4 == 0, F.concat(F.substring("corrected", 1, 20), F.substring("corrected", 22, 50))).otherwise(F.col("corrected"))
-    return align.with_alignment(pairs.withColumn("corrected", shorter)).select("rid", F.explode("corrections").alias("c")).select("rid", "c.pos", "c.type", "c.base")
+    rid, part = F.col("rid"), lambda at, n: F.substring("corrected", at, n)
+    changed = F.when(rid % 4 == 0, F.concat(part(1, 20), part(22, 50))).when(rid % 4 == 1, F.concat(part(1, 30), F.lit("ACG"), part(31, 50))).when(rid % 16 == 2, F.concat(part(6, 20), part(20, 31))).otherwise(F.col("corrected"))
+    return align.with_alignment(pairs.withColumn("corrected", changed)).select("rid", F.explode("corrections").alias("c")).select("rid", "c.pos", "c.type", "c.base")
 
 
 @query

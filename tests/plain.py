@@ -47,3 +47,13 @@ def record_errors(seq: str, ops: list[tuple[str, int]], genome: str, reverse: bo
         own = seq[pos]
         out.append((len(seq) - 1 - pos if reverse else pos, code, _TURNED.get(own, own) if reverse else own))
     return sorted(out)
+
+
+def cost_table(original: str, corrected: str, free_ends: bool):
+    """Edit costs of all prefixes as a function of both lengths; N and S in the original match anything."""
+    rows = [[0 if free_ends else j for j in range(len(corrected) + 1)]]
+    for i, x in enumerate(original, 1):
+        rows.append([0 if free_ends else i])
+        for j, y in enumerate(corrected, 1):
+            rows[i].append(min(rows[i - 1][j - 1] + (x not in "NS" and x != y), rows[i - 1][j] + 1, rows[i][j - 1] + 1))
+    return lambda i, j: rows[i][j]

@@ -1,10 +1,12 @@
 import math
+import random
+import tracemalloc
 
 import pytest
-from plain import record_errors
+from plain import cost_table, record_errors
 from pyspark.sql import functions as F
 
-from strandwise.operators import classify, coverage, kmers
+from strandwise.operators import align, classify, coverage, kmers
 from strandwise.operators.align import align_pair, smooth_multidels
 from strandwise.operators.correct import Known, Missing, algorithm, correct_simple, fix_kmer, smallest_nonrepetitive
 from strandwise.operators.evaluate import match_errors, switch_types
@@ -93,8 +95,6 @@ def test_alignment(a, b, want):
 
 
 def test_alignment_costs_are_edit_distances():
-    import random
-
     rng = random.Random(3)
     for _ in range(50):
         a, b = ("".join(rng.choice("ACGT") for _ in range(rng.randint(1, 9))) for _ in range(2))
@@ -108,6 +108,41 @@ def test_alignment_costs_are_edit_distances():
             assert len(found) == d[-1][-1]
 
 
+def _edited(rng, text, edits):
+    out = list(text)
+    for _ in range(edits):
+        k, way = rng.randrange(max(len(out), 1)), rng.random()
+        out[k : k + (way > 0.3)] = [rng.choice("ACGT")] * (way < 0.3 or way > 0.6)
+    return "".join(out)
+
+
+@pytest.mark.parametrize("kept", [1 << 20, 1])
+@pytest.mark.parametrize("compat", [False, True])
+def test_alignment_in_a_band_equals_the_whole_table(monkeypatch, kept, compat):
+    """Random and related pairs, with all cells kept or rows computed again."""
+    rng = random.Random(9)
+    monkeypatch.setattr(align, "KEPT_CELLS", kept)
+    for trial in range(250):
+        a = "".join(rng.choices("ACGTNS" if trial % 3 == 0 else "ACGT", k=rng.randint(0, 60)))
+        b = "".join(rng.choices("ACGT", k=rng.randint(0, 60))) if trial % 2 else _edited(rng, a.replace("N", "A").replace("S", "T"), rng.randint(0, 9))
+        with monkeypatch.context() as whole:
+            whole.setattr(align, "_Costs", cost_table)
+            want = align_pair(a, b, compat)
+        assert align_pair(a, b, compat) == want, (a, b)
+
+
+def test_alignment_of_100_kb_in_little_memory():
+    rng = random.Random(4)
+    a = "".join(rng.choices("ACGT", k=100_000))
+    tracemalloc.start()
+    try:
+        found = align_pair(a, _edited(rng, a, 300))
+        assert tracemalloc.get_traced_memory()[1] < 100e6
+    finally:
+        tracemalloc.stop()
+    assert 200 < len(found) <= 300
+
+
 def test_records():
     ops = [("M", 2), ("I", 1), ("M", 1)]
     assert record_errors("ACTG", ops, "ACG", False) == [(2, 5, "T")]
