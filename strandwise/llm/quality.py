@@ -254,6 +254,10 @@ def learn_quality(docs: DataFrame, labels: DataFrame, usable: Column, label: str
     """
     own = labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(label).cast("double").alias("label")).where(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & usable)
     own = own.groupBy("doc_id").agg((F.min("label") > 0).cast("int").alias("label")).withColumn("place", F.xxhash64("doc_id"))
+    # about twice as many as needed, by a bound on the hash, so that the window's tasks stay small whatever the table
+    share = {r["label"]: min(1.0, 2 * (sample + 100) / r["count"]) for r in own.groupBy("label").count().collect()}
+    bound = F.when(F.col("label") == 1, share.get(1, 1.0)).otherwise(share.get(0, 1.0))
+    own = own.where(F.col("place") / 2.0**63 <= 2 * bound - 1)
     order = Window.partitionBy("label").orderBy("place", "doc_id")
     picked = own.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= sample).select("doc_id", "label")
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
