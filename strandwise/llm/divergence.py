@@ -2,11 +2,11 @@
 
 Terms become integers. Map tasks cut whole texts into terms, encode them by a dictionary of their
 own (Arrow, exact) and count (language, source, term) over runs of texts, so that only distinct ones
-are shuffled. Terms in enough documents of a language are kept and cut, in UTF-8 order, into chunks:
-sorted term arrays of at most ``CHUNK`` terms, and of at most ``CELLS`` terms by sources; their first
-terms are the only thing that the driver holds. A chunk's task finds its counts' ids by
-``searchsorted`` in the chunk's array and adds them up per source by ``bincount``: dense vectors,
-whose order is that of the terms, so that ties need no strings.
+are shuffled. All terms of a language, in UTF-8 order, are cut into chunks of at most ``CHUNK`` terms,
+and of at most ``CELLS`` terms by sources, which bounds a task's rows; of these a chunk keeps, as a
+sorted array, those in enough documents. The chunks' first terms are the only thing that the driver
+holds. A chunk's task finds its counts' ids by ``searchsorted`` in the chunk's array and adds them up
+per source by ``bincount``: dense vectors, whose order is that of the terms, so that ties need no strings.
 
 With V kept terms of a language and N their occurrences in a group, a group gives each kept term the
 integer p = 1 + floor(SCALE * (count + 2) / (N + 2 * V)); two distributions differ at a term by
@@ -24,19 +24,18 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _bytes
 from ._bytes import LOWER, Words, chunks, cut_parts
-from ._runtime import written
+from ._runtime import lean, trim, written
 
 SCALE = 1_000_000_000
 CHUNK = 1 << 14
 CELLS = 1 << 21
 #: Bytes of text that a map task counts at once.
-RUN = 8 << 20
+RUN = 4 << 20
 NOT_TERM = np.ones(256, bool)
 NOT_TERM[65:91] = NOT_TERM[97:123] = NOT_TERM[128:] = False
 _COUNTED = "lang string, source string, term binary, docs long, n long"
@@ -89,32 +88,35 @@ def count_terms(docs: DataFrame, text: str = "text", lang: str = "lang", source:
     """lang, source, term, docs (documents with it), n (occurrences); each group also has a row with a null term."""
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     own = docs.select(blank(lang).alias("lang"), blank(source).alias("source"), blank(text).alias("text"))
-    return own.mapInArrow(_counted, _COUNTED).groupBy("lang", "source", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
+    return own.mapInArrow(lambda it: lean(_counted(it)), _COUNTED).groupBy("lang", "source", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
 
 
 def _cut(batches: Iterable[pa.RecordBatch], chunk: int) -> Iterator[pa.RecordBatch]:
-    """Sorted (lang, term) to rows (lang, terms) of at most ``chunk`` consecutive terms of a language."""
-    lang, held = None, []
+    """Sorted (lang, term, kept) to rows (lang, first, terms): of at most ``chunk`` consecutive terms of a language the first one, and those that are kept."""
+    lang, first, held, seen = None, b"", [], 0
 
     def row() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([held], pa.list_(pa.binary()))], names=["lang", "terms"])
+        return pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([first], pa.binary()), pa.array([held], pa.list_(pa.binary()))], names=["lang", "first", "terms"])
 
     for batch in batches:
-        for of, term in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if held and (of != lang or len(held) == chunk):
+        for of, term, kept in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            if seen and (of != lang or seen == chunk):
                 yield row()
-                held = []
-            lang = of
-            held.append(term)
-    if held:
+                held, seen = [], 0
+            if not seen:
+                lang, first = of, term
+            seen += 1
+            if kept:
+                held.append(term)
+    if seen:
         yield row()
 
 
-def _sorted_chunks(kept: DataFrame, groups: DataFrame, chunk: int) -> DataFrame:
-    """lang, nth (number of the chunk, in order of language and first term), terms; a language without kept terms has one empty chunk."""
-    cut = kept.repartitionByRange("lang", "term").sortWithinPartitions("lang", "term").mapInArrow(lambda it: _cut(it, chunk), "lang string, terms array<binary>")
-    none = groups.select("lang").distinct().join(kept.select("lang").distinct(), "lang", "left_anti").select("lang", F.array().cast("array<binary>").alias("terms"))
-    return cut.unionByName(none).withColumn("first", F.coalesce(F.get("terms", F.lit(0)), F.lit(b"")))
+def _sorted_chunks(terms: DataFrame, groups: DataFrame, chunk: int) -> DataFrame:
+    """lang, first, terms of all chunks; a language without terms has one empty chunk."""
+    cut = terms.repartitionByRange("lang", "term").sortWithinPartitions("lang", "term").mapInArrow(lambda it: lean(_cut(it, chunk)), "lang string, first binary, terms array<binary>")
+    none = groups.select("lang").distinct().join(terms.select("lang").distinct(), "lang", "left_anti").select("lang", F.lit(b"").alias("first"), F.array().cast("array<binary>").alias("terms"))
+    return cut.unionByName(none)
 
 
 class Places:
@@ -145,14 +147,27 @@ def _placed(batches: Iterable[pa.RecordBatch], places: Places) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([pa.array(places(batch.column(0), batch.column(1))), *batch.columns], names=["nth", *batch.schema.names])
 
 
-def _encoded(rows: pa.Table, chunk: pa.Table) -> pa.Table:
-    """Counts of one chunk as (source, id in the chunk, n)."""
-    schema = pa.schema([("nth", pa.int32()), ("lang", pa.string()), ("source", pa.string()), ("id", pa.int32()), ("n", pa.int64())])
+_VECTORS = pa.schema([("nth", pa.int32()), ("lang", pa.string()), ("source", pa.string()), ("n", pa.int64()), ("counts", pa.binary())])
+
+
+def _vectors(rows: pa.Table, chunk: pa.Table) -> pa.Table:
+    """Counts of the kept terms of one chunk as a dense vector for each source that has any, and its sum."""
     if not rows.num_rows or not chunk.num_rows:
-        return schema.empty_table()
-    terms = np.array([*chunk["terms"][0].as_py(), None], object)[:-1]
+        return _VECTORS.empty_table()
+    terms = np.array([*chunk["terms"][0].as_py(), None], object)
     own = np.array([*rows["term"].to_pylist(), None], object)[:-1]
-    return pa.table([rows["nth"], rows["lang"], rows["source"], pa.array(np.searchsorted(terms, own), pa.int32()), rows["n"]], schema=schema)
+    at = np.searchsorted(terms[:-1], own)
+    kept = np.flatnonzero(terms[at] == own)
+    rows, at = rows.select(["source", "n"]).take(pa.array(kept)), at[kept]
+    if not len(kept):
+        return _VECTORS.empty_table()
+    source = rows["source"].combine_chunks().dictionary_encode()
+    width, names = len(terms) - 1, source.dictionary
+    cell, n = source.indices.to_numpy().astype(np.int64) * width + at, rows["n"].to_numpy()
+    low, high = (np.bincount(cell, part.astype(np.float64), len(names) * width).astype(np.int64) for part in (n & 0xFFFFFFF, n >> 28))  # exact: one count a cell
+    counts = (low + (high << 28)).reshape(len(names), width)
+    same = pa.array(np.zeros(len(names), np.int64))
+    return pa.table([chunk["nth"].take(same), chunk["lang"].take(same), names, pa.array(counts.sum(axis=1)), pa.array([c.tobytes() for c in counts], pa.binary())], schema=_VECTORS)
 
 
 def _shares(counts: np.ndarray, total: np.ndarray) -> np.ndarray:
@@ -181,10 +196,10 @@ def _measured(rows: pa.Table, chunk: pa.Table, top: int) -> pa.Table:
     totals = np.array([g["n"] for g in groups], np.int64)
     terms = pa.array(chunk["terms"][0].as_py(), pa.binary())
     width, size = len(terms), len(names)
-    place = pc.index_in(rows["source"].combine_chunks(), pa.array(names, pa.string())).to_numpy(zero_copy_only=False).astype(np.int64) if rows.num_rows else np.zeros(0, np.int64)
-    cell, n = place * width + rows["id"].to_numpy(), rows["n"].to_numpy()
-    low, high = (np.bincount(cell, part.astype(np.float64), size * width).astype(np.int64) for part in (n & 0xFFFFFFF, n >> 28))  # exact: one count a cell
-    counts = (low + (high << 28)).reshape(size, width)
+    counts = np.zeros((size, width), np.int64)
+    place = dict(zip(names, range(size), strict=True))
+    for source, vector in zip(rows["source"].to_pylist(), rows["counts"].to_pylist(), strict=True):
+        counts[place[source]] = np.frombuffer(vector, np.int64)
     p = _shares(counts, (totals + 2 * v)[:, None])
     q = _shares(counts.sum(axis=0), np.int64(totals.sum() + 2 * v))
     as_items = pa.array([x.encode() for x in names], pa.binary())
@@ -201,6 +216,7 @@ def _measured(rows: pa.Table, chunk: pa.Table, top: int) -> pa.Table:
         value = _apart(p[k, own], q[own])
         first = np.lexsort((own, -value))[:top]  # ids are in the order of terms
         add(k, "term", terms.take(pa.array(own[first])), value[first])
+    trim()
     return pa.concat_tables(found)
 
 
@@ -209,21 +225,21 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     counted = written(count_terms(docs, text, lang, source), "counted")
     groups = counted.where("term is null").select("lang", "source")
     counts = counted.where("term is not null")
-    kept = written(counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs).select("lang", "term"), "kept")
     most = groups.groupBy("lang").count().agg(F.max("count")).first()[0] or 1
     chunk = max(1, min(chunk, CELLS // most))
-    cut = written(_sorted_chunks(kept, groups, chunk), "chunks")
-    places = Places([(r["lang"], bytes(r["first"])) for r in cut.select("lang", "first").collect()])  # a row for each ``chunk`` kept terms
-    numbered = lambda df, kind: df.mapInArrow(lambda it: _placed(it, places), f"nth int, lang string, {kind}")
+    terms = counts.groupBy("lang", "term").agg((F.sum("docs") >= least_docs).alias("kept"))
+    cut = written(_sorted_chunks(terms, groups, chunk), "chunks")
+    places = Places([(r["lang"], bytes(r["first"])) for r in cut.select("lang", "first").collect()])  # one of each ``chunk`` terms
+    numbered = lambda df, kind: df.mapInArrow(lambda it: lean(_placed(it, places)), f"nth int, lang string, {kind}")
     cut = numbered(cut.select("lang", "first", "terms"), "first binary, terms array<binary>").select("nth", "lang", "terms")
-    placed = numbered(counts.join(kept, ["lang", "term"], "left_semi").select("lang", "term", "source", "n"), "term binary, source string, n long")
-    encoded = placed.groupBy("nth").cogroup(cut.groupBy("nth")).applyInArrow(_encoded, "nth int, lang string, source string, id int, n long")
-    encoded = written(encoded, "encoded")
-    totals = groups.join(encoded.groupBy("lang", "source").agg(F.sum("n").alias("n")), ["lang", "source"], "left")
+    placed = numbered(counts.select("lang", "term", "source", "n"), "term binary, source string, n long")
+    vectors = placed.groupBy("nth").cogroup(cut.groupBy("nth")).applyInArrow(_vectors, "nth int, lang string, source string, n long, counts binary")
+    vectors = written(vectors, "vectors")
+    totals = groups.join(vectors.groupBy("lang", "source").agg(F.sum("n").alias("n")), ["lang", "source"], "left")
     listed = totals.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("source", F.coalesce("n", F.lit(0)).alias("n")))).alias("groups"))
     sizes = cut.groupBy("lang").agg(F.sum(F.size("terms")).alias("v"))
     told = cut.join(sizes, "lang").join(listed, "lang")
-    found = encoded.groupBy("nth").cogroup(told.groupBy("nth")).applyInArrow(lambda a, b: _measured(a, b, top), "lang string, source string, part string, item binary, value long")
+    found = vectors.groupBy("nth").cogroup(told.groupBy("nth")).applyInArrow(lambda a, b: _measured(a, b, top), "lang string, source string, part string, item binary, value long")
     found = written(found, "measured")
     sums = found.where("part = 'pair'").groupBy("lang", "source", "item").agg(F.sum("value").alias("value")).select("lang", "source", F.col("item").cast("string").alias("item"), "value")
     both = sums.unionByName(sums.select("lang", F.col("item").alias("source"), F.col("source").alias("item"), "value")).withColumn("part", F.lit("pair"))
