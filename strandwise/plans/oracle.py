@@ -184,6 +184,84 @@ cover AS (
 )
 """
 
+#: Trusted k-mers of all lengths that correction can ask for, and edits: type 1-4 exchanges, 5 takes out, 6-9 put in after the place.
+_EDITED = "CASE WHEN t <= 4 THEN substr({x}, 1, i) || substr('ACGT', t, 1) || substr({x}, i + 2) WHEN t = 5 THEN substr({x}, 1, i) || substr({x}, i + 2) ELSE substr({x}, 1, i + 1) || substr('ACGT', t - 5, 1) || substr({x}, i + 2) END"
+GOOD = f"""
+{_model(list(range(14, 51)))},
+good AS MATERIALIZED (SELECT canon, class FROM cls WHERE class > 0)
+"""
+ADAPTIVE = f"""
+{GOOD},
+st AS (
+    SELECT rid, seq, 0 AS pos, 15 AS k FROM reads
+    UNION ALL
+    SELECT rid, CASE WHEN f IS NULL THEN seq ELSE {_EDITED.format(x="seq").replace("t <=", "f.t <=").replace("t =", "f.t =").replace("'ACGT', t", "'ACGT', f.t").replace(" i", " (pos + f.i)")} END,
+           CASE WHEN class = 2 AND pos + k + 2 < length(seq) THEN pos WHEN class = 2 THEN 1000 ELSE pos + 2 END, CASE WHEN class = 2 AND pos + k + 2 < length(seq) THEN k + 2 ELSE 15 END
+    FROM (
+        SELECT st.rid, st.seq, st.pos, st.k, coalesce(good.class, 0) AS class, f
+        FROM st LEFT JOIN good ON good.canon = least(substr(seq, pos + 1, k), {_rc("substr(seq, pos + 1, k)")})
+        LEFT JOIN (
+            SELECT e.rid, min({{'i': i, 't': t}}) AS f
+            FROM (
+                SELECT rid, i, t, {_EDITED.format(x="kmer")} AS x
+                FROM (SELECT rid, seq, pos, substr(seq, pos + 1, k) AS kmer, unnest(range(0, k))::INT AS i FROM st WHERE pos + 15 < length(seq)
+                      AND least(substr(seq, pos + 1, k), {_rc("substr(seq, pos + 1, k)")}) NOT IN (SELECT canon FROM good)), range(1, 10) types(t)
+                WHERE CASE WHEN t <= 4 THEN substr('ACGT', t::INT, 1) <> substr(kmer, i + 1, 1) ELSE pos + i > 0 AND pos + i < length(seq) - 1 END
+            ) e JOIN good ON good.canon = least(x, {_rc("x")}) GROUP BY e.rid
+        ) fixes ON fixes.rid = st.rid
+    ) WHERE pos + 15 < length(seq)
+)
+"""
+
+
+
+def _untrusted_windows(src: str) -> str:
+    """rid, t, i, kk of the windows (rid, t, s, i, k) that are untrusted once k has grown over repeats."""
+    return f"""
+        SELECT rid, t, i, best // 10 AS kk FROM (
+            SELECT rid, t, i, min(kk * 10 + coalesce(class, 0)) FILTER (coalesce(class, 0) <> 2) AS best
+            FROM (SELECT *, unnest(range(k, 51, 2))::INT AS kk FROM ({src})) LEFT JOIN good ON canon = least(substr(s, i + 1, kk), {_rc("substr(s, i + 1, kk)")})
+            WHERE kk = k OR i + kk < length(s) GROUP BY rid, t, i
+        ) WHERE best % 10 = 0"""
+
+
+#: States of reads: pos is null where the most covered place is to be found, else an edit there is judged with k.
+SIMPLE = f"""
+{GOOD},
+st AS (
+    SELECT rid, seq, [seq] AS had, NULL::INT AS pos, 15 AS k, 0 AS step FROM reads
+    UNION ALL
+    SELECT * FROM (
+        SELECT st.rid, seq, had, top.pos, 15 AS k, step + 1 AS step
+        FROM st JOIN (
+            SELECT rid, pos FROM (
+                SELECT rid, p::INT AS pos, count(*) AS n
+                FROM (SELECT rid, unnest(range(i, i + kk)) AS p FROM ({_untrusted_windows("SELECT rid, 0 AS t, seq AS s, unnest(range(0, length(seq) - 15))::INT AS i, 15 AS k FROM st WHERE pos IS NULL")}))
+                GROUP BY ALL
+            ) QUALIFY row_number() OVER (PARTITION BY rid ORDER BY n DESC, pos) = 1
+        ) top ON top.rid = st.rid WHERE st.pos IS NULL
+        UNION ALL
+        SELECT rid, CASE WHEN tied THEN seq ELSE text END, CASE WHEN tied THEN had ELSE list_append(had, text) END, CASE WHEN tied THEN pos END, CASE WHEN tied THEN k + 2 ELSE 15 END, step + 1
+        FROM (
+            SELECT rid, any_value(seq) AS seq, any_value(had) AS had, any_value(pos) AS pos, any_value(k) AS k, any_value(step) AS step, bool_or(t > 0 AND n < before AND n = least(before, low)) AS tied,
+                   min(n) FILTER (t > 0) AS best, any_value(before) AS before, arg_min(text, t) FILTER (t > 0 AND n = 0) AS text
+            FROM (
+                SELECT *, first_value(n) OVER (PARTITION BY rid ORDER BY t) AS before, min(n) OVER (PARTITION BY rid ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS low
+                FROM (
+                    SELECT e.rid, e.seq, e.had, e.pos, e.k, e.step, e.t, e.text, count(u.i) AS n
+                    FROM ({{edits}}) e LEFT JOIN ({_untrusted_windows("SELECT rid, t, text AS s, unnest(range(greatest(0, pos - k + 1), least(least(length(seq) - 1, pos + k - 1), length(text)) - k + 1))::INT AS i, k FROM ({edits})")}) u
+                    ON u.rid = e.rid AND u.t = e.t GROUP BY ALL
+                )
+            ) GROUP BY rid
+        ) WHERE best < before AND CASE WHEN tied THEN k + 2 < length(seq) ELSE best = 0 AND NOT list_contains(had, text) END
+    )
+)
+"""
+_TRIED = f"""SELECT *, {_EDITED.format(x="seq").replace(" i", " pos").replace("t - 5", "(t - 5)::INT")} AS text FROM st, range(1, 10) types(t) WHERE pos IS NOT NULL AND length(seq) > k
+             AND CASE WHEN t <= 4 THEN substr('ACGT', t::INT, 1) <> substr(seq, pos + 1, 1) ELSE pos > 0 AND pos < length(seq) - 1 END
+             UNION ALL SELECT *, 0, seq FROM st WHERE pos IS NOT NULL AND length(seq) > k"""
+SIMPLE = SIMPLE.replace("{edits}", _TRIED)
+
 KMER_ROWS = f"""
 {_model([15])}, {GENOME},
 rows AS (
@@ -420,6 +498,8 @@ ORACLE_SQL: dict[str, str] = {
     "fix_candidates": _sql(_EDITS, f"SELECT kmer, i, type FROM ed JOIN cls ON cls.canon = least(x, {_rc('x')}) WHERE class <> 0 QUALIFY row_number() OVER (PARTITION BY kmer ORDER BY i, type) = 1"),
     "correct_none": _from_reads("rid, seq"),
     "edit_distance": _sql(READS, "SELECT rid, levenshtein(original, seq)::INT AS distance FROM corrected"),
+    "correct_adaptive_kmer": f"WITH RECURSIVE {READS}, {ADAPTIVE} SELECT rid, seq FROM st WHERE pos + 15 >= length(seq)",
+    "correct_simple_kmer": f"WITH RECURSIVE {READS}, {SIMPLE} SELECT rid, arg_max(seq, step) AS seq FROM st GROUP BY rid",
     "align_pairs": f"WITH RECURSIVE {READS}, {ALIGNED}",
     "cigar_extract_errors": _sql(READS, "SELECT * FROM truth"),
     "cigar_gapped_errors": _sql(f"{GAPPED}, {GAPPED_ERRORS}", "SELECT * FROM gerrors"),

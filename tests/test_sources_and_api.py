@@ -160,7 +160,7 @@ def test_reads_of_several_files_in_splits(spark, tmp_path, split):
 
 def test_correction_goes_on_past_any_number_of_rounds():
     """A read with more errors than rounds were once allowed; and one whose fixes would lead in a circle ends."""
-    from strandwise.operators import correct
+    import plain_correction
 
     rng = random.Random(2)
     genome = "".join(rng.choices("ACGT", k=6000))
@@ -179,4 +179,4 @@ def test_correction_goes_on_past_any_number_of_rounds():
             return 1 if kmer in genome or kmer.translate(turn)[::-1] in genome else 0
 
     assert sum(a != b for a, b in zip(wrong, genome, strict=True)) > 140
-    assert correct.correct_simple("".join(wrong), k, correct.Known(All()), indels=False) == genome
+    assert plain_correction.correct_simple("".join(wrong), k, plain_correction.Known(All()), indels=False) == genome
