@@ -22,52 +22,50 @@ from pyspark.sql import functions as F
 
 from ._bytes import U64, chunks, mix, parts
 
-#: Fixed values, the parts of the labelled table: what unwanted and wanted hosts are named after.
+#: Fixed values, the parts of the labelled table: what unwanted and wanted hosts are named after. Hosts, words, domains and
+#: paths of the tables that the operator is tested on are kept out of it.
 BLOCKED_TOPICS = (
-    "casino poker bingo slots roulette jackpot betting bets gambling lottery sportsbook blackjack "
-    "pills viagra cialis meds steroids painkillers diet-pills adult xxx porn sex nude escort cams webcam-girls milf fetish "
-    "spam scam phishing malware keylogger botnet clickbait link-farm content-farm doorway "
-    "ads adserver adclick popunder tracker tracking retarget banner-ads pixel-track affiliate-ads "
+    "poker bingo slots roulette jackpot gambling lottery sportsbook blackjack baccarat "
+    "viagra cialis meds steroids painkillers slimming xxx porn sex nude escort cams webcam-girls milf fetish hookup "
+    "scam phishing malware keylogger botnet clickbait doorway popunder banner-exchange affiliate-click "
     "payday-loan fast-cash crypto-double get-rich ponzi forex-signals replica-watches fake-id counterfeit warez keygen torrent-crack cracked-apps"
 ).split()
 ALLOWED_TOPICS = (
     "library university college school science physics chemistry biology history museum gallery archive "
-    "news weather city council transport railway airport hospital clinic health nursing garden farming cooking recipes bakery "
+    "news weather city council transport railway airport hospital clinic health nursing garden cooking recipes bakery "
     "football tennis rowing cycling hiking travel hotel island mountain river forest ocean astronomy geology "
     "music theatre cinema books poetry language dictionary translation grammar mathematics statistics software docs "
     "engineering architecture design photo crafts knitting pottery woodwork chess puzzles parenting kindergarten charity volunteers "
     "law parliament justice economy insurance accounting energy solar water climate wildlife birds horses dogs veterinary"
 ).split()
-#: Words beside the topics, which both kinds of names hold, and some that mostly unwanted ones do.
-COMPANIONS = "online world daily best top my the hub zone club center guide shop now 24 house street one".split()
-LURES = "free cheap hot bonus instant easy".split()
-DOMAINS = "example.com example.org example.net site.net page.org".split()
-PREFIXES = "", "www.", "m.", "blog."
-PATHS = "/en/1234", "/de/88/", "/fr/4163.html", "/es/907"
+#: Words beside the topics: those that any name may hold, and those that mostly wanted or unwanted ones do.
+COMPANIONS = "online world daily best top my the hub zone club center guide shop now house street one".split()
+MANNERS = {1: "prize bonus vip hot instant easy 777 4u 24h deals xx mega lucky secret".split(), 0: "society institute project local national public group studio journal association courses north".split()}
+ENDINGS = {1: "com net info biz top xyz click".split(), 0: "com net org edu info eu".split()}
+PREFIXES = "", "www.", "web.", "home."
+PLACES = {1: "/ /prizes /join/77 /promo/a1 /out/5521 /x/9 /index.html".split(), 0: "/ /about /index.html /news/2021/05/ /docs/intro /team /articles/5521".split()}
 
 
 def _deal(text: str) -> int:
     return zlib.crc32(text.encode())
 
 
-def labelled_names(each: int = 6) -> list[tuple[str, int]]:
-    """Names of hosts with their label, 1 for block: each topic by itself and with ``each`` words beside it, before or after."""
+def labelled_names(each: int = 6, topics: dict[int, list[str]] | None = None) -> list[tuple[str, int]]:
+    """Names of hosts with their label, 1 for block: each topic by itself and with ``each`` words beside it, before or after; half of these words are of the label's manner."""
     found = []
-    for topics, label in ((BLOCKED_TOPICS, 1), (ALLOWED_TOPICS, 0)):
-        for i, topic in enumerate(topics):
+    for label, own in (topics or {1: BLOCKED_TOPICS, 0: ALLOWED_TOPICS}).items():
+        for topic in own:
             start = _deal(topic)
-            beside = [COMPANIONS[(start + 5 * k) % len(COMPANIONS)] for k in range(each)]
-            if label:
-                beside[-1] = LURES[i % len(LURES)]
+            beside = [(MANNERS[label] if k % 2 else COMPANIONS)[(start + 5 * k) % len(MANNERS[label] if k % 2 else COMPANIONS)] for k in range(each)]
             found += [(topic, label), *((f"{word}-{topic}" if _deal(topic + word) % 2 else f"{topic}-{word}", label) for word in beside)]
     return found
 
 
 def labelled_urls(names: Iterable[tuple[str, int]] | None = None, each: int = 1) -> list[tuple[str, int]]:
-    """The small labelled URL table: ``each`` URLs for every name (all of ``labelled_names``, if none are given), dealt over domains, prefixes and paths by a checksum."""
+    """The small labelled URL table: ``each`` URLs for every name (all of ``labelled_names``, if none are given), dealt over endings, prefixes and paths by a checksum."""
     pick = lambda parts, n: parts[n % len(parts)]
     return [
-        (f"https://{pick(PREFIXES, _deal(f'prefix {name} {k}'))}{name}.{pick(DOMAINS, _deal(f'domain {name} {k}'))}{pick(PATHS, _deal(f'path {name} {k}'))}", label)
+        (f"https://{pick(PREFIXES, _deal(f'prefix {name} {k}'))}{name}.{pick(ENDINGS[label], _deal(f'ending {name} {k}'))}{pick(PLACES[label], _deal(f'path {name} {k}'))}", label)
         for name, label in (labelled_names() if names is None else names)
         for k in range(each)
     ]
