@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -83,30 +85,83 @@ def _to_record(file, lines: int) -> None:  # noqa: ANN001
             file.readline()
 
 
+def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, bool]]:
+    """The rows of each split of a file (columns file and block), batch by batch, and whether a batch is its split's first one."""
+    last = None
+    for batch in batches:
+        file, block = batch.column(0).dictionary_encode().indices.to_numpy(), batch.column(1).to_numpy()
+        begin = np.concatenate([[0], np.flatnonzero((file[1:] != file[:-1]) | (block[1:] != block[:-1])) + 1, [batch.num_rows]]) if batch.num_rows else []
+        for a, b in zip(begin[:-1], begin[1:], strict=True):
+            key = batch.column(0)[a].as_py(), int(block[a])
+            yield batch.slice(a, b - a), key != last
+            last = key
+
+
+_PARTS = "read_id long, per int, part int, head string, seq string, qual string"
+_PART_NAMES = [c.split()[0] for c in _PARTS.split(", ")]
+
+
+def _whole_records(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (file, block, value, first, per, start) of lines: a row (part null) for each record whose lines lie in one split, and the
+    other lines one by one, with their part. ``first``: the number of the split's first line in its file; ``start``: records in files before."""
+
+    def rows(read_id: np.ndarray, per: int, part: pa.Array, *columns: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(read_id), pa.array(np.full(len(read_id), per, np.int32)), part, *columns], names=_PART_NAMES)
+
+    def single(values: pa.Array, line: int, per: int, start: int) -> pa.RecordBatch:
+        number = np.arange(line, line + len(values))
+        none = pa.nulls(len(values), pa.string())
+        return rows(start + number // per, per, pa.array((number % per).astype(np.int32)), values, none, none)
+
+    held, line, per, start = pa.array([], pa.string()), 0, 1, 0
+    for batch, is_first in _runs(batches):
+        if is_first:
+            if len(held):
+                yield single(held, line, per, start)
+            line, per, start = (batch.column(k)[0].as_py() for k in (3, 4, 5))
+            held = pa.array([], pa.string())
+        values = pa.concat_arrays([held, batch.column(2).cast(pa.string())])
+        skip = min(-line % per, len(values))  # lines of a record that began in the split before
+        if skip:
+            yield single(values[:skip], line, per, start)
+        count = (len(values) - skip) // per
+        at = skip + per * np.arange(count)
+        if count:
+            take = lambda k: values.take(pa.array(at + k))  # noqa: B023, E731
+            yield rows(start + (line + at) // per, per, pa.nulls(count, pa.int32()), take(0), take(1), take(3) if per == 4 else pa.nulls(count, pa.string()))
+        held, line = values[skip + per * count :], line + skip + per * count
+    if len(held):
+        yield single(held, line, per, start)
+
+
 def read_reads(spark: SparkSession, path: str, quality: bool = True) -> DataFrame:
     """read_id, name, seq (upper case), qual of FASTA (two lines a record) or FASTQ (four) files.
 
     A file's first character says which it is. A wrong header, or asking for quality of a FASTA
-    file, is an error. Read by Spark's text reader, which splits files of any size in any storage:
-    lines are numbered by the lines of the splits before theirs, and a record's lines meet by their
-    file and number. Ids count all records, in the order of the files' paths and of the records.
+    file, is an error. Read by Spark's text reader, which splits files of any size in any storage. A first pass counts
+    the lines of each split; with the lines before it a split's task knows where its first record begins and puts its lines
+    together itself. Only lines of records over a split's edge meet others by a shuffle. Ids count all records, in the
+    order of the files' paths and of the records.
     """
     own = F.col("_metadata")
-    lines = spark.read.text(path).select("value", own["file_path"].alias("file"), own["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("at"))
-    # a split's lines are consecutive in its task; this table has a row for each split
-    splits = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"), F.min_by("value", "at").alias("line"))
+    text = spark.read.text(path)
+    lines = text.select(own["file_path"].alias("file"), own["file_block_start"].alias("block"), "value")
+    head = F.min_by(F.when(F.col("block") == 0, F.substring("value", 1, 1)), F.when(F.col("block") == 0, F.col("at")))
+    splits = lines.withColumn("at", F.monotonically_increasing_id()).groupBy("file", "block").agg(F.count("*").alias("n"), head.alias("line"))
     before = Window.partitionBy("file").orderBy("block")
     whole = before.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    splits = splits.select("file", "block", (F.coalesce(F.sum("n").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - F.col("first")).alias("shift"), F.sum("n").over(whole).alias("lines"), F.first("line").over(whole).alias("head"))
-    per = F.when(F.col("head").startswith("@"), 4).when(F.col("head").startswith(">"), 2).otherwise(F.raise_error(F.lit("a record begins neither with @ nor with >")).cast("int"))
+    splits = splits.select("file", "block", F.coalesce(F.sum("n").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"), F.sum("n").over(whole).alias("lines"), F.max("line").over(whole).alias("head"))
+    per = F.when(F.col("head") == "@", 4).when(F.col("head") == ">", 2).otherwise(F.raise_error(F.lit("a record begins neither with @ nor with >")).cast("int"))
     splits = splits.where("head <> '' or lines > 1").withColumn("per", per)
     files = splits.groupBy("file").agg(F.ceil(F.first("lines") / F.first("per")).cast("long").alias("records"))
     files = files.select(F.col("file").alias("of"), F.coalesce(F.sum("records").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
-    splits = splits.join(files, F.col("file") == F.col("of")).select(F.col("file").alias("of"), F.col("block").alias("in"), "shift", "per", "start")
-    numbered = lines.join(splits, (F.col("file") == F.col("of")) & (F.col("block") == F.col("in"))).withColumn("line", F.col("at") + F.col("shift"))
-    numbered = numbered.select(F.expr("start + line div per").alias("read_id"), "per", (F.col("line") % F.col("per")).alias("part"), F.regexp_replace("value", "\r$", "").alias("value"))
-    line = lambda k: F.max(F.when(F.col("part") == k, F.col("value")))
-    records = numbered.groupBy("read_id").agg(F.max("per").alias("per"), line(0).alias("head"), line(1).alias("seq"), line(3).alias("qual"))
+    splits = splits.join(files, F.col("file") == F.col("of")).select(F.col("file").alias("of"), F.col("block").alias("in"), "first", "per", "start")
+    # a row for each split, that is for spark.sql.files.maxPartitionBytes of text: small beside what a task reads
+    placed = lines.join(F.broadcast(splits), (F.col("file") == F.col("of")) & (F.col("block") == F.col("in"))).select("file", "block", F.regexp_replace("value", "\r$", "").alias("value"), "first", "per", "start")
+    found = placed.mapInArrow(_whole_records, _PARTS)
+    line = lambda k: F.max(F.when(F.col("part") == k, F.col("head")))
+    met = found.where("part is not null").groupBy("read_id").agg(F.max("per").alias("per"), line(0).alias("head"), line(1).alias("seq"), line(3).alias("qual"))
+    records = found.where("part is null").select("read_id", "per", "head", "seq", "qual").unionByName(met)
     records = records.where("head <> '' or coalesce(seq, '') <> ''")  # empty lines at the end are none
     mark = F.when(F.col("per") == 4, "@").otherwise(">")
     head = F.when(F.substring("head", 1, 1) == mark, F.col("head")).otherwise(F.raise_error(F.concat(F.lit("not a header: "), F.col("head"))).cast("string"))
@@ -131,17 +186,59 @@ def require_quality(reads: DataFrame) -> DataFrame:
     return reads.withColumn("qual", F.coalesce("qual", F.raise_error(F.lit("FASTA has no quality")).cast("string")))
 
 
+_CHUNKS = "idx long, begin int, bases string, whole boolean"
+
+
+def _whole_chunks(batches: Iterable[pa.RecordBatch], chunk: int) -> Iterator[pa.RecordBatch]:
+    """Rows (file, block, value, first) of sequence lines: the chunks that lie in one split, and the beginnings and ends of others.
+    ``first``: the place of the split's first base."""
+
+    def rows(text: bytes, place: int, sizes: np.ndarray, whole: bool) -> pa.RecordBatch:
+        begin = place + np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
+        bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        bases = pa.StringArray.from_buffers(len(sizes), pa.py_buffer(bounds), pa.py_buffer(text))
+        return pa.RecordBatch.from_arrays([pa.array(begin // chunk), pa.array((begin % chunk).astype(np.int32)), bases, pa.array(np.full(len(sizes), whole))], names=["idx", "begin", "bases", "whole"])
+
+    held, place = b"", 0
+    for batch, is_first in _runs(batches):
+        if is_first:
+            if held:
+                yield rows(held, place, np.array([len(held)]), False)
+            held, place = b"", batch.column(3)[0].as_py()
+        held += "".join(batch.column(2).to_pylist()).encode("latin-1", "replace")
+        skip = min(-place % chunk, len(held))  # the rest of a chunk that began before
+        if skip:
+            yield rows(held[:skip], place, np.array([skip]), False)
+        held, place = held[skip:], place + skip
+        if count := len(held) // chunk:
+            yield rows(held[: count * chunk], place, np.full(count, chunk), True)
+            held, place = held[count * chunk :], place + count * chunk
+    if held:
+        yield rows(held, place, np.array([len(held)]), False)
+
+
 def read_genome(spark: SparkSession, path: str, chunk: int = 32) -> DataFrame:
-    """idx, bases: the one record of a FASTA file, upper case, lines joined, cut into chunks; no record or a second one is an error."""
+    """idx, bases: the one record of a FASTA file, upper case, lines joined, cut into chunks; no record or a second one is an error.
+
+    The file is read in splits. A first pass adds up the bases of each split; the sums before it tell a split's task
+    the place of its first base, so that it cuts its chunks itself; only chunks over a split's edge meet by a shuffle.
+    """
     if not path:
         raise ValueError("no genome file given")
-    text = spark.read.text(path, wholetext=True)
-    headers = F.regexp_count("value", F.lit(r"(?m)^>"))
-    body = F.upper(F.regexp_replace(F.regexp_replace("value", r"^>[^\n]*(\n|$)", ""), r"\s", ""))
-    checked = F.when((headers == 1) & F.col("value").startswith(">"), body).otherwise(F.raise_error(F.lit("a genome file holds exactly one record")).cast("string"))
-    whole = text.select(checked.alias("s"))
-    starts = F.sequence(F.lit(0), F.floor((F.length("s") - 1) / chunk).cast("int"))
-    return whole.where(F.length("s") > 0).select(F.posexplode(F.transform(starts, lambda i: F.substring(F.col("s"), i * chunk + 1, F.lit(chunk)))).alias("idx", "bases")).select(F.col("idx").cast("long").alias("idx"), "bases")
+    own = F.col("_metadata")
+    lines = spark.read.text(path).select(own["file_path"].alias("file"), own["file_block_start"].alias("block"), F.col("value").startswith(">").alias("header"), F.upper(F.regexp_replace("value", r"\s", "")).alias("value"))
+    is_first = F.col("block") == 0
+    begin = F.min_by(F.when(is_first, F.col("header")), F.when(is_first, F.col("at")))
+    splits = lines.withColumn("at", F.monotonically_increasing_id()).groupBy("file", "block").agg(F.sum(F.when(~F.col("header"), F.length("value")).otherwise(0)).alias("n"), F.count_if("header").alias("headers"), begin.alias("begins"))
+    before = Window.partitionBy("file").orderBy("block")
+    splits = splits.select(F.col("file").alias("of"), F.col("block").alias("in"), F.coalesce(F.sum("n").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"), "headers", "begins")
+    checked = splits.agg((F.coalesce(F.sum("headers"), F.lit(0)) == 1).alias("one"), F.coalesce(F.bool_and("begins"), F.lit(False)).alias("begins"))
+    wrong = F.raise_error(F.lit("a genome file holds exactly one record"))
+    failed = checked.where("not (one and begins)").select(wrong.cast("long").alias("idx"), F.lit("").alias("bases"))
+    placed = lines.where(~F.col("header")).join(F.broadcast(splits), (F.col("file") == F.col("of")) & (F.col("block") == F.col("in"))).select("file", "block", "value", "first")
+    found = placed.mapInArrow(lambda it: _whole_chunks(it, chunk), _CHUNKS)
+    met = found.where("not whole").groupBy("idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("begin", "bases"))), lambda x: x["bases"]), "").alias("bases"))
+    return found.where("whole").select("idx", "bases").unionByName(met).unionByName(failed)
 
 
 def record_text(reads: DataFrame) -> DataFrame:

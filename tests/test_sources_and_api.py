@@ -53,6 +53,38 @@ def test_fasta_in_splits(spark, tmp_path):
     assert len({r.read_id for r in got}) == 500
 
 
+@pytest.mark.parametrize("size", ["61", "1k", "1m"])
+def test_reads_and_genomes_in_splits(spark, tmp_path, size):
+    """Ids count all records over files and splits; records and chunks over an edge, or over several, are whole."""
+    rng = random.Random(1)
+    text = lambda n: "".join(rng.choices("ACGTn", k=n))
+    reads = [(f"r{i} x", text(rng.choice([0, 3, 9, 200])), None) for i in range(150)]
+    marked = [(f"q{i}", s, "".join(rng.choices("@>+I", k=len(s)))) for i, s in enumerate(text(rng.choice([1, 4, 30, 90])) for _ in range(150))]
+    (tmp_path / "a.fa").write_text("".join(f">{n}\n{s}\n" for n, s, _ in reads))
+    (tmp_path / "b.fq").write_text("".join(f"@{n}\r\n{s}\r\n+\r\n{q}\r\n" for n, s, q in marked))
+    genome = text(3000)
+    (tmp_path / "g.txt").write_text(">g some\n" + "\n".join(genome[k : k + 70] for k in range(0, 3000, 70)) + "\n\n")
+    (tmp_path / "none.txt").write_text("")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        rows = sources.read_reads(spark, f"{tmp_path}/*.f*")
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        got = rows.orderBy("read_id").collect()
+        for chunk in (32, 7, 5000):
+            found = sources.read_genome(spark, str(tmp_path / "g.txt"), chunk=chunk).orderBy("idx").collect()
+            assert [(r.idx, r.bases) for r in found] == [(k, genome.upper()[k * chunk : (k + 1) * chunk]) for k in range(-(-3000 // chunk))]
+        with pytest.raises(Exception, match="exactly one record"):
+            sources.read_genome(spark, str(tmp_path / "none.txt")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert [(r.name, r.seq, r.qual) for r in got] == [(n, s.upper(), q) for n, s, q in reads + marked]
+    assert [r.read_id for r in got] == list(range(300))
+    assert plan.count("hashpartitioning(read_id") == 1 and "SortMergeJoin" not in plan  # lines at the splits' edges alone
+
+
 def test_genome(spark, tmp_path):
     (tmp_path / "g.fa").write_text(">g\nacgt\nACGT\nA\n")
     assert [r.bases for r in sources.read_genome(spark, str(tmp_path / "g.fa"), chunk=4).orderBy("idx").collect()] == ["ACGT", "ACGT", "A"]
