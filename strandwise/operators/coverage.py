@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandwise.functions.enums import GENOME_TYPES
-from strandwise.functions.sequence import canonical, gc_count
+from strandwise.functions.sequence import canonical, gc_count, number_kmer
 
 from .kmers import count_both_strands
 
@@ -60,10 +60,29 @@ def biases_with_genome(genome_windows: DataFrame, read_counts: DataFrame, genome
     return joined.select("k", gc_count(F.col("kmer")).alias("gc_count"), (F.col("in_reads").cast("double") / F.col("in_genome")).alias("bias")).where("bias > 0")
 
 
-def _shifted_median(values: Column) -> Column:
-    n = F.size(values)
-    at = lambda i: F.element_at(values, F.least(i, n))
-    return F.when(n % 2 == 1, at((n / 2).cast("int") + 2)).otherwise((at((n / 2).cast("int") + 1) + at((n / 2).cast("int") + 2)) / 2)
+def biases_of_all_kmers(counts: DataFrame, expected: DataFrame, k: int) -> DataFrame:
+    """k, gc_count, bias of each of the 4^k k-mers (k up to 15) whose bias is above 0, looked up in the counts of both strands.
+
+    The k-mers are a generated dimension, decoded from their numbers in parallel.
+    """
+    if not 0 < k <= 15:
+        raise ValueError("all k-mers are for k from 1 to 15")
+    every = counts.sparkSession.range(4**k).select(number_kmer(F.col("id"), k).alias("kmer")).select("kmer", canonical(F.col("kmer")).alias("_own"))
+    own = counts.where(F.col("k") == k).select(F.col("kmer").alias("_kmer"), "cnt")
+    found = every.join(own, F.col("_own") == F.col("_kmer"), "left").select(F.lit(k).alias("k"), "kmer", F.coalesce("cnt", F.lit(0)).alias("cnt"))
+    found = found.join(F.broadcast(expected), "k")
+    return found.select("k", gc_count(F.col("kmer")).alias("gc_count"), observed_bias(F.col("cnt").cast("double"), F.col("expectation")).alias("bias")).where("bias > 0")
+
+
+def _shifted_medians(biases: DataFrame, weight: Column) -> DataFrame:
+    """k, gc_count, bias: the elements one further up each bin's sorted list, read off the counts of its distinct values."""
+    by_value = Window.partitionBy("k", "gc_count").orderBy("bias")
+    values = biases.groupBy("k", "gc_count", "bias").agg(F.sum(weight).alias("n"))
+    values = values.select("k", "gc_count", "bias", F.sum("n").over(by_value).alias("upto"), F.sum("n").over(by_value.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("all"))
+    half = F.floor(F.col("all") / 2)
+    at = lambda rank: F.min(F.when(F.col("upto") >= F.least(rank, F.col("all")), F.col("bias")))
+    found = values.groupBy("k", "gc_count").agg(at(half + 1).alias("low"), at(half + 2).alias("high"), (F.max("all") % 2 == 1).alias("odd"))
+    return found.select("k", "gc_count", F.when(F.col("odd"), F.col("high")).otherwise((F.col("low") + F.col("high")) / 2).alias("bias"))
 
 
 def median_biases(biases: DataFrame, ks: Iterable[int], compat: bool = False) -> DataFrame:
@@ -74,9 +93,7 @@ def median_biases(biases: DataFrame, ks: Iterable[int], compat: bool = False) ->
     spark = biases.sparkSession
     bins = spark.createDataFrame([(k, i) for k in sorted(set(ks)) for i in range(k + 1)], "k int, gc_count int")
     weight = F.col("weight") if "weight" in biases.columns else F.lit(1)
-    every = F.sort_array(F.flatten(F.collect_list(F.array_repeat("bias", weight.cast("int")))))
-    middle = _shifted_median(every) if compat else F.percentile("bias", 0.5, weight)
-    medians = biases.groupBy("k", "gc_count").agg(middle.alias("bias"))
+    medians = _shifted_medians(biases, weight) if compat else biases.groupBy("k", "gc_count").agg(F.percentile("bias", 0.5, weight).alias("bias"))
     return bins.join(medians, ["k", "gc_count"], "left").select("k", "gc_count", (F.col("gc_count").cast("double") / F.col("k")).alias("gc"), F.coalesce("bias", F.lit(0.0)).alias("bias"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandwise.functions.sequence import canonical, is_own_reverse_complement, reverse_complement
@@ -66,16 +66,22 @@ def count_naive(reads: DataFrame, k: int, reverse_complements: bool = True, drop
     return counted.select("kmer", F.when(is_own_reverse_complement(F.col("kmer")), F.expr("cnt div 2")).otherwise(F.col("cnt")).alias("cnt"))
 
 
-def inverted_index(reads: DataFrame, k: int, read_id: str = "rid", empty_if_repeated: bool = False, seq: str = "seq") -> DataFrame:
-    """kmer (smaller of both strands), read_ids: the reads with it, in order, a read as often as it has it.
+def inverted_index(reads: DataFrame, k: int, read_id: str = "rid", empty_if_repeated: bool = False, seq: str = "seq", block: int = 4096) -> DataFrame:
+    """kmer (smaller of both strands), block, read_ids: the reads with it, in order, a read as often as it has it.
 
-    With ``empty_if_repeated`` the list is empty where some read has the k-mer more than once.
+    A k-mer's list is cut into blocks of ``block`` consecutive read ids, so that none grows with the number of reads: a row
+    holds no more than ``block`` times the windows of a read. With ``empty_if_repeated`` all lists of a k-mer are empty where
+    some read has it more than once.
     """
-    found = windows(reads, k, seq=seq, keep=[read_id], with_canonical=True).groupBy(F.col("canonical").alias("kmer")).agg(F.sort_array(F.collect_list(read_id)).alias("read_ids"))
+    own = windows(reads, k, seq=seq, keep=[read_id], with_canonical=True)
+    # a read's repeats of a k-mer are one row before the lists are made
+    by_read = own.groupBy(F.col("canonical").alias("kmer"), F.expr(f"`{read_id}` div {block}").alias("block"), F.col(read_id).alias("_rid")).agg(F.count("*").alias("_n"))
+    ids = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("_rid", "_n"))), lambda x: F.array_repeat(x["_rid"], x["_n"].cast("int"))))
+    found = by_read.groupBy("kmer", "block").agg(ids.alias("read_ids"), F.max("_n").alias("_n"))
     if not empty_if_repeated:
-        return found
-    ids = F.col("read_ids")
-    return found.select("kmer", F.when(F.size(ids) == F.size(F.array_distinct(ids)), ids).otherwise(F.slice(ids, 1, 0)).alias("read_ids"))
+        return found.drop("_n")
+    repeated = F.max("_n").over(Window.partitionBy("kmer")) > 1
+    return found.select("kmer", "block", F.when(repeated, F.slice("read_ids", 1, 0)).otherwise(F.col("read_ids")).alias("read_ids"))
 
 
 def look_up(rows: DataFrame, counts: DataFrame, kmer: Column | str = "kmer") -> DataFrame:

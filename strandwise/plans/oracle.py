@@ -462,8 +462,8 @@ ORACLE_SQL: dict[str, str] = {
     ),
     "kmer_inverted_index": _sql(
         READS,
-        f"""SELECT kmer, CASE WHEN count(*) = count(DISTINCT rid) THEN string_agg(rid::VARCHAR, ',' ORDER BY rid) ELSE '' END AS read_ids
-            FROM (SELECT rid, least(x, {_rc("x")}) AS kmer FROM (SELECT rid, substr(seq, i::INT + 1, 31) AS x FROM reads, range(0, 20) r(i))) GROUP BY kmer""",
+        f"""SELECT kmer, rid // 4096 AS block, CASE WHEN max(bool_or(again)) OVER (PARTITION BY kmer) THEN '' ELSE string_agg(rid::VARCHAR, ',' ORDER BY rid) END AS read_ids
+            FROM (SELECT rid, kmer, count(*) OVER (PARTITION BY rid, kmer) > 1 AS again FROM (SELECT rid, least(x, {_rc("x")}) AS kmer FROM (SELECT rid, substr(seq, i::INT + 1, 31) AS x FROM reads, range(0, 20) r(i)))) GROUP BY kmer, rid // 4096""",
     ),
     "kmer_lookup": _sql(
         f"{READS}, asked AS (SELECT rid, pos::INT AS pos, substr(seq, pos::INT + 1, 15) AS x FROM reads, range(0, 36) p(pos))",
@@ -580,6 +580,22 @@ ORACLE_SQL: dict[str, str] = {
         f"SELECT qname, CASE WHEN flag & 16 <> 0 THEN {_rc('fwd')} ELSE fwd END AS seq, CASE WHEN flag & 16 <> 0 THEN reverse(lower(fwd)) ELSE lower(fwd) END AS qual, pos0 AS begin_pos, pos0 + 49 AS end_pos, n::INT AS n FROM n",
     ),
     "bam_totals": _sql(f"{READS}, {SAM}", "SELECT count(*) AS total, count(*) FILTER (flag & 4 = 0) AS mapped, count(*) FILTER (n = 1) AS unique FROM n"),
+    "reads_written_and_read": _sql(READS, "SELECT row_number() OVER (ORDER BY rid) - 1 AS read_id, name, seq, translate(seq, 'ACGT', '@>+I') AS qual FROM reads"),
+    "genome_written_and_read": _sql(READS, "SELECT i AS idx, substr(s, (i * 50 + 1)::BIGINT, 50) AS bases FROM (SELECT s, unnest(range(0, (length(s) + 49) // 50)) AS i FROM g)"),
+    "bias_median_shifted": _sql(
+        f"{READS}, {_model([15])}",
+        """SELECT 15 AS k, b AS gc_count, round(b / 15.0::DOUBLE, 9) AS gc,
+                  round(coalesce(CASE WHEN len(v) % 2 = 1 THEN v[least(len(v) // 2 + 2, len(v))] ELSE (v[len(v) // 2 + 1] + v[least(len(v) // 2 + 2, len(v))]) / 2 END, 0), 9) AS bias
+           FROM (SELECT unnest(range(0, 16))::INT AS b) LEFT JOIN (SELECT gc, list_sort(list(bias)) AS v FROM bias WHERE bias > 0 GROUP BY gc) ON gc = b""",
+    ),
+    "bias_all_kmers": _sql(
+        f"{READS}, {_model([8])}",
+        f"""SELECT gc_count, count(*) AS n, round(avg(bias), 6) AS bias FROM (
+                SELECT (length(x) - length(replace(replace(x, 'G', ''), 'C', '')))::INT AS gc_count, CASE WHEN cnt >= 0.2 * e THEN cnt / e ELSE 0 END AS bias
+                FROM (SELECT array_to_string(list_transform(range(0, 8), lambda j: substr('ACGT', ((i // (4 ** j)::BIGINT) % 4 + 1)::BIGINT, 1)), '') AS x FROM range(0, 65536) t(i))
+                JOIN cnt ON canon = least(x, {_rc("x")}) CROSS JOIN pusm
+            ) WHERE bias > 0 GROUP BY gc_count""",
+    ),
     "bam_records": _sql(GAPPED, "SELECT 'g' || rid::VARCHAR AS qname, flag, 'genome' AS rname, pos0, cigar, seq, translate(seq, 'ACGT', '5:?I') AS qual FROM gapped JOIN cigars USING (kind)"),
     "fasta_records": _from_reads(r"CASE WHEN rid % 2 = 0 THEN '@' || name || chr(10) || seq || chr(10) || '+' || chr(10) || lower(seq) ELSE '>' || name || chr(10) || seq END AS value"),
 }

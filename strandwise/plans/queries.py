@@ -13,7 +13,7 @@ from strandwise.plans import readset
 from strandwise.plans.storage import cut, new_path
 from strandwise.sources import alignments as sam
 from strandwise.sources import bam
-from strandwise.sources.reads import record_text
+from strandwise.sources.reads import read_genome, read_reads, record_text, write_reads
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -188,7 +188,7 @@ def kmer_count_naive(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def kmer_inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = kmers.inverted_index(_reads(spark, sf_dir), 31, empty_if_repeated=True)
-    return found.select("kmer", F.array_join(F.transform("read_ids", lambda x: x.cast("string")), ",").alias("read_ids"))
+    return found.select("kmer", "block", F.array_join(F.transform("read_ids", lambda x: x.cast("string")), ",").alias("read_ids"))
 
 
 @query
@@ -239,6 +239,19 @@ def bias_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _model(spark, sf_dir, [K]).medians.select("k", "gc_count", _round("gc").alias("gc"), _round("bias").alias("bias"))
 
 
+@query
+def bias_median_shifted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = coverage.median_biases(_model(spark, sf_dir, [K]).raw_biases, [K], compat=True)
+    return rows.select("k", "gc_count", _round("gc").alias("gc"), _round("bias").alias("bias"))
+
+
+@query
+def bias_all_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Biases of all 4^8 k-mers."""
+    model = _model(spark, sf_dir, [8], with_bias=False)
+    return _bias_summary(coverage.biases_of_all_kmers(model.counts, model.expected, 8))
+
+
 @query
 def bias_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _model(spark, sf_dir, [K, K + 2]).biases.select("k", "gc_count", _round("gc").alias("gc"), _round("bias").alias("bias"))
@@ -576,6 +589,24 @@ def bam_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bam.read_bam(spark, path, cut).drop("ops")
 
 
+@query
+def reads_written_and_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads written as FASTQ files in order and read again, with ids over all files."""
+    path = new_path(spark, "reads")
+    write_reads(_reads(spark, sf_dir).select("rid", "name", "seq", F.translate("seq", "ACGT", "@>+I").alias("qual")), path, order="rid")
+    return read_reads(spark, path)
+
+
+@query
+def genome_written_and_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The genome written as lines of 32 bases under a header, and read again in chunks of 50."""
+    path = new_path(spark, "genome")
+    chunks = readset.genome_chunks(spark, sf_dir)
+    head = spark.createDataFrame([(-1, ">genome")], "idx long, bases string")
+    head.unionByName(chunks).orderBy("idx").select("bases").write.text(path)
+    return read_genome(spark, path, chunk=50)
+
+
 @query
 def fasta_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _reads(spark, sf_dir).withColumn("qual", F.when(F.col("rid") % 2 == 0, F.lower("seq")))

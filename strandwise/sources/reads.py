@@ -220,6 +220,8 @@ def _whole_chunks(batches: Iterable[pa.RecordBatch], chunk: int) -> Iterator[pa.
 def read_genome(spark: SparkSession, path: str, chunk: int = 32) -> DataFrame:
     """idx, bases: the one record of a FASTA file, upper case, lines joined, cut into chunks; no record or a second one is an error.
 
+    Of a folder the files in the order of their paths hold the record.
+
     The file is read in splits. A first pass adds up the bases of each split; the sums before it tell a split's task
     the place of its first base, so that it cuts its chunks itself; only chunks over a split's edge meet by a shuffle.
     """
@@ -230,12 +232,12 @@ def read_genome(spark: SparkSession, path: str, chunk: int = 32) -> DataFrame:
     is_first = F.col("block") == 0
     begin = F.min_by(F.when(is_first, F.col("header")), F.when(is_first, F.col("at")))
     splits = lines.withColumn("at", F.monotonically_increasing_id()).groupBy("file", "block").agg(F.sum(F.when(~F.col("header"), F.length("value")).otherwise(0)).alias("n"), F.count_if("header").alias("headers"), begin.alias("begins"))
-    before = Window.partitionBy("file").orderBy("block")
-    splits = splits.select(F.col("file").alias("of"), F.col("block").alias("in"), F.coalesce(F.sum("n").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"), "headers", "begins")
-    checked = splits.agg((F.coalesce(F.sum("headers"), F.lit(0)) == 1).alias("one"), F.coalesce(F.bool_and("begins"), F.lit(False)).alias("begins"))
+    before = Window.orderBy("file", "block")  # of rows that each stand for a split
+    splits = splits.select("file", "block", F.col("file").alias("of"), F.col("block").alias("in"), F.coalesce(F.sum("n").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"), "headers", "begins")
+    checked = splits.agg((F.coalesce(F.sum("headers"), F.lit(0)) == 1).alias("one"), F.coalesce(F.min_by("begins", F.struct("file", "block")), F.lit(False)).alias("begins"))
     wrong = F.raise_error(F.lit("a genome file holds exactly one record"))
     failed = checked.where("not (one and begins)").select(wrong.cast("long").alias("idx"), F.lit("").alias("bases"))
-    placed = lines.where(~F.col("header")).join(F.broadcast(splits), (F.col("file") == F.col("of")) & (F.col("block") == F.col("in"))).select("file", "block", "value", "first")
+    placed = lines.where(~F.col("header")).join(F.broadcast(splits.drop("file", "block")), (F.col("file") == F.col("of")) & (F.col("block") == F.col("in"))).select("file", "block", "value", "first")
     found = placed.mapInArrow(lambda it: _whole_chunks(it, chunk), _CHUNKS)
     met = found.where("not whole").groupBy("idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("begin", "bases"))), lambda x: x["bases"]), "").alias("bases"))
     return found.where("whole").select("idx", "bases").unionByName(met).unionByName(failed)

@@ -38,6 +38,29 @@ def test_both_strands_and_palindromes(spark):
     assert counted(kmers.count_naive(reads(spark, "ACGTA"), 4, reverse_complements=False, halve_always=True))["ACGT"] == 0
 
 
+def test_postings_of_a_hot_kmer_are_blocked(spark):
+    """Reads of A alone: each row holds a block's reads, all of them together every occurrence."""
+    df = spark.range(1000).selectExpr("id AS rid", "repeat('A', 10) AS seq")
+    rows = kmers.inverted_index(df, 4, block=64).collect()
+    assert len(rows) == 16 and {r.kmer for r in rows} == {"AAAA"}
+    assert max(len(r.read_ids) for r in rows) == 64 * 7
+    assert [i for r in sorted(rows, key=lambda r: r.block) for i in r.read_ids] == [i for i in range(1000) for _ in range(7)]
+    assert all(r.read_ids == [] for r in kmers.inverted_index(df, 4, empty_if_repeated=True, block=64).collect())
+
+
+def test_biases_of_all_kmers(spark):
+    df = reads(spark, "ACGTAC", "GGGTAC")
+    counts = kmers.count_both_strands(df, 3)
+    expected = spark.createDataFrame([(3, 2.0)], "k int, expectation double")
+    got = sorted((r.gc_count, r.bias) for r in coverage.biases_of_all_kmers(counts, expected, 3).collect())
+    own = [(r.kmer, r.cnt) for r in counts.collect()]
+    turned = str.maketrans("ACGT", "TGCA")
+    want = [(sum(b in "GC" for b in x), n / 2.0) for x, n in own for _ in {x, x[::-1].translate(turned)}]
+    assert got == sorted(want)
+    with pytest.raises(ValueError):
+        coverage.biases_of_all_kmers(counts, expected, 16)
+
+
 def test_inverted_index(spark):
     df = reads(spark, "AAAA", "TTT")
     assert kmers.inverted_index(df, 3).head().read_ids == [0, 0, 1]
