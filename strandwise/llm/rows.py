@@ -26,14 +26,15 @@ def told_apart(docs: DataFrame, doc_id: str = "doc_id", nulls_first: bool = True
     """The rows and the name of a column that has another value in each of them, and sorts them as their ids do.
 
     That is the id itself, unless rows repeat one or have none; then the table is sorted by id (rows
-    without one first or last), numbered and written with the numbers.
+    without one first or last) and a hash of the row, numbered and written with the numbers. Rows alike
+    in both are the same row, so that reruns decide alike.
     """
     ids = docs.select(F.col(doc_id).alias("id"))
     if ids.groupBy("id").count().where("count > 1 or id is null").isEmpty():
         return docs, doc_id
     name = fresh(docs, "row number")
     order = F.col(doc_id).asc_nulls_first() if nulls_first else F.col(doc_id).asc_nulls_last()
-    return written(docs.orderBy(order).withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+    return written(docs.orderBy(order, F.xxhash64(*docs.columns)).withColumn(name, F.monotonically_increasing_id()), "numbered"), name
 
 
 def without(docs: DataFrame, ids: DataFrame, doc_id: str = "doc_id", limit: int = BROADCAST_ROWS) -> DataFrame:
