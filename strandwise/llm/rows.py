@@ -33,8 +33,9 @@ def told_apart(docs: DataFrame, doc_id: str = "doc_id", nulls_first: bool = True
     if ids.groupBy("id").count().where("count > 1 or id is null").isEmpty():
         return docs, doc_id
     name = fresh(docs, "row number")
+    whole = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if f.dataType.typeName() != "map"])
     order = F.col(doc_id).asc_nulls_first() if nulls_first else F.col(doc_id).asc_nulls_last()
-    return written(docs.orderBy(order, F.xxhash64(*docs.columns)).withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+    return written(docs.orderBy(order, whole).withColumn(name, F.monotonically_increasing_id()), "numbered"), name
 
 
 def without(docs: DataFrame, ids: DataFrame, doc_id: str = "doc_id", limit: int = BROADCAST_ROWS) -> DataFrame:

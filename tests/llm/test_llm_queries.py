@@ -1,7 +1,8 @@
 """The registered queries against SQL, and the pipeline against a plain version of its stages."""
 
 import math
-from collections import Counter
+import zlib
+from collections import Counter, defaultdict
 
 import pytest
 from test_llm_operators import ODD, brute_components, check_packing, docs_of, low
@@ -128,3 +129,43 @@ def test_run_is_the_stages_in_order(spark, sf_dir):
         pass
     pieces = lambda df: Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in df.collect())
     assert pieces(corpus_pipeline.run(spark, sf_dir)) == pieces(docs)
+
+
+def held_out(doc_id, parts, remainder):
+    return zlib.crc32(str(doc_id).encode()) % parts == remainder
+
+
+def test_toxicity_held_out_at_sf01(spark):
+    """On the documents that learning leaves out: toxic ones found, others left alone."""
+    sf = "/root/testdata/sf0.1"
+    predicted = {r.doc_id: r.predicted for r in queries.op7_toxicity(spark, sf).collect()}
+    held = [(r.toxic, predicted[r.doc_id]) for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if held_out(r.doc_id, 3, 1)]
+    assert sum(p for t, p in held if t) >= 0.85 * sum(t for t, _ in held)
+    assert sum(p for t, p in held if not t) <= 0.015 * sum(1 - t for t, _ in held)
+
+
+def test_language_held_out_at_sf01(spark):
+    sf = "/root/testdata/sf0.1"
+    lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").collect() if r.lang}
+    held = [r for r in queries.op2_language_id(spark, sf).collect() if r.held_out and r.doc_id in lang]
+    assert len(held) > 3000
+    assert sum(r.lang_pred == lang[r.doc_id] for r in held) >= 0.99 * len(held)
+
+
+def test_base_columns_of_lm_scoring(spark, sf_dir, duck):
+    """The columns of op5 that SQL can express, as registered."""
+    want = duck.execute(r"""
+        WITH d AS (SELECT doc_id, list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), ' ') AS t FROM documents),
+        w AS (SELECT doc_id, unnest(t) AS token FROM d)
+        SELECT doc_id, token FROM w
+    """).fetchall()
+    docs = defaultdict(list)
+    for doc_id, token in want:
+        docs[doc_id].append(token)
+    counts = Counter(t for k, own in docs.items() if not held_out(k, 10, 0) for t in own)
+    total, distinct = sum(counts.values()), len(counts)
+    for r in queries.op5_lm_scoring(spark, sf_dir).collect():
+        own = docs[r.doc_id]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held_out(r.doc_id, 10, 0), len(own), sum(counts[t] > 0 for t in own), total)
+        assert math.isclose(r.base_score, sum(math.log10((counts[t] + 0.1) / (total + 0.1 * (distinct + 1))) for t in own), rel_tol=1e-9)
+        assert r.score < 0
