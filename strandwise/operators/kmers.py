@@ -73,9 +73,11 @@ def inverted_index(reads: DataFrame, k: int, read_id: str = "rid", empty_if_repe
     holds no more than ``block`` times the windows of a read. With ``empty_if_repeated`` all lists of a k-mer are empty where
     some read has it more than once.
     """
-    own = windows(reads, k, seq=seq, keep=[read_id], with_canonical=True)
+    own = windows(reads, k, seq=seq, keep=[read_id], with_canonical=True).select(F.col("canonical").alias("kmer"), F.col(read_id).alias("_rid"))
+    # one shuffle by k-mer serves the counts by read, the blocks and the window over a k-mer's blocks
+    by_kmer = own.repartition("kmer").withColumn("block", F.expr(f"_rid div {block}"))
     # a read's repeats of a k-mer are one row before the lists are made
-    by_read = own.groupBy(F.col("canonical").alias("kmer"), F.expr(f"`{read_id}` div {block}").alias("block"), F.col(read_id).alias("_rid")).agg(F.count("*").alias("_n"))
+    by_read = by_kmer.groupBy("kmer", "block", "_rid").agg(F.count("*").alias("_n"))
     ids = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("_rid", "_n"))), lambda x: F.array_repeat(x["_rid"], x["_n"].cast("int"))))
     found = by_read.groupBy("kmer", "block").agg(ids.alias("read_ids"), F.max("_n").alias("_n"))
     if not empty_if_repeated:

@@ -37,3 +37,8 @@ def test_pairs_are_aligned_together_as_alone(monkeypatch):
     align.align_all(*zip(*pairs, strict=True))
     assert [x for x, *_ in alone] == ["é", "AC" * 100]
     assert align.align_all([], []) == []
+
+
+def test_inverted_index_is_one_shuffle(spark, texts):
+    found = kmers.inverted_index(texts, 11, empty_if_repeated=True)
+    assert len(re.findall("Exchange hashpartitioning", plan(found))) == 1
