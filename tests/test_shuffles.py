@@ -42,3 +42,8 @@ def test_pairs_are_aligned_together_as_alone(monkeypatch):
 def test_inverted_index_is_one_shuffle(spark, texts):
     found = kmers.inverted_index(texts, 11, empty_if_repeated=True)
     assert len(re.findall("Exchange hashpartitioning", plan(found))) == 1
+
+
+def test_median_of_counted_values(spark, texts):
+    model = coverage.CoverageModel(texts, 6400, [5, 7])
+    assert re.search(r"HashAggregate\(keys=\[k#\d+, gc_count#\d+, bias#\d+\]", plan(model.medians))
