@@ -100,15 +100,17 @@ def switch_types(confusion: DataFrame) -> DataFrame:
     return confusion.select("kind", "truth", switched.cast("int").alias("predicted"), "n")
 
 
-def evaluate_corrections(corrected: DataFrame, alignments: DataFrame, windows: DataFrame, exclude_clipped: bool = True, compat_alignment: bool = False) -> DataFrame:
+def evaluate_corrections(corrected: DataFrame, alignments: DataFrame, windows: DataFrame | None = None, exclude_clipped: bool = True, compat_alignment: bool = False) -> DataFrame:
     """Confusion of corrected reads (name, seq) against alignments (qname, flag, pos0, cigar, seq).
 
     ``windows`` gives for qname the genome stretch from its position on (as long as the record
-    covers, or longer). Truth is what the alignment says, prediction what turned the original into
+    covers, or longer); if none, alignments hold it as ``window``. Truth is what the alignment says, prediction what turned the original into
     the corrected read. Soft-clipped positions are left out, unless ``exclude_clipped`` is off.
     """
-    own = join_by_name(corrected, alignments.select("qname", "flag", cigar_ops(F.col("cigar")).alias("ops"), "seq"))
-    own = own.join(windows.select(F.col("qname").alias("_q"), "window"), F.col("qname") == F.col("_q")).drop("_q")
+    held = ["window"] if windows is None else []
+    own = join_by_name(corrected, alignments.select("qname", "flag", cigar_ops(F.col("cigar")).alias("ops"), "seq", *held))
+    if windows is not None:
+        own = own.join(windows.select(F.col("qname").alias("_q"), "window"), F.col("qname") == F.col("_q")).drop("_q")
     own = own.withColumn("window", F.substring("window", F.lit(1), genome_span(F.col("ops"))))
     own = with_record_errors(own).withColumn("original", sequenced(F.col("seq"), F.col("flag")))
     own = with_alignment(own, compat=compat_alignment)

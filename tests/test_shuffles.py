@@ -47,3 +47,10 @@ def test_inverted_index_is_one_shuffle(spark, texts):
 def test_median_of_counted_values(spark, texts):
     model = coverage.CoverageModel(texts, 6400, [5, 7])
     assert re.search(r"HashAggregate\(keys=\[k#\d+, gc_count#\d+, bias#\d+\]", plan(model.medians))
+
+
+def test_windows_of_the_alignments_themselves(spark):
+    corrected = spark.createDataFrame([("a", "ACGT"), ("b", "ACTT")], "name string, seq string")
+    records = spark.createDataFrame([("a", 0, 0, "4M", "ACTT", "ACGT"), ("b", 16, 0, "4M", "ACTT", "ACGT")], "qname string, flag int, pos0 int, cigar string, seq string, window string")
+    own = evaluate.evaluate_corrections(corrected, records)
+    assert sorted(own.collect()) == sorted(evaluate.evaluate_corrections(corrected, records, records.select("qname", "window")).collect())
