@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandwise.functions.enums import REPEAT, UNIQUE, UNTRUSTED
@@ -40,6 +40,6 @@ def read_kmers_with_counts(reads: DataFrame, counts: DataFrame, k: int, read_id:
 
 def classify_by_read_median(read_kmers: DataFrame, read_id: str = "rid", floor: int = 3) -> DataFrame:
     """Rows (read_id, pos, kmer, cnt) with median (of the read's counts, at least ``floor``) and class against it."""
-    medians = read_kmers.groupBy(F.col(read_id).alias("_rid")).agg(F.greatest(F.percentile("cnt", 0.5), F.lit(float(floor))).alias("median"))
-    joined = read_kmers.join(medians, F.col(read_id) == F.col("_rid")).drop("_rid")
-    return joined.withColumn("class", kmer_class(F.col("cnt"), F.col("median"), F.lit(1.0)))
+    by_read = Window.partitionBy(read_id)
+    median = F.greatest(F.percentile("cnt", 0.5).over(by_read), F.lit(float(floor)))
+    return read_kmers.where(F.col(read_id).isNotNull()).withColumn("median", median).withColumn("class", kmer_class(F.col("cnt"), F.col("median"), F.lit(1.0)))

@@ -159,6 +159,12 @@ def kmer_truth(read_kmers: DataFrame, genome_counts: DataFrame) -> DataFrame:
     return rows.withColumn("truth", genome_class(F.col("_n"))).drop("_k", "_g", "_n", "_c")
 
 
+def truth_of_classes(classes: DataFrame, genome_counts: DataFrame) -> DataFrame:
+    """Rows (k, kmer: smaller of both strands) with ``truth``."""
+    genome = genome_counts.select("k", "kmer", F.col("cnt").alias("_n"))
+    return classes.join(genome, ["k", "kmer"], "left").withColumn("truth", genome_class(F.col("_n"))).drop("_n")
+
+
 def reads_all_correct(rows: DataFrame, read_id: str = "rid") -> DataFrame:
     """reads, all_correct: how many reads there are, and of how many every k-mer is classified right."""
     per_read = rows.groupBy(read_id).agg(F.bool_and(F.col("truth") == F.col("predicted")).alias("right"))
@@ -167,15 +173,27 @@ def reads_all_correct(rows: DataFrame, read_id: str = "rid") -> DataFrame:
 
 def kmer_variants(read_kmers: DataFrame, reads: DataFrame, biases: DataFrame, expected: DataFrame, genome_counts: DataFrame, read_id: str = "rid", seq: str = "seq") -> DataFrame:
     """variant, truth, predicted, n for four predictors: each k-mer's own bias, the read's mean bias (to 12 digits, so that sums in any order agree), the bias at the read's G/C share, the read's median count."""
-    rows = kmer_bias(kmer_truth(read_kmers, genome_counts), biases).join(F.broadcast(expected.select(F.col("k").alias("_k"), "expectation")), F.col("k") == F.col("_k")).drop("_k")
-    mean = rows.groupBy(F.col(read_id).alias("_m")).agg(F.round(F.avg("bias"), 12).alias("mean_bias"))
-    shares = reads.select(F.col(read_id).alias("_g"), gc_content(F.col(seq)).alias("gc")).where("gc is not null").crossJoin(F.broadcast(expected.select("k")))  # one row of k
-    at_gc = bias_at(shares, biases).select("_g", F.col("bias").alias("gc_bias"))
-    rows = classify_by_read_median(rows, read_id).withColumnRenamed("class", "by_median")
-    rows = rows.join(mean, F.col(read_id) == F.col("_m")).join(at_gc, F.col(read_id) == F.col("_g"))
+    rows = kmer_bias(kmer_truth(read_kmers, genome_counts), biases)
+    at_gc = gc_biases(reads.select(F.col(read_id).alias("_g"), seq), biases, expected, seq).select("_g", "gc_bias")
+    return variant_counts(rows.join(at_gc, F.col(read_id) == F.col("_g")).drop("_g"), expected, read_id)
+
+
+def gc_biases(reads: DataFrame, biases: DataFrame, expected: DataFrame, seq: str = "seq") -> DataFrame:
+    """Reads that have a G/C share with gc_bias, the bias there; ``expected`` has one row."""
+    shares = reads.withColumn("gc", gc_content(F.col(seq))).where("gc is not null").crossJoin(F.broadcast(expected.select("k")))  # one row of k
+    return bias_at(shares, biases).withColumnRenamed("bias", "gc_bias").drop("gc", "k")
+
+
+def variant_counts(rows: DataFrame, expected: DataFrame, read_id: str = "rid") -> DataFrame:
+    """What ``kmer_variants`` counts, of rows (read_id, k, cnt, truth, bias, gc_bias)."""
+    rows = rows.join(F.broadcast(expected.select(F.col("k").alias("_k"), "expectation")), F.col("k") == F.col("_k")).drop("_k")
+    by_read = Window.partitionBy(read_id)
+    rows = classify_by_read_median(rows.withColumn("mean_bias", F.round(F.avg("bias").over(by_read), 12)), read_id)
     of = lambda bias: kmer_class(F.col("cnt"), F.col("expectation"), F.col(bias))
-    variants = F.array(*[F.struct(F.lit(n).alias("variant"), c.alias("predicted")) for n, c in (("kmer", of("bias")), ("read_mean", of("mean_bias")), ("read_gc", of("gc_bias")), ("read_median", F.col("by_median")))])
-    return rows.select("truth", F.explode(variants).alias("v")).groupBy("v.variant", "truth", "v.predicted").agg(F.count("*").alias("n"))
+    predicted = {"kmer": of("bias"), "read_mean": of("mean_bias"), "read_gc": of("gc_bias"), "read_median": F.col("class")}
+    counted = rows.groupBy("truth", *[c.alias(f"_{n}") for n, c in predicted.items()]).agg(F.count("*").alias("_n"))
+    variants = F.array(*[F.struct(F.lit(n).alias("variant"), F.col(f"_{n}").alias("predicted")) for n in predicted])
+    return counted.select("truth", "_n", F.explode(variants).alias("v")).groupBy("v.variant", "truth", "v.predicted").agg(F.sum("_n").alias("n"))
 
 
 def predict_kmers(read_kmers: DataFrame, classes: DataFrame) -> DataFrame:

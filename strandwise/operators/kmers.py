@@ -86,12 +86,17 @@ def inverted_index(reads: DataFrame, k: int, read_id: str = "rid", empty_if_repe
     return found.select("kmer", "block", F.when(repeated, F.slice("read_ids", 1, 0)).otherwise(F.col("read_ids")).alias("read_ids"))
 
 
-def look_up(rows: DataFrame, counts: DataFrame, kmer: Column | str = "kmer") -> DataFrame:
-    """Rows with the count of their k-mer (0 where it doesn't occur) as cnt and the counts' other columns; both sides have k."""
+def look_up(rows: DataFrame, counts: DataFrame, kmer: Column | str = "kmer", is_canonical: bool = False) -> DataFrame:
+    """Rows with the count of their k-mer (0 where it doesn't occur) as cnt and the counts' other columns; both sides have k.
+
+    Rows are shuffled as they are: those that hold the canonical k-mer alone (``is_canonical``) send it once.
+    """
     key = F.col(kmer) if isinstance(kmer, str) else kmer
     others = [c for c in counts.columns if c not in ("k", "kmer")]
     counts = counts.select(F.col("k").alias("_k"), F.col("kmer").alias("_kmer"), *others)
-    joined = rows.withColumn("_canonical", canonical(key)).join(counts, (F.col("k") == F.col("_k")) & (F.col("_canonical") == F.col("_kmer")), "left")
+    if not is_canonical:
+        rows, key = rows.withColumn("_canonical", canonical(key)), F.col("_canonical")
+    joined = rows.join(counts, (F.col("k") == F.col("_k")) & (key == F.col("_kmer")), "left")
     return joined.withColumn("cnt", F.coalesce("cnt", F.lit(0))).drop("_k", "_kmer", "_canonical")
 
 

@@ -54,3 +54,28 @@ def test_windows_of_the_alignments_themselves(spark):
     records = spark.createDataFrame([("a", 0, 0, "4M", "ACTT", "ACGT"), ("b", 16, 0, "4M", "ACTT", "ACGT")], "qname string, flag int, pos0 int, cigar string, seq string, window string")
     own = evaluate.evaluate_corrections(corrected, records)
     assert sorted(own.collect()) == sorted(evaluate.evaluate_corrections(corrected, records, records.select("qname", "window")).collect())
+
+
+def test_reads_median_takes_windows_once(spark, texts):
+    rows = classify.read_kmers_with_counts(texts, kmers.count_both_strands(texts, 5), 5)
+    found = plan(classify.classify_by_read_median(rows))
+    assert found.count("Generate explode(sequence(") == 2  # counts, and the reads' windows
+
+
+def test_canonical_kmers_are_sent_once(spark, sf_dir):
+    """Of two spellings of a k-mer only the canonical one goes to the counts."""
+    found = plan(queries.kmer_lookup(spark, sf_dir))
+    sent = re.search(r"Exchange hashpartitioning\(kmer#\d+, \d+\).*\n[^\n]*Project \[([^\n]*)\]", found).group(1)
+    assert "_canonical" not in sent
+
+
+@pytest.mark.parametrize("query", ["reads_all_correct", "kmer_eval_variants"])
+def test_windows_meet_one_table(spark, sf_dir, query):
+    """Counts and truth are joined by distinct k-mer; windows, which keep their read's id, meet one table."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = plan(queries.QUERIES[query](spark, sf_dir))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    kmer_joins = re.findall(r"SortMergeJoin \[[^\]]*\], \[[^\]]*\], LeftOuter", found)
+    assert sum("kmer" in j or "canonical" in j for j in kmer_joins) == 2
