@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,6 +63,18 @@ def number_kmer(number: Column, k: Column | int) -> Column:
     return F.translate(F.lpad(F.conv(number.cast("string"), 10, 4), k, F.lit("0")), "0123", "ACGT")
 
 
+def packed_kmer(number: Column, k: int) -> Column:
+    """What ``number_kmer`` gives of numbers below 4^k, looked up four bases at a time."""
+
+    def bases(n: int, above: int) -> Column:
+        """The n bases with ``above`` bases after them."""
+        names = ",".join("".join(x) for x in itertools.product("ACGT", repeat=n))
+        return F.get(F.split(F.lit(names), ","), F.shiftright(number, 2 * above).bitwiseAND(4**n - 1).cast("int"))
+
+    sizes = ([k % 4] if k % 4 else []) + [4] * (k // 4)
+    return F.concat(*[bases(n, sum(sizes[i + 1 :])) for i, n in enumerate(sizes)])
+
+
 def _edited(kmer: Column, pos: Column, code: Column, insert_after: int) -> Column:
     before, rest = F.substring(kmer, F.lit(1), pos), F.substring(kmer, pos + 2, F.length(kmer))
     here = F.substring(kmer, pos + 1, F.lit(1))

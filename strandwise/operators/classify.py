@@ -18,9 +18,9 @@ def kmer_class(count: Column, expected: Column, bias: Column) -> Column:
 
 
 def class_table(model: CoverageModel) -> DataFrame:
-    """k, kmer (smaller of both strands), cnt, inner, class of every k-mer of the reads. Others have count 0: UNTRUSTED."""
+    """k, kmer (smaller of both strands), cnt, inner, class (and in_genome, if counted) of every k-mer of the reads. Others have count 0: UNTRUSTED."""
     rows = kmer_bias(model.counts.join(F.broadcast(model.expected.select("k", "expectation")), "k"), model.biases)
-    return rows.select("k", "kmer", "cnt", "inner", kmer_class(F.col("cnt"), F.col("expectation"), F.col("bias")).alias("class"))
+    return rows.select(*model.counts.columns, kmer_class(F.col("cnt"), F.col("expectation"), F.col("bias")).alias("class"))
 
 
 def classify(rows: DataFrame, model: CoverageModel, kmer: str = "kmer") -> DataFrame:

@@ -62,6 +62,13 @@ def biases_with_genome(genome_windows: DataFrame, read_counts: DataFrame, genome
     return joined.select("k", gc_count(F.col("kmer")).alias("gc_count"), (F.col("in_reads").cast("double") / F.col("in_genome")).alias("bias")).where("bias > 0")
 
 
+def biases_by_counts(counts: DataFrame) -> DataFrame:
+    """k, gc_count, bias, weight: what ``biases_with_genome`` says of all windows of the genome, from counts with ``in_genome``, a row
+    for each k-mer (either strand) that stands for ``weight`` windows."""
+    found = counts.where((F.col("in_genome") > 0) & (F.col("cnt") > 0))
+    return found.select("k", gc_count(F.col("kmer")).alias("gc_count"), (F.col("cnt").cast("double") / F.col("in_genome")).alias("bias"), F.col("in_genome").alias("weight"))
+
+
 def biases_of_all_kmers(counts: DataFrame, expected: DataFrame, k: int) -> DataFrame:
     """k, gc_count, bias of each of the 4^k k-mers (k up to 15) whose bias is above 0, looked up in the counts of both strands.
 
@@ -136,17 +143,22 @@ def kmer_bias(rows: DataFrame, biases: DataFrame, kmer: str = "kmer") -> DataFra
 
 
 class CoverageModel:
-    """Counts, expectations and bias tables of a read set for a set of k, each built from one scan."""
+    """Counts, expectations and bias tables of a read set for a set of k, each built from one scan.
+
+    With ``genome`` counts have in_genome; for it and ``tasks`` see ``count_both_strands``.
+    """
 
-    def __init__(self, reads: DataFrame, genome_size: int, ks: Iterable[int], genome_type: str = "LINEAR", seq: str = "seq", lengths: DataFrame | None = None, with_bias: bool = True) -> None:
+    def __init__(self, reads: DataFrame, genome_size: int, ks: Iterable[int], genome_type: str = "LINEAR", seq: str = "seq", lengths: DataFrame | None = None, with_bias: bool = True, genome: DataFrame | None = None, tasks: int | None = None) -> None:
         from .kmers import read_lengths
 
         self.ks = sorted(set(ks))
         self.reads, self.genome_size, self.genome_type, self.seq = reads, genome_size, genome_type, seq
         self.lengths = read_lengths(reads, seq) if lengths is None else lengths
         # always true, but with it both uses of the counts need all columns and are one plan, whose shuffle Spark then reuses
-        counts = count_both_strands(reads, self.ks, seq, with_seen=True).where("seen >= 0 AND inner >= 0")
-        self.counts = counts.select("k", "kmer", "cnt", "inner")
+        counts = count_both_strands(reads, self.ks, seq, with_seen=True, genome=genome, tasks=tasks).where("seen >= 0 AND inner >= 0")
+        if genome is not None:
+            counts = counts.where("in_genome >= 0")
+        self.counts = counts.select("k", "kmer", "cnt", "inner") if genome is None else counts.where("cnt > 0").select("k", "kmer", "cnt", "inner", "in_genome")
         self.expected = expected_counts(self.lengths, genome_size, self.ks, genome_type)
         if with_bias:
             self.raw_biases = biases_without_genome(counts, self.expected)

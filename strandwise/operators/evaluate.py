@@ -29,11 +29,8 @@ def join_by_name(corrected: DataFrame, alignments: DataFrame) -> DataFrame:
     return own.join(single, F.col("norm_name") == F.col("_name")).drop("_name")
 
 
-def match_errors(truth: DataFrame, predicted: DataFrame, keys: Iterable[str] = ("rid",)) -> DataFrame:
-    """keys, pos, kind, truth, predicted: errors of both sides paired by place and kind; what is missing is CORRECT or NODEL.
-
-    Several errors of one kind at one place pair up in the order of their types.
-    """
+def paired_errors(truth: DataFrame, predicted: DataFrame, keys: Iterable[str] = ("rid",)) -> DataFrame:
+    """What ``match_errors`` gives, with nth: the number of the pair at its place and kind, from 1."""
     keys = list(keys)
 
     def numbered(errors: DataFrame, name: str) -> DataFrame:
@@ -43,25 +40,35 @@ def match_errors(truth: DataFrame, predicted: DataFrame, keys: Iterable[str] = (
 
     both = numbered(truth, "truth").join(numbered(predicted, "predicted"), [*keys, "pos", "kind", "nth"], "full_outer")
     nothing = no_error(F.col("kind"))
-    return both.select(*keys, "pos", "kind", F.coalesce("truth", nothing).alias("truth"), F.coalesce("predicted", nothing).alias("predicted"))
+    return both.select(*keys, "pos", "kind", "nth", F.coalesce("truth", nothing).alias("truth"), F.coalesce("predicted", nothing).alias("predicted"))
+
+
+def match_errors(truth: DataFrame, predicted: DataFrame, keys: Iterable[str] = ("rid",)) -> DataFrame:
+    """keys, pos, kind, truth, predicted: errors of both sides paired by place and kind; what is missing is CORRECT or NODEL.
+
+    Several errors of one kind at one place pair up in the order of their types.
+    """
+    return paired_errors(truth, predicted, keys).drop("nth")
 
 
 def error_confusion(matched: DataFrame, positions: DataFrame, keys: Iterable[str] = ("rid",)) -> DataFrame:
     """kind, truth, predicted, n over all 36 + 36 cells.
 
     ``positions`` has one row with ``n``, the number of positions of all evaluated reads; those
-    without an event of a kind count as CORRECT or NODEL there.
+    without an event of a kind count as CORRECT or NODEL there. Pairs are counted once, and with them, where they have nth, their places.
     """
     spark = matched.sparkSession
     cells = [("base", t, p) for t in range(6) for p in range(6)] + [("gap", t, p) for t in range(6, 12) for p in range(6, 12)]
     grid = spark.createDataFrame(cells, "kind string, truth int, predicted int")
-    counted = matched.groupBy("kind", "truth", "predicted").agg(F.count("*").alias("n"))
-    touched = matched.groupBy("kind", *keys, "pos").agg(F.lit(1).alias("one")).groupBy("kind").agg(F.count("*").alias("touched"))
+    if "nth" not in matched.columns:
+        matched = matched.withColumn("nth", F.row_number().over(Window.partitionBy("kind", *keys, "pos").orderBy("truth")))
+    counted = matched.groupBy("kind", "truth", "predicted").agg(F.count("*").alias("n"), F.count_if(F.col("nth") == 1).alias("places"))
+    nothing = no_error(F.col("kind"))
+    cell = lambda t, p, n: F.struct(t.cast("int").alias("truth"), p.cast("int").alias("predicted"), n.cast("long").alias("n"))
+    events = counted.select("kind", F.inline(F.array(cell(F.col("truth"), F.col("predicted"), F.col("n")), cell(nothing, nothing, -F.col("places")))))
     kinds = spark.createDataFrame([("base",), ("gap",)], "kind string")
-    untouched = kinds.join(touched, "kind", "left").crossJoin(F.broadcast(positions.select(F.col("n").alias("all")))).select(  # one row
-        "kind", no_error(F.col("kind")).alias("truth"), no_error(F.col("kind")).alias("predicted"), (F.col("all") - F.coalesce("touched", F.lit(0))).alias("n")
-    )
-    total = counted.unionByName(untouched).groupBy("kind", "truth", "predicted").agg(F.sum("n").alias("n"))
+    every = kinds.crossJoin(F.broadcast(positions.select(F.col("n").alias("all")))).select("kind", F.inline(F.array(cell(nothing, nothing, F.col("all")))))  # one row
+    total = events.unionByName(every).groupBy("kind", "truth", "predicted").agg(F.sum("n").alias("n"))
     return _dense(grid, total)
 
 
@@ -69,10 +76,14 @@ def _dense(grid: DataFrame, counted: DataFrame) -> DataFrame:
     return grid.join(F.broadcast(counted), ["kind", "truth", "predicted"], "left").select("kind", "truth", "predicted", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
-def classified_counts(classes: DataFrame, genome_counts: DataFrame) -> DataFrame:
-    """truth, predicted, inner by distinct k-mer: what ``kmer_truth`` and ``predict_kmers`` say of its ``inner`` occurrences, without a row for each."""
-    genome = genome_counts.select("k", "kmer", F.col("cnt").alias("in_genome"))
-    rows = classes.where("inner > 0").join(genome, ["k", "kmer"], "left")
+def classified_counts(classes: DataFrame, genome_counts: DataFrame | None = None) -> DataFrame:
+    """truth, predicted, inner by distinct k-mer: what ``kmer_truth`` and ``predict_kmers`` say of its ``inner`` occurrences, without a row for each.
+
+    Without ``genome_counts`` classes have in_genome.
+    """
+    rows = classes.where("inner > 0")
+    if genome_counts is not None:
+        rows = rows.join(genome_counts.select("k", "kmer", F.col("cnt").alias("in_genome")), ["k", "kmer"], "left")
     return rows.select(genome_class(F.col("in_genome")).alias("truth"), F.col("class").alias("predicted"), "inner")
 
 
@@ -120,7 +131,7 @@ def evaluate_corrections(corrected: DataFrame, alignments: DataFrame, windows: D
     def spread(column: str) -> DataFrame:
         return own.select("norm_name", "clips", "last", F.explode(column).alias("e")).where((F.col("e.pos") >= F.col("clips.head")) & (F.col("e.pos") < F.col("last"))).select("norm_name", "e.pos", "e.type")
 
-    matched = match_errors(spread("errors"), spread("corrections"), ["norm_name"])
+    matched = paired_errors(spread("errors"), spread("corrections"), ["norm_name"])
     positions = own.agg(F.coalesce(F.sum(F.col("last") - F.col("clips.head")), F.lit(0)).alias("n"))
     return error_confusion(matched, positions, ["norm_name"])
 
@@ -148,7 +159,7 @@ def evaluate_corrections_aligned(original: DataFrame, corrected: DataFrame, wind
     a, b = errors(original, windows[0]), errors(corrected, windows[1])
     both = a.join(b.select(F.col("norm_name").alias("_b"), F.col("errors").alias("left_over")), F.col("norm_name") == F.col("_b"))
     spread = lambda c: both.select("norm_name", F.explode(c).alias("e")).select("norm_name", "e.pos", "e.type")
-    matched = match_errors(spread("errors"), spread("left_over"), ["norm_name"])
+    matched = paired_errors(spread("errors"), spread("left_over"), ["norm_name"])
     return switch_types(error_confusion(matched, both.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")), ["norm_name"]))
 
 

@@ -2,12 +2,31 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandwise.functions.sequence import canonical, is_own_reverse_complement, reverse_complement
+from strandwise.functions.sequence import canonical, is_own_reverse_complement, packed_kmer, reverse_complement
+
+#: k up to which a k-mer's base-4 number and three marks fit 64 bits.
+MAX_PACKED_K = 30
+#: Windows whose numbers a task holds before it counts them.
+HELD_WINDOWS = 1 << 20
+_BASES = np.full(256, 4, np.uint8)
+_BASES[np.frombuffer(b"ACGT", np.uint8)] = range(4)
+_TURN = str.maketrans("ACGTacgt", "TGCAtgca")
+#: What each of the eight combinations of marks (1: the reverse complement is the smaller, 2: last window, 4: first window) adds.
+_MARKS = np.arange(8)
+_SUMS = {
+    "cnt": _MARKS >= 0,
+    "inner": _MARKS & 2 == 0,
+    "inner_own": _MARKS & 3 == 0,
+    "smaller": np.where(_MARKS & 1, _MARKS & 4, _MARKS & 2) == 0,
+    "larger": np.where(_MARKS & 1, _MARKS & 2, _MARKS & 4) == 0,
+}
 
 
 def windows(reads: DataFrame, k: int | Iterable[int], drop_last: bool = False, seq: str = "seq", keep: Iterable[str] = (), with_canonical: bool = False) -> DataFrame:
@@ -31,14 +50,126 @@ def windows(reads: DataFrame, k: int | Iterable[int], drop_last: bool = False, s
     return spread.select(*keep, "k", "pos", kmer.alias("kmer"), *more)
 
 
-def count_both_strands(reads: DataFrame, k: int | Iterable[int], seq: str = "seq", with_seen: bool = False) -> DataFrame:
+def _numbers(bases: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Base-4 numbers of the k bases from each place on, and of their reverse complements."""
+    own, turned, size = bases.astype(np.uint64), 3 - bases.astype(np.uint64), 1
+    out: tuple[np.ndarray, np.ndarray] | None = None
+    done = 0
+    while True:
+        if k & size:  # what is there is followed by these bases
+            n = len(bases) - done - size + 1
+            if out is None:
+                out = own[:n], turned[:n]
+            else:
+                out = (out[0][:n] << np.uint64(2 * size)) | own[done : done + n], out[1][:n] | (turned[done : done + n] << np.uint64(2 * done))
+            done += size
+        if done == k:
+            return out
+        n = max(0, len(own) - size)
+        own, turned = (own[:n] << np.uint64(2 * size)) | own[size : size + n], turned[:n] | (turned[size : size + n] << np.uint64(2 * size))
+        size *= 2
+
+
+def _counted_windows(batches: Iterable[pa.RecordBatch], ks: list[int], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows (k, code, text, sums) of a column of sequences: the smaller k-mer of both strands as its number, or as text where it
+    has other characters than A, C, G and T, with the sums (of ``_SUMS``) over windows that were held together."""
+    weights = np.stack([_SUMS[name] for name in names], axis=1).astype(np.int64)
+
+    def rows(k: int, codes: np.ndarray, marks: np.ndarray, counts: np.ndarray, texts: list[str] | None = None) -> pa.RecordBatch:
+        first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else np.zeros(0, np.int64)
+        sums = np.add.reduceat(counts[:, None] * weights[marks], first, axis=0) if len(codes) else np.zeros((0, len(names)), np.int64)
+        n = len(first)
+        key = [pa.array(codes[first].astype(np.int64)), pa.nulls(n, pa.string())] if texts is None else [pa.nulls(n, pa.int64()), pa.array(texts, pa.string())]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, k, np.int32)), *key, *[pa.array(sums[:, j]) for j in range(len(names))]], names=["k", "code", "text", *names])
+
+    held: dict[int, list[np.ndarray]] = {k: [] for k in ks}
+    others: dict[tuple[int, str, int], int] = {}
+
+    def counted() -> Iterator[pa.RecordBatch]:
+        for k in ks:
+            if held[k]:
+                keys, counts = np.unique(np.concatenate(held[k]), return_counts=True)
+                held[k].clear()
+                yield rows(k, keys >> np.uint64(3), (keys & np.uint64(7)).astype(np.int64), counts)
+        for (k, text, mark), n in others.items():
+            yield rows(k, np.zeros(1, np.uint64), np.array([mark]), np.array([n]), [text])
+        others.clear()
+
+    size = 0
+    for batch in batches:
+        values = batch.column(0).cast(pa.string()).drop_null()
+        bounds = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1] if len(values) else np.zeros(1, np.int32)
+        data = values.buffers()[2] if len(values) else None
+        text = np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]] if data is not None else np.zeros(0, np.uint8)
+        bases, begin, length = _BASES[text], (bounds[:-1] - bounds[0]).astype(np.int64), np.diff(bounds).astype(np.int64)
+        odd = np.concatenate([[0], np.cumsum(bases == 4)])
+        is_odd = odd[begin + length] > odd[begin]
+        place = np.arange(len(text)) - np.repeat(begin, length)
+        left = np.repeat(length, length) - place  # characters from a place on
+        plain = ~np.repeat(is_odd, length)
+        for k in ks:
+            if k <= len(text):
+                own, turned = _numbers(bases & 3, k)
+                at = np.flatnonzero(plain[: len(own)] & (left[: len(own)] >= k))
+                own, turned = own[at], turned[at]
+                marks = (turned < own) | ((left[at] == k).astype(np.uint8) << 1) | ((place[at] == 0).astype(np.uint8) << 2)
+                held[k].append((np.minimum(own, turned) << np.uint64(3)) | marks.astype(np.uint64))
+                size += len(at)
+            for n in np.flatnonzero(is_odd):
+                seq = values[int(n)].as_py()
+                for j in range(len(seq) - k + 1):
+                    kmer = seq[j : j + k]
+                    other = kmer.translate(_TURN)[::-1]
+                    mark = (other < kmer) | (2 * (j == len(seq) - k)) | (4 * (j == 0))
+                    small = min(kmer, other)
+                    if small.strip("ACGT"):
+                        others[k, small, mark] = others.get((k, small, mark), 0) + 1
+                    else:
+                        code = int(small.translate(str.maketrans("ACGT", "0123")), 4)
+                        held[k].append(np.array([code << 3 | mark], np.uint64))
+                    size += 1
+        if size >= HELD_WINDOWS:
+            yield from counted()
+            size = 0
+    yield from counted()
+
+
+def _packed_sums(reads: DataFrame, ks: list[int], names: list[str], tasks: int, seq: str, genome: DataFrame | None = None) -> DataFrame:
+    """k, kmer (the smaller of both strands) and sums of its windows, counted in the tasks of ``reads`` first and then, as numbers, in ``tasks`` tasks."""
+    if max(ks) > MAX_PACKED_K:
+        raise ValueError(f"k-mers of more than {MAX_PACKED_K} bases have no number")
+
+    def windows_of(rows: DataFrame, column: str, names: list[str]) -> DataFrame:
+        return rows.select(column).mapInArrow(lambda batches: _counted_windows(batches, ks, names), "k int, code long, text string, " + ", ".join(f"{n} long" for n in names))
+
+    rows, none = windows_of(reads, seq, names), F.lit(0).cast("long")
+    if genome is not None:
+        there = windows_of(genome, "seq", ["cnt"]).select("k", "code", "text", *[none.alias(n) for n in names], F.col("cnt").alias("in_genome"))
+        rows, names = rows.withColumn("in_genome", none).unionByName(there), [*names, "in_genome"]
+    found = rows.repartition(tasks, "code", "text").groupBy(*(["k"] if len(ks) > 1 else []), "code", "text").agg(*[F.sum(n).alias(n) for n in names])
+    k = F.col("k") if len(ks) > 1 else F.lit(ks[0])
+    kmer = packed_kmer(F.col("code"), ks[0])
+    for other in ks[1:]:
+        kmer = F.when(k == other, packed_kmer(F.col("code"), other)).otherwise(kmer)
+    return found.select(k.alias("k"), F.coalesce("text", kmer).alias("kmer"), *names)
+
+
+def count_both_strands(reads: DataFrame, k: int | Iterable[int], seq: str = "seq", with_seen: bool = False, genome: DataFrame | None = None, tasks: int | None = None) -> DataFrame:
     """k, kmer (the smaller of it and its reverse complement), cnt: occurrences on both strands of all reads.
 
     A k-mer and its reverse complement have the same count, so one row stands for both; of a
     k-mer that is its own reverse complement both strands' occurrences are the same and count once.
     ``with_seen`` adds what reads hold other than as their last window: seen, how many of the two
-    k-mers, and inner, how often either.
+    k-mers, and inner, how often either. With ``tasks`` k-mers (k up to ``MAX_PACKED_K``) are counted as numbers, in so many tasks
+    whatever size Spark advises for them. ``genome`` (rows of seq) then adds in_genome, what is counted there, and rows of k-mers
+    that occur there only, with cnt 0: both are counted in one table, not joined.
     """
+    if tasks is not None:
+        rows = _packed_sums(reads, [k] if isinstance(k, int) else sorted(set(k)), ["cnt", *(["inner", "inner_own"] if with_seen else [])], tasks, seq, genome)
+        seen = (F.col("inner_own") > 0).cast("long") + (F.col("inner") > F.col("inner_own")).cast("long")
+        return rows.select("k", "kmer", "cnt", *([seen.alias("seen"), "inner"] if with_seen else []), *(["in_genome"] if genome is not None else []))
+    if genome is not None:
+        raise ValueError("a genome is counted with the reads in a given number of tasks")
     found = windows(reads, k, seq=seq, with_canonical=True)
     seen = []
     if with_seen:
@@ -54,16 +185,24 @@ def count_strands(reads: DataFrame, k: int, seq: str = "seq") -> DataFrame:
     return windows(both, k).groupBy("kmer").agg(F.count("*").alias("cnt"))
 
 
-def count_naive(reads: DataFrame, k: int, reverse_complements: bool = True, drop_last: bool = True, halve_always: bool = False, seq: str = "seq") -> DataFrame:
+def count_naive(reads: DataFrame, k: int, reverse_complements: bool = True, drop_last: bool = True, halve_always: bool = False, seq: str = "seq", tasks: int | None = None) -> DataFrame:
     """kmer, cnt over windows without each sequence's last one; own reverse complements are halved.
 
-    They are halved only where reverse complements were counted, or always (``halve_always``).
+    They are halved only where reverse complements were counted, or always (``halve_always``). With ``tasks``, as in
+    ``count_both_strands``, windows of reverse complements are not made: the reads' own ones, turned, stand for them.
     """
+    halved = F.when(is_own_reverse_complement(F.col("kmer")), F.expr("cnt div 2")).otherwise(F.col("cnt")).alias("cnt")
+    if tasks is not None and reverse_complements and drop_last:
+        counted, kmer = _packed_sums(reads, [k], ["smaller", "larger"], tasks, seq), F.col("kmer")
+        row = lambda kmer, cnt: F.struct(kmer.alias("kmer"), cnt.alias("cnt"))
+        both, smaller, larger = F.col("smaller") + F.col("larger"), row(kmer, F.col("smaller")), row(reverse_complement(kmer), F.col("larger"))
+        rows = F.when(kmer == reverse_complement(kmer), F.array(row(kmer, both))).otherwise(F.array(smaller, larger))
+        return counted.select(F.inline(rows)).where("cnt > 0").select("kmer", halved)
     own = reads.select(F.explode(F.array(F.col(seq), reverse_complement(F.col(seq)))).alias("seq")) if reverse_complements else reads.select(F.col(seq).alias("seq"))
     counted = windows(own, k, drop_last).groupBy("kmer").agg(F.count("*").alias("cnt"))
     if not (reverse_complements or halve_always):
         return counted
-    return counted.select("kmer", F.when(is_own_reverse_complement(F.col("kmer")), F.expr("cnt div 2")).otherwise(F.col("cnt")).alias("cnt"))
+    return counted.select("kmer", halved)
 
 
 def inverted_index(reads: DataFrame, k: int, read_id: str = "rid", empty_if_repeated: bool = False, seq: str = "seq", block: int = 4096) -> DataFrame:

@@ -146,13 +146,14 @@ def read_reads(spark: SparkSession, path: str, quality: bool = True) -> DataFram
     own = F.col("_metadata")
     text = spark.read.text(path)
     lines = text.select(own["file_path"].alias("file"), own["file_block_start"].alias("block"), "value")
-    head = F.min_by(F.when(F.col("block") == 0, F.substring("value", 1, 1)), F.when(F.col("block") == 0, F.col("at")))
+    # a number, not the character: of sums with text in them Spark would sort all lines
+    head = F.min_by(F.when(F.col("block") == 0, F.ascii(F.substring("value", 1, 1))), F.when(F.col("block") == 0, F.col("at")))
     splits = lines.withColumn("at", F.monotonically_increasing_id()).groupBy("file", "block").agg(F.count("*").alias("n"), head.alias("line"))
     before = Window.partitionBy("file").orderBy("block")
     whole = before.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     splits = splits.select("file", "block", F.coalesce(F.sum("n").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"), F.sum("n").over(whole).alias("lines"), F.max("line").over(whole).alias("head"))
-    per = F.when(F.col("head") == "@", 4).when(F.col("head") == ">", 2).otherwise(F.raise_error(F.lit("a record begins neither with @ nor with >")).cast("int"))
-    splits = splits.where("head <> '' or lines > 1").withColumn("per", per)
+    per = F.when(F.col("head") == ord("@"), 4).when(F.col("head") == ord(">"), 2).otherwise(F.raise_error(F.lit("a record begins neither with @ nor with >")).cast("int"))
+    splits = splits.where("head <> 0 or lines > 1").withColumn("per", per)
     files = splits.groupBy("file").agg(F.ceil(F.first("lines") / F.first("per")).cast("long").alias("records"))
     files = files.select(F.col("file").alias("of"), F.coalesce(F.sum("records").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
     splits = splits.join(files, F.col("file") == F.col("of")).select(F.col("file").alias("of"), F.col("block").alias("in"), "first", "per", "start")
@@ -251,11 +252,11 @@ def record_text(reads: DataFrame) -> DataFrame:
     return reads.select(F.when(F.coalesce(qual, F.lit("")) != "", fastq).otherwise(fasta).alias("value"))
 
 
-def write_reads(reads: DataFrame, path: str, order: str | None = None, files: int | None = None) -> None:
-    """Write records as text files, replacing what is there; ``order`` sorts them (all in one file with files=1)."""
+def write_reads(reads: DataFrame, path: str, order: str | None = None, files: int | None = None, tasks: int | None = None) -> None:
+    """Write records as text files, replacing what is there; ``order`` sorts them (all in one file with files=1), in ``tasks`` ranges."""
     rows = reads if "qual" in reads.columns else reads.withColumn("qual", F.lit(None).cast("string"))
     if order:
-        rows = rows.orderBy(order)
+        rows = rows.repartitionByRange(tasks, order).sortWithinPartitions(order) if tasks else rows.orderBy(order)
     out = record_text(rows)
     (out.coalesce(files) if files else out).write.mode("overwrite").text(path)
 
