@@ -173,7 +173,8 @@ def kmer_truth(read_kmers: DataFrame, genome_counts: DataFrame) -> DataFrame:
 def truth_of_classes(classes: DataFrame, genome_counts: DataFrame) -> DataFrame:
     """Rows (k, kmer: smaller of both strands) with ``truth``."""
     genome = genome_counts.select("k", "kmer", F.col("cnt").alias("_n"))
-    return classes.join(genome, ["k", "kmer"], "left").withColumn("truth", genome_class(F.col("_n"))).drop("_n")
+    # a table of k-mers is not for broadcasting, however small it looks
+    return classes.join(genome.hint("merge"), ["k", "kmer"], "left").withColumn("truth", genome_class(F.col("_n"))).drop("_n")
 
 
 def reads_all_correct(rows: DataFrame, read_id: str = "rid") -> DataFrame:
